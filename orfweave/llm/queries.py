@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from .quality import OP5_SQL, op5_quality_rules
+from .secrets import op8_secret_scans
 
-QUERIES = {"op5_quality_rules": op5_quality_rules}
+QUERIES = {
+    "op5_quality_rules": op5_quality_rules,
+    "op8_secret_scans": op8_secret_scans,
+}
 ORACLE_SQL = {"op5_quality_rules": OP5_SQL}
