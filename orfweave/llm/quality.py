@@ -23,6 +23,7 @@ BOILERPLATE = (
     "click here to", "skip to content", "powered by", "lorem ipsum", "share on facebook", "share this article",
 )
 BOILERPLATE_WORDS = 30
+STOCK = r"(?:^|\x20)(?:" + "|".join(BOILERPLATE) + ")"
 #: A line fails when more than this share (in per cent) of its word characters are symbols.
 MAX_SYMBOLS = 15
 #: A line with at least this many menu separators, and at most three words to each, is navigation.
@@ -37,11 +38,12 @@ SYMBOLS = "#*$%&|<>"
 
 def count_of(text: Column, chars: str) -> Column:
     """How many characters of text are among chars."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    some = "[" + "".join(f"\\{c}" for c in chars) + "]"
+    return F.when(text.rlike(some), F.length(text) - F.length(F.regexp_replace(text, some, ""))).otherwise(0)
 
 
 def word_chars(text: Column) -> Column:
-    return F.length(F.translate(text, " \t\n\x0b\x0c\r", ""))
+    return F.length(F.regexp_replace(text, f"[{BLANK}]+", ""))
 
 
 def has_word(text: Column) -> Column:
@@ -68,20 +70,23 @@ def repeated_words(ws: Column, width: int = WINDOW) -> Column:
 
     def keyed(hashes: Column) -> Column:
         at = F.sequence(F.lit(1), F.size(hashes) - (width - 1))
-        keys = F.transform(at, lambda p: let(F.slice(hashes, p, width), lambda s: F.struct(F.xxhash64(s).alias("h"), F.hash(s).alias("g"), p.alias("p"))))
-        return let(F.sort_array(keys), twice)
+        window = lambda p: F.slice(hashes, p, width)
+        keys = F.transform(at, lambda p: let(window(p), lambda s: F.struct(F.xxhash64(s).alias("h"), F.hash(s).alias("g"), p.alias("p"))))
+        # Most texts repeat nothing: there, distinct first hashes settle it without sorting.
+        plain = F.transform(at, lambda p: F.xxhash64(window(p)))
+        return let(plain, lambda x: F.when(F.size(F.array_distinct(x)) == F.size(x), F.lit(0).cast("long")).otherwise(let(F.sort_array(keys), twice)))
 
     return F.when(F.size(ws) > width, let(F.transform(ws, lambda w: F.xxhash64(w)), keyed)).otherwise(F.lit(0).cast("long"))
 
 
 def line_fails(line: Column) -> Column:
     """True where a line with words breaks a rule."""
-    chars, low = word_chars(line), F.lower(line)
-    punctuation = (100 * count_of(line, SYMBOLS + "{}[]\\^~=_") > MAX_SYMBOLS * chars) | ~line.rlike(r"\p{L}|\p{N}")
-    separators = F.length(line) - F.length(F.regexp_replace(line, r"[|»›•·]|\x20>\x20", "")) - 2 * F.size(F.regexp_extract_all(line, F.lit(r"(\x20>\x20)"), F.lit(1)))
-    navigation = (separators >= MENU_SEPARATORS) & (F.size(F.split(F.trim(line), r"\x20+")) <= 4 * separators + 3)
-    stock = (F.length(line) <= 12 * BOILERPLATE_WORDS) & low.rlike("|".join(BOILERPLATE))
-    return punctuation | navigation | stock
+    symbols = SYMBOLS + "{}[]\\^~=_"
+    crowded = line.rlike("[" + "".join(f"\\{c}" for c in symbols) + "]") & (100 * count_of(line, symbols) > MAX_SYMBOLS * word_chars(line))
+    separators = F.size(F.regexp_extract_all(line, F.lit(r"([|»›•·]|\x20>\x20)"), F.lit(1)))
+    navigation = line.rlike("[|»›•·>]") & (separators >= MENU_SEPARATORS) & (F.size(F.split(F.trim(line), r"\x20+")) <= 4 * separators + 3)
+    stock = (F.length(line) <= 12 * BOILERPLATE_WORDS) & F.lower(line).rlike(STOCK)
+    return crowded | ~line.rlike(r"\p{L}|\p{N}") | navigation | stock
 
 
 def clean_lines(df: DataFrame, text: str = "text") -> DataFrame:
@@ -115,7 +120,6 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_failed_lines", "lost_chars", "base_failed", "kept")
 
 
-_STOCK = "|".join(BOILERPLATE)
 OP5_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -127,7 +131,7 @@ lw AS (SELECT doc_id, x, length(translate(x, ' ' || chr(9) || chr(10) || chr(11)
     len(regexp_extract_all(x, '[|»›•·]|\x20>\x20')) AS seps FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
 lf AS (SELECT doc_id, x, c, (100 * (length(x) - length(translate(x, '{SYMBOLS}{{}}[]\^~=_', ''))) > {MAX_SYMBOLS} * c) OR NOT regexp_matches(x, '\p{{L}}|\p{{N}}')
     OR (seps >= {MENU_SEPARATORS} AND len(string_split_regex(trim(x), '\x20+')) <= 4 * seps + 3)
-    OR (length(x) <= {12 * BOILERPLATE_WORDS} AND regexp_matches(lower(x), '{_STOCK}')) AS bad FROM lw),
+    OR (length(x) <= {12 * BOILERPLATE_WORDS} AND regexp_matches(lower(x), '{STOCK}')) AS bad FROM lw),
 la AS (SELECT doc_id, count(*) - count(DISTINCT x) AS dups, count(*) FILTER (bad) AS bads, coalesce(sum(c) FILTER (bad), 0) AS lost FROM lf GROUP BY doc_id),
 r AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(translate(t, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols, CAST(coalesce(dups, 0) AS BIGINT) AS n_dup_lines,

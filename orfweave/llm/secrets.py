@@ -29,14 +29,14 @@ ASSIGN = (
 )
 #: Runs are maximal, so asking for their least length in the pattern finds what dropping short runs leaves.
 ACCESS = r"(AKIA[A-Z0-9]{16,})"
-HEX = r"([0-9a-f]{24,})"
+HEX = r"(?<![0-9a-f])([0-9a-f]{24,})"
 PATTERNS = ((ASSIGN, 6), (ACCESS, 20), (HEX, 24))
 
 #: Characters of tokens; every other character is the last state.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 STATES = len(ALPHABET) + 1
 #: A token that the models score: this many of these characters or more.
-TOKEN = r"([A-Za-z0-9+/_=-]{20,})"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_=-]{20,})"
 TRAIN_DOCS = 500
 TRAIN_RANDOM = 2000
 #: Mean log-likelihood ratio per character pair from which on a token is random.
