@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from .neighbours import OP9_SQL, op9_nearest_neighbours
 from .quality import OP5_SQL, op5_quality_rules
 from .secrets import op8_secret_scans
+from .warc import OP6_SQL, op6_warc_archive
 
 QUERIES = {
     "op5_quality_rules": op5_quality_rules,
+    "op6_warc_archive": op6_warc_archive,
     "op8_secret_scans": op8_secret_scans,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
+}
+ORACLE_SQL = {
+    "op5_quality_rules": OP5_SQL,
+    "op6_warc_archive": OP6_SQL,
+    "op9_nearest_neighbours": OP9_SQL,
 }
-ORACLE_SQL = {"op5_quality_rules": OP5_SQL}
