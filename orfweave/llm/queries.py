@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .neighbours import OP9_SQL, op9_nearest_neighbours
+from .packing import op10_packing
 from .quality import OP5_SQL, op5_quality_rules
 from .secrets import op8_secret_scans
 from .warc import OP6_SQL, op6_warc_archive
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_warc_archive": op6_warc_archive,
     "op8_secret_scans": op8_secret_scans,
     "op9_nearest_neighbours": op9_nearest_neighbours,
+    "op10_packing": op10_packing,
 }
 ORACLE_SQL = {
     "op5_quality_rules": OP5_SQL,
