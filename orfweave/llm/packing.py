@@ -13,7 +13,9 @@ table gives no rows. A task holds one batch of documents, however long its parti
 
 from __future__ import annotations
 
-import re
+import base64
+import functools
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -25,44 +27,74 @@ from pyspark.sql import functions as F
 
 from .common import byte_codes, mix64, stored, table
 
+#: Fixed pattern: how byte-level tokenizers of this family split texts before merging.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SIZE = 2048
 END = 1
 #: Tokens that a partition should hold; the number of partitions follows from the corpus.
 PARTITION_TOKENS = 4_000_000
 BUCKETS, DIMS, BITS = 256, 3, 10
-#: White space by the Unicode property, spelled out: Python's own class has four control characters more.
-SPACE = "\t-\r \x85\xa0  -     　"
-#: The tokenizer never joins what this splits: a word takes one space before it, further white space stands alone.
-CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-CACHE = 400_000
+#: Words whose ids a Python worker remembers, in each of two generations.
+CACHE = 200_000
 TOKENS = "doc_id long, place long, n_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def default_tokenizer() -> str:
+def default_tokenizer() -> tuple[str, str]:
+    """The tokenizer's definition, and its vocabulary as ranks."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
-def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """A function from texts to their ids as little-endian 32-bit numbers; chunks seen before are looked up."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    known: dict[str, bytes] = {}
-
-    def encode(texts: list[str]) -> list[bytes]:
-        chunks = [CHUNKS.findall(t) for t in texts]
-        if len(known) > CACHE:
-            known.clear()
-        fresh = list(set().union(*chunks).difference(known)) if chunks else []
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            for c, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(known.__getitem__, c)) for c in chunks]
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(paths: tuple[str, str]) -> Callable[[str], np.ndarray]:
+    """A function from a text to its ids, as little-endian unsigned numbers of 16 bits (32 for large vocabularies).
+
+    The definition in paths[0] says how texts are split; the ranks in paths[1], whose ids are the same, do the merges.
+    Where a text has single spaces only, the split never joins what such a space parts (a word takes its space along),
+    so words can be looked up; other texts are encoded whole.
+    """
+    import json
+
+    import tiktoken
+
+    with open(paths[0], "rb") as f:
+        spec = json.load(f)
+    if spec["normalizer"] is not None or spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
+        raise ValueError("not a byte-level tokenizer of the expected kind")
+    with open(paths[1], "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    kind = "<u2" if len(ranks) + 1 <= 1 << 16 else "<u4"
+    ordinary = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    pack = {n: struct.Struct(f"<{n}{'H' if kind == '<u2' else 'I'}").pack for n in range(1, 17)}
+    young: dict[str, bytes] = {}
+    old: dict[str, bytes] = {}
+
+    def fresh(text: str) -> bytes:
+        ids = ordinary(text)
+        return pack[len(ids)](*ids) if 0 < len(ids) < 17 else np.array(ids, dtype=kind).tobytes()
+
+    def encode(text: str) -> np.ndarray:
+        nonlocal young, old
+        if "  " in text or text[:1] == " " or text[-1:] == " " or not text:
+            return np.frombuffer(fresh(text), dtype=kind)
+        head, _, rest = text.partition(" ")
+        if not rest:
+            return np.frombuffer(fresh(head), dtype=kind)
+        words = rest.split(" ")
+        found = list(map(young.get, words))
+        if None in found:
+            for i, x in enumerate(found):
+                if x is None:
+                    w = words[i]
+                    found[i] = x = young.get(w) or old.get(w) or fresh(" " + w)
+                    if len(w) <= 64:
+                        young[w] = x
+            if len(young) > CACHE:
+                young, old = {}, young
+        found.insert(0, fresh(head))
+        return np.frombuffer(b"".join(found), dtype=kind)
 
     return encode
 
@@ -97,10 +129,10 @@ def projection(seed: int = 11) -> np.ndarray:
     return (raw.astype(np.float64) / 2**63 - 1).reshape(BUCKETS, DIMS)
 
 
-def token_points(vocabulary: int = 1 << 17) -> np.ndarray:
-    """For each token id, its signed bucket's row of the projection: adding rows projects the hashed vector."""
+def token_buckets(vocabulary: int = 1 << 17) -> np.ndarray:
+    """For each token id, twice its bucket, and one more if its sign is positive."""
     code = mix64(np.arange(vocabulary, dtype=np.uint64) + byte_codes(3)[0])
-    return projection()[(code >> np.uint64(1)) % np.uint64(BUCKETS)] * np.where(code & np.uint64(1), 1.0, -1.0)[:, None]
+    return (code % np.uint64(2 * BUCKETS)).astype(np.int64)
 
 
 def place_of(points: np.ndarray) -> np.ndarray:
@@ -109,20 +141,22 @@ def place_of(points: np.ndarray) -> np.ndarray:
     return hilbert(cells)
 
 
-def tokenize(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, place, n_tokens, ids): ids as little-endian 32-bit numbers, the end token included."""
+def tokenize(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
+    """(doc_id, place, n_tokens, ids): ids as the encoder packs them, the end token included."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, rows = encoder(path), token_points()
+        encode, buckets, scale = encoder(paths), token_buckets(), projection()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                ids = [x + END.to_bytes(4, "little") for x in encode([t or "" for t in part["text"].to_pylist()])]
-                points = np.zeros((len(ids), DIMS))
-                for i, x in enumerate(ids):
-                    sums = rows[np.frombuffer(x[:-4], dtype="<u4") % len(rows)].sum(0)
+                ids, points = [], np.zeros((part.num_rows, DIMS))
+                for i, text in enumerate(part["text"].to_pylist()):
+                    found = encode(text or "")
+                    counts = np.bincount(buckets[found], minlength=2 * BUCKETS)
+                    sums = (counts[1::2] - counts[::2]) @ scale
                     points[i] = sums / max(np.linalg.norm(sums), 1e-12)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(place_of(points)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "place", "n_tokens", "ids"])
+                    ids.append(np.append(found, found.dtype.type(END)))
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(place_of(points)), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "place", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, TOKENS)
 
@@ -135,8 +169,8 @@ def lay_out(tokens: DataFrame, size: int = SIZE, with_ids: bool = False) -> Data
         sequence, offset = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             out: list[list] = [[] for _ in range(8 if with_ids else 7)]
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), batch["ids"].to_pylist(), strict=True):
-                n, start = len(ids) // 4, 0
+            for doc_id, n, packed in zip(batch["doc_id"].to_pylist(), batch["n_tokens"].to_pylist(), batch["ids"].to_pylist(), strict=True):
+                ids, start = np.frombuffer(packed, dtype=f"<u{len(packed) // n}").astype("<u4").tobytes(), 0
                 while start < n:
                     length = min(n - start, size - offset)
                     piece = ids[4 * start : 4 * (start + length)]
@@ -149,12 +183,12 @@ def lay_out(tokens: DataFrame, size: int = SIZE, with_ids: bool = False) -> Data
 
     total = tokens.agg(F.sum("n_tokens")).collect()[0][0] or 0
     parts = max(1, -(-total // PARTITION_TOKENS))
-    return tokens.repartitionByRange(parts, "place", "doc_id").sortWithinPartitions("place", "doc_id").select("doc_id", "ids").mapInArrow(laid, schema)
+    return tokens.repartitionByRange(parts, "place", "doc_id").sortWithinPartitions("place", "doc_id").select("doc_id", "n_tokens", "ids").mapInArrow(laid, schema)
 
 
-def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, paths: tuple[str, str] | None = None, size: int = SIZE, with_ids: bool = False) -> DataFrame:
     """Pieces of all rows of docs (doc_id, text), laid along the curve."""
-    return lay_out(stored(tokenize(docs, path or default_tokenizer()), "tokens"), size, with_ids)
+    return lay_out(stored(tokenize(docs, paths or default_tokenizer()), "tokens"), size, with_ids)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
