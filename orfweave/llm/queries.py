@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard import OP7_SQL, op7_ngram_jaccard
 from .neighbours import OP9_SQL, op9_nearest_neighbours
 from .packing import op10_packing
 from .quality import OP5_SQL, op5_quality_rules
@@ -11,6 +12,7 @@ from .warc import OP6_SQL, op6_warc_archive
 QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_warc_archive": op6_warc_archive,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_secret_scans": op8_secret_scans,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_packing": op10_packing,
@@ -18,5 +20,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op5_quality_rules": OP5_SQL,
     "op6_warc_archive": OP6_SQL,
+    "op7_ngram_jaccard": OP7_SQL,
     "op9_nearest_neighbours": OP9_SQL,
 }
