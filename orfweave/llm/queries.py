@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .jaccard import OP7_SQL, op7_ngram_jaccard
+from .line_dedup import OP2_SQL, op2_line_dedup
 from .neighbours import OP9_SQL, op9_nearest_neighbours
 from .packing import op10_packing
 from .quality import OP5_SQL, op5_quality_rules
@@ -10,6 +11,7 @@ from .secrets import op8_secret_scans
 from .warc import OP6_SQL, op6_warc_archive
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_warc_archive": op6_warc_archive,
     "op7_ngram_jaccard": op7_ngram_jaccard,
@@ -18,6 +20,7 @@ QUERIES = {
     "op10_packing": op10_packing,
 }
 ORACLE_SQL = {
+    "op2_line_dedup": OP2_SQL,
     "op5_quality_rules": OP5_SQL,
     "op6_warc_archive": OP6_SQL,
     "op7_ngram_jaccard": OP7_SQL,
