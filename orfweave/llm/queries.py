@@ -10,9 +10,11 @@ from .packing import op10_packing
 from .pieces import op3_sentencepiece
 from .quality import OP5_SQL, op5_quality_rules
 from .secrets import op8_secret_scans
+from .suffixes import op1_suffix_dedup
 from .warc import OP6_SQL, op6_warc_archive
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_chat_formatting": op4_chat_formatting,
