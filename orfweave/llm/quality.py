@@ -106,12 +106,14 @@ def clean_lines(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def quality(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row for each row of df: key, counts of its text, base_failed, the method's figures, kept and clean_text."""
-    raw = clean_lines(df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")))
+    """One row for each row of df: key, counts of its text, base_failed, the method's figures, kept, clean_text, and row
+    (a struct of all columns of df, so that no name can clash)."""
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    raw = clean_lines(df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"), row))
     counts = let(words(F.col("text")), lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), repeated_words(ws).alias("n_repeat_words")))
     dup = let(F.filter(F.split(F.col("text"), "\n", -1), has_word), lambda ls: (F.size(ls) - F.size(F.array_distinct(ls))).cast("long"))
     out = raw.withColumns({"__n": counts, "n_dup_lines": dup, "word_chars": word_chars(F.col("text")).cast("long"), "n_symbols": count_of(F.col("text"), SYMBOLS).cast("long")})
-    out = out.select(key, F.col("__n.n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("__n.n_repeat_words"), "n_failed_lines", "lost_chars", "clean_text")
+    out = out.select(key, F.col("__n.n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("__n.n_repeat_words"), "n_failed_lines", "lost_chars", "clean_text", "row")
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOST * F.col("word_chars")))
 
