@@ -263,8 +263,7 @@ def link(docs: DataFrame) -> DataFrame:
     reps = heads.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     reps = stored(reps, "classes")
     lead = heads.join(reps.select(F.col("rep").alias("doc_id"), "n", "s1", "s2"), ["doc_id", "n", "s1", "s2"], "left_semi")
-    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    postings = exploded(lead).repartition(parts, "token")
+    postings = exploded(lead)
     tops = postings.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("top"), F.max("doc").alias("last"), F.count("*").alias("c")).where("top.doc <> last")
     lists = stored(postings.join(tops.select("token", "top", "c"), "token"), "lists")
 

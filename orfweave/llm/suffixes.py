@@ -242,7 +242,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(doc, spans): for each document with repeated strings their bytes as starts and ends, in turn, not merged."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    every = anchors(docs).repartition(parts, "mark")
+    every = anchors(docs)
     twice = every.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
     found = stored(every.join(twice, "mark", "left_semi"), "marks")
     one = F.min(F.struct("doc", "start", "extra")).alias("one")
