@@ -42,7 +42,8 @@ def codons_inside(regions: DataFrame, contigs: DataFrame, codons: tuple[str, ...
     n = F.greatest(F.floor((F.col("region_end") - F.col("region_start") - 6) / 3) + 1, F.lit(0)).cast("int")
     cut = regions.join(contigs.select("contig_id", "seq"), "contig_id").withColumns({"piece": piece, "n": n})
     threes = F.regexp_extract_all(F.substring("piece", F.lit(1), F.col("n") * 3), F.lit("([a-z]{3})"), F.lit(1))
-    return cut.withColumn("threes", threes).select(*regions.columns, F.col("n").cast("long").alias("n"), *(F.size(F.filter("threes", lambda x, c=c: x == c)).cast("long").alias(f"in_{c}") for c in codons))
+    times = lambda c: F.size(F.filter("threes", lambda x: x == c)).cast("long").alias(f"in_{c}")
+    return cut.withColumn("threes", threes).select(*regions.columns, F.col("n").cast("long").alias("n"), *(times(c) for c in codons))
 
 
 def plain_signal(contigs: DataFrame, table: int) -> DataFrame:

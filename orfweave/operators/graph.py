@@ -42,20 +42,16 @@ def deserts(orfs: DataFrame, contigs: DataFrame) -> DataFrame:
     return gaps.where(F.col("b") - F.col("last") > NEAR)
 
 
-def _weight(w):
-    return quantised(w)
-
-
 def _edge(df: DataFrame, kind: str, src: str, dst: str, weight) -> DataFrame:
     """Edges of df, whose nodes are columns prefixed l_ and r_."""
-    return df.select("contig_id", F.lit(kind).alias("kind"), *(F.col(f"{p}_{c}").alias(f"{n}_{c}") for n, p in (("src", src), ("dst", dst)) for c in ("pos", "type", "frame")), _weight(weight).alias("weight"))
+    return df.select("contig_id", F.lit(kind).alias("kind"), *(F.col(f"{p}_{c}").alias(f"{n}_{c}") for n, p in (("src", src), ("dst", dst)) for c in ("pos", "type", "frame")), quantised(weight).alias("weight"))
 
 
 def edges_orf(scored: DataFrame) -> DataFrame:
     ahead = F.col("frame") > 0
     start, stop = F.struct(F.col("start").alias("p"), F.lit("start").alias("t")), F.struct(F.col("stop").alias("p"), F.lit("stop").alias("t"))
     both = scored.withColumns({"s": F.when(ahead, start).otherwise(stop), "d": F.when(ahead, stop).otherwise(start)})
-    return both.select("contig_id", F.lit("orf").alias("kind"), F.col("s.p").alias("src_pos"), F.col("s.t").alias("src_type"), F.col("frame").alias("src_frame"), F.col("d.p").alias("dst_pos"), F.col("d.t").alias("dst_type"), F.col("frame").alias("dst_frame"), _weight(F.col("weight")).alias("weight"))
+    return both.select("contig_id", F.lit("orf").alias("kind"), F.col("s.p").alias("src_pos"), F.col("s.t").alias("src_type"), F.col("frame").alias("src_frame"), F.col("d.p").alias("dst_pos"), F.col("d.t").alias("dst_type"), F.col("frame").alias("dst_frame"), quantised(F.col("weight")).alias("weight"))
 
 
 def _sided(n: DataFrame, side: str) -> DataFrame:
@@ -77,20 +73,21 @@ def _is(side: str, kind: str, ahead: bool):
     return (F.col(f"{side}_type") == kind) & ((F.col(f"{side}_frame") > 0) if ahead else (F.col(f"{side}_frame") < 0))
 
 
-def edges_near(pairs: DataFrame) -> dict[str, DataFrame]:
-    """The four families of edges between near nodes."""
+def edges_near(pairs: DataFrame) -> DataFrame:
+    """The four families of edges between near nodes, told apart in one pass over the pairs; overlaps lead back."""
     gap = F.col("r_pos") - F.col("l_pos") - 3
     lap = F.col("r_pos") - F.col("l_pos") + 3
     mean, pgap = (F.col("l_o") + F.col("r_o")) / 2, F.col("l_pstop")
     l, r, lo, ro = F.col("l_pos"), F.col("r_pos"), F.col("l_other"), F.col("r_other")
-    gap_same = pairs.where((_is("l", "stop", True) & _is("r", "start", True)) | (_is("l", "start", False) & _is("r", "stop", False)))
-    lap_same = pairs.where(((_is("l", "start", True) & _is("r", "stop", True)) | (_is("l", "stop", False) & _is("r", "start", False))) & (F.col("l_frame") != F.col("r_frame")) & (r < lo) & (ro < l))
-    gap_diff = pairs.where((_is("l", "stop", True) & _is("r", "stop", False)) | (_is("l", "start", False) & _is("r", "start", True) & (r - l > 2)))
-    lap_diff = pairs.where((_is("l", "stop", False) & _is("r", "stop", True) & (ro + 3 < l) & (r < lo)) | (_is("l", "start", True) & _is("r", "start", False) & (ro < l) & (r < lo)))
-    return {
-        "gap_same": _edge(gap_same, "gap_same", "l", "r", score_gap(gap, False, pgap)), "overlap_same": _edge(lap_same, "overlap_same", "r", "l", score_overlap(lap, False, mean)),
-        "gap_diff": _edge(gap_diff, "gap_diff", "l", "r", score_gap(gap, True, pgap)), "overlap_diff": _edge(lap_diff, "overlap_diff", "r", "l", score_overlap(lap, True, mean)),
-    }
+    kind = F.when((_is("l", "stop", True) & _is("r", "start", True)) | (_is("l", "start", False) & _is("r", "stop", False)), "gap_same")
+    kind = kind.when(((_is("l", "start", True) & _is("r", "stop", True)) | (_is("l", "stop", False) & _is("r", "start", False))) & (F.col("l_frame") != F.col("r_frame")) & (r < lo) & (ro < l), "overlap_same")
+    kind = kind.when((_is("l", "stop", True) & _is("r", "stop", False)) | (_is("l", "start", False) & _is("r", "start", True) & (r - l > 2)), "gap_diff")
+    kind = kind.when((_is("l", "stop", False) & _is("r", "stop", True) & (ro + 3 < l) & (r < lo)) | (_is("l", "start", True) & _is("r", "start", False) & (ro < l) & (r < lo)), "overlap_diff")
+    cost = F.when(F.col("kind") == "gap_same", score_gap(gap, False, pgap)).when(F.col("kind") == "gap_diff", score_gap(gap, True, pgap)).when(F.col("kind") == "overlap_same", score_overlap(lap, False, mean)).otherwise(score_overlap(lap, True, mean))
+    back = F.col("kind").startswith("overlap")
+    told = pairs.withColumn("kind", kind).where("kind is not null")
+    end = lambda first, second, c: F.when(back, F.col(f"{second}_{c}")).otherwise(F.col(f"{first}_{c}"))
+    return told.select("contig_id", "kind", *(end(*(("l", "r") if n == "src" else ("r", "l")), c).alias(f"{n}_{c}") for n in ("src", "dst") for c in ("pos", "type", "frame")), quantised(cost).alias("weight"))
 
 
 def edges_desert(orfs: DataFrame, contigs: DataFrame) -> DataFrame:
@@ -111,13 +108,12 @@ def edges_terminal(orfs: DataFrame, contigs: DataFrame) -> DataFrame:
     last = n.where((F.col("len") - F.col("pos")).between(0, REACH) & (((F.col("type") == "start") & (F.col("frame") < 0)) | ((F.col("type") == "stop") & (F.col("frame") > 0))))
     own = [F.col("pos"), F.col("type"), F.col("frame")]
     end = lambda name, pos: [pos, F.lit(name), F.lit(0)]
-    row = lambda df, kind, src, dst, length: df.select("contig_id", F.lit(kind).alias("kind"), *(c.alias(x) for c, x in zip([*src, *dst], EDGE[2:8], strict=True)), _weight(score_gap(length, False, F.col("pstop"))).alias("weight"))
+    row = lambda df, kind, src, dst, length: df.select("contig_id", F.lit(kind).alias("kind"), *(c.alias(x) for c, x in zip([*src, *dst], EDGE[2:8], strict=True)), quantised(score_gap(length, False, F.col("pstop"))).alias("weight"))
     return row(first, "source", end("source", F.lit(0)), own, F.col("pos")).unionByName(row(last, "target", own, end("target", F.col("len") + 1), F.col("len") - F.col("pos")))
 
 
 def edges(scored: DataFrame, contigs: DataFrame) -> DataFrame:
     """All families; parallel edges stay."""
     spans = scored.select("contig_id", "start", "stop", "frame", "pstop")
-    near = edges_near(near_pairs(spans, contigs))
-    families = [edges_orf(scored), edges_desert(spans, contigs), *near.values(), edges_terminal(spans, contigs)]
+    families = [edges_orf(scored), edges_desert(spans, contigs), edges_near(near_pairs(spans, contigs)), edges_terminal(spans, contigs)]
     return reduce(DataFrame.unionByName, families)

@@ -13,6 +13,7 @@ from ..operators.graph import edges
 from ..operators.orfs import orfs
 from ..operators.scoring import scored_orfs
 from ..operators.solver import genes, paths
+from ..operators.store import stored
 from ..sources.readers import contigs_from_text
 from ..sources.sinks import nucleotide_fasta, protein_fasta, render, sentinel
 
@@ -29,9 +30,11 @@ class Annotation:
 
 
 def annotate(contigs: DataFrame, table: int = 11, closed_ends: bool = False, mask_n: bool = False, min_orf_len: int = 90) -> Annotation:
-    """Genes (contig_id, step, start, stop, strand, score, start_codon, seq) of every contig, as one lazy plan."""
+    """Genes (contig_id, step, start, stop, strand, score, start_codon, seq) of every contig. ORFs and their scores, which
+    several families of edges read, are written once."""
     check_table(table)
-    scored = scored_orfs(contigs, orfs(contigs, table, closed_ends, mask_n, min_orf_len), table)
+    found = stored(orfs(contigs, table, closed_ends, mask_n, min_orf_len), "orfs")
+    scored = stored(scored_orfs(contigs, found, table), "scored")
     return Annotation(genes(paths(edges(scored, contigs)), scored), scored, contigs)
 
 
