@@ -44,13 +44,36 @@ def translate_seq(seq: Column, table: int = 11) -> Column:
     return F.array_join(F.transform(blocks, one), "")
 
 
+def _spelled(motifs: str) -> list[str]:
+    """Motifs without character classes."""
+    out = []
+    for m in motifs.split("|"):
+        head, _, rest = m.partition("[")
+        choice, _, tail = rest.partition("]")
+        out += [head + c + tail for c in choice] if choice else [m]
+    return out
+
+
 def score_rbs(window: Column) -> Column:
-    """Score 0 to 27 of a window upstream of a start, read backwards; the first matching rule wins."""
+    """Score 0 to 27 of a window upstream of a start, read backwards; the first matching rule wins.
+
+    A motif that starts within a range of offsets is contained in a short piece, which is cheaper than a pattern. Rules
+    are in descending order, so the best score over the four ranges is the first match; a range is only searched if its
+    piece holds a core that all motifs share.
+    """
     back = F.reverse(window)
-    out = F.when(~window.rlike(RBS_ANY), 0)
-    for score, motifs, low, high in RBS_RULES:
-        out = out.when(back.rlike(f"^.{{{low},{high}}}(?:{motifs})"), score)
-    return out.otherwise(0)
+    best = []
+    for low, high in sorted({(a, b) for _, _, a, b in RBS_RULES}):
+        piece = lambda n, low=low, high=high: F.substring(back, low + 1, high - low + n)
+        out = F.when(~F.substring(back, low + 1, high - low + 6).rlike("gag|gga|agg|ga[atc]ga|gg[tgc]gg"), 0)
+        for score, motifs, a, b in RBS_RULES:
+            if (a, b) == (low, high):
+                found = F.lit(False)
+                for m in _spelled(motifs):
+                    found = found | piece(len(m)).contains(m)
+                out = out.when(found, score)
+        best.append(out.otherwise(0))
+    return F.when(window.rlike(RBS_ANY), F.greatest(*best)).otherwise(0)
 
 
 def count_base(seq: Column, base: str) -> Column:

@@ -21,7 +21,9 @@ def contigs_from_documents(spark: SparkSession, sf_dir: str, masked: bool = Fals
     if masked:
         letters, bases = "etaoinshrdlcumwfgypbvkjxqz ", "acgtacgtacgtacgtacgtacgtang"
         seq = F.translate(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z ]", ""), letters, bases)
-    return with_length(docs.select("contig_id", seq.alias("seq")))
+    # Work per contig is many times its size: a table of few files is dealt out to all cores first.
+    out, cores = with_length(docs.select("contig_id", seq.alias("seq"))), spark.sparkContext.defaultParallelism
+    return out.repartition(cores, "contig_id") if docs.rdd.getNumPartitions() < cores else out
 
 
 def with_length(contigs: DataFrame) -> DataFrame:
