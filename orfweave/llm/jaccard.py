@@ -42,7 +42,7 @@ SPARE = 20
 GROUP = 256
 #: Below this many rows, ids are sent to all tasks; beyond it, tables are joined by key.
 SMALL = 1_000_000
-_PART = 1 << 21
+_PART = 1 << 18
 
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
