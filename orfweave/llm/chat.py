@@ -66,6 +66,11 @@ class Hmm:
         """From (lines, states) of transcripts; a state is 2 * role + (1 if the line begins a turn)."""
         first, step = np.full(STATES, smooth), np.full((STATES, STATES), smooth)
         emit = [np.full((STATES, n), smooth) for n in FEATURES]
+        # A marker names its own role before any transcript is seen, so a role that is rare in training is read, too.
+        for role in range(len(ROLES)):
+            emit[0][2 * role + 1, 1 + role] += 20
+            emit[0][2 * role + 1, 0] += 2
+            emit[0][2 * role, 0] += 20
         # A turn's other lines keep its role, and every text begins with the first line of a turn.
         for role in range(len(ROLES)):
             for other in range(len(ROLES)):
