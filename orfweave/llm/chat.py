@@ -70,7 +70,9 @@ class Hmm:
         for role in range(len(ROLES)):
             emit[0][2 * role + 1, 1 + role] += 20
             emit[0][2 * role + 1, 0] += 2
-            emit[0][2 * role, 0] += 20
+            emit[0][2 * role] = [20, 1e-4, 1e-4, 1e-4, smooth]
+            emit[1][2 * role + 1, 0] += 5
+            step[2 * role : 2 * role + 2, 1::2] += 2
         # A turn's other lines keep its role, and every text begins with the first line of a turn.
         for role in range(len(ROLES)):
             for other in range(len(ROLES)):
