@@ -65,7 +65,8 @@ class Hmm:
     def train(cls, labelled: Iterator[tuple[list[str], list[int]]], smooth: float = 0.1) -> Hmm:
         """From (lines, states) of transcripts; a state is 2 * role + (1 if the line begins a turn)."""
         first, step = np.full(STATES, smooth), np.full((STATES, STATES), smooth)
-        emit = [np.full((STATES, n), smooth) for n in FEATURES]
+        # Endings and lengths say little, so they are smoothed more than markers and blank lines.
+        emit = [np.full((STATES, n), x) for n, x in zip(FEATURES, (smooth, smooth, 2.0, 2.0), strict=True)]
         # A marker names its own role before any transcript is seen, so a role that is rare in training is read, too.
         for role in range(len(ROLES)):
             emit[0][2 * role + 1, 1 + role] += 20

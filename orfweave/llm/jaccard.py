@@ -260,32 +260,35 @@ def link(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, rep (smallest id with the same set) and component_id."""
     docs = docs.select("doc_id", "text")
     heads = stored(sets_of(docs, frequent_shingles(docs), False), "heads")
-    reps = heads.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    reps = stored(reps, "classes")
-    lead = heads.join(reps.select(F.col("rep").alias("doc_id"), "n", "s1", "s2"), ["doc_id", "n", "s1", "s2"], "left_semi")
-    postings = exploded(lead)
-    tops = postings.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("top"), F.max("doc").alias("last"), F.count("*").alias("c")).where("top.doc <> last")
+    reps = stored(heads.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
+    sizes = reps.select(F.col("rep").alias("doc"), F.col("n"))
+    lead = heads.where("n > 0").select("doc_id", "n", "part").join(among(sizes), F.col("doc_id") == F.col("among"), "left_semi")
+    # One shuffle serves the counts and the lists; rows are two numbers.
+    parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    postings = exploded(lead).select("doc", "token").repartition(parts, "token")
+    tops = postings.groupBy("token").agg(F.min("doc").alias("top"), F.max("doc").alias("last"), F.count("*").alias("c")).where("top <> last")
     lists = stored(postings.join(tops.select("token", "top", "c"), "token"), "lists")
 
-    # 1. Star.
-    pairs = lists.where((F.col("doc") != F.col("top.doc")) & fits(F.col("n"), F.col("top.n"))).select(F.col("top.doc").alias("a"), F.col("doc").alias("b")).distinct()
-    pairs = sized(pairs)
-    involved = stored(lists.select(F.col("doc").alias("doc_id")).distinct(), "involved")
-    picked = docs.join(F.broadcast(involved), "doc_id", "left_semi") if involved.count() <= SMALL else docs.join(involved, "doc_id", "left_semi")
+    # 1. Star: each set with the smallest id that it shares most lists with. Other pairs are left to the search.
+    shared = lists.where("doc <> top").groupBy("doc", "top").agg(F.count("*").alias("times"))
+    pairs = shared.groupBy(F.col("doc").alias("b")).agg(F.max_by("top", F.struct("times", -F.col("top"))).alias("a"))
+    pairs = pairs.join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("m")), "a").join(sizes.select(F.col("doc").alias("b"), "n"), "b").where(fits(F.col("m"), F.col("n"))).select("a", "b")
+    involved = stored(lists.select("doc").distinct(), "involved")
+    picked = docs.join(among(involved), F.col("doc_id") == F.col("among"), "left_semi")
     sets = stored(sets_of(picked, None, True).select("doc_id", "part"), "sets")
-    first = stored(verified(pairs, sets), "links")
+    first = stored(verified(sized(pairs), sets), "links")
     labels = components(first)
 
     # 2. Search across components.
     labelled = lists.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     open_lists = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    still = stored(thinned(labelled.join(open_lists, "token").select("token", "doc", "n", "component", "c")), "open")
+    still = stored(thinned(labelled.join(open_lists, "token").select("token", "doc", "component", "c").join(sizes, "doc")), "open")
     left = still.select("token", F.col("doc").alias("a"), F.col("n").alias("m"), F.col("component").alias("ca"), F.col("spared").alias("sa"))
     right = still.select("token", F.col("doc").alias("b"), "n", F.col("component").alias("cb"), F.col("spared").alias("sb"))
     found = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("m"), F.col("n")))
     counted = found.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("m", "n")).alias("least"), F.min(F.col("sa") + F.col("sb")).alias("spared"))
     crossing = counted.where(F.col("shared") >= 1 + F.floor(F.col("least") / SPARE) - F.col("spared")).select("a", "b")
-    second = stored(verified(sized(crossing.join(first, ["a", "b"], "left_anti")), sets), "links")
+    second = stored(verified(sized(crossing), sets), "links")
     final = components(first.union(second))
 
     whole = heads.select("doc_id", "n", "s1", "s2").join(reps, ["n", "s1", "s2"], "left")
@@ -293,6 +296,12 @@ def link(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
+def among(ids: DataFrame) -> DataFrame:
+    """Ids (the column doc, as `among`) for a semi-join: sent to all tasks if they are few, joined by key otherwise."""
+    ids = ids.select(F.col("doc").alias("among"))
+    return F.broadcast(ids) if ids.count() <= SMALL else ids
+
+
 def sized(pairs: DataFrame) -> DataFrame:
     """pairs with of: how many pairs their a has, by which large groups are split."""
     return pairs.join(pairs.groupBy("a").agg(F.count("*").alias("of")), "a")
