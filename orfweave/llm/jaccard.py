@@ -269,14 +269,13 @@ def link(docs: DataFrame) -> DataFrame:
     tops = postings.groupBy("token").agg(F.min("doc").alias("top"), F.max("doc").alias("last"), F.count("*").alias("c")).where("top <> last")
     lists = stored(postings.join(tops.select("token", "top", "c"), "token"), "lists")
 
-    # 1. Star: each set with the smallest id that it shares most lists with. Other pairs are left to the search.
+    # 1. Star: each set with the smallest id that it shares most lists with, if those suffice for a link by themselves.
+    # All other pairs are left to the search, which misses none.
     shared = lists.where("doc <> top").groupBy("doc", "top").agg(F.count("*").alias("times"))
-    pairs = shared.groupBy(F.col("doc").alias("b")).agg(F.max_by("top", F.struct("times", -F.col("top"))).alias("a"))
-    pairs = pairs.join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("m")), "a").join(sizes.select(F.col("doc").alias("b"), "n"), "b").where(fits(F.col("m"), F.col("n"))).select("a", "b")
-    involved = stored(lists.select("doc").distinct(), "involved")
-    picked = docs.join(among(involved), F.col("doc_id") == F.col("among"), "left_semi")
-    sets = stored(sets_of(picked, None, True).select("doc_id", "part"), "sets")
-    first = stored(verified(sized(pairs), sets), "links")
+    pairs = shared.groupBy(F.col("doc").alias("b")).agg(F.max_by("top", F.struct("times", -F.col("top"))).alias("a"), F.max("times").alias("times"))
+    pairs = pairs.join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("m")), "a").join(sizes.select(F.col("doc").alias("b"), "n"), "b").where(fits(F.col("m"), F.col("n")) & (F.col("times") >= 1 + F.floor(F.least("m", "n") / SPARE))).select("a", "b")
+    pairs = stored(pairs, "pairs")
+    first = stored(verified(sized(pairs), sets_in(pairs, docs)), "links")
     labels = components(first)
 
     # 2. Search across components.
@@ -288,7 +287,8 @@ def link(docs: DataFrame) -> DataFrame:
     found = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("m"), F.col("n")))
     counted = found.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("m", "n")).alias("least"), F.min(F.col("sa") + F.col("sb")).alias("spared"))
     crossing = counted.where(F.col("shared") >= 1 + F.floor(F.col("least") / SPARE) - F.col("spared")).select("a", "b")
-    second = stored(verified(sized(crossing), sets), "links")
+    crossing = stored(crossing.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    second = stored(verified(sized(crossing), sets_in(crossing, docs)), "links")
     final = components(first.union(second))
 
     whole = heads.select("doc_id", "n", "s1", "s2").join(reps, ["n", "s1", "s2"], "left")
@@ -296,6 +296,13 @@ def link(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
+def sets_in(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, part): the whole sets of the documents of pairs."""
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ids")
+    picked = docs.join(among(ids), F.col("doc_id") == F.col("among"), "left_semi")
+    return stored(sets_of(picked, None, True).select("doc_id", "part"), "sets")
+
+
 def among(ids: DataFrame) -> DataFrame:
     """Ids (the column doc, as `among`) for a semi-join: sent to all tasks if they are few, joined by key otherwise."""
     ids = ids.select(F.col("doc").alias("among"))
