@@ -2,14 +2,16 @@
 
 `archive` keeps two tables in a folder: `payloads` (each distinct payload once, under its SHA-256) and `headers` (one
 row per record: the exact header bytes and the digest of its payload). Of records with equal payloads the one with the
-largest id is the `response`; the others are `revisit` records that refer to it. `restore` joins the tables, checks each
-payload against its digest and length again, and gives the records back; `to_warc` writes records as WARC/1.1 bytes, and
+largest id is the `response`; the others are `revisit` records that refer to it. `restore` checks each payload
+against its digest again, joins the tables, and gives the records back; `to_warc` writes records as WARC/1.1 bytes, and
 `read_warc` parses such files, plain or gzip by member.
 
-Payloads are never shuffled to find duplicates: only (digest, id) rows are, with the largest id pre-aggregated, so a
-payload that a third of all rows share costs one row per task. Defined results: a null payload is the empty payload, of
-0 bytes; empty payloads are equal to one another; a null url gives an empty target URI; equal (id, payload) rows are
-each a record, and of those one with the largest id counts as response by its id.
+`archive_pages` moves a payload across the network once, by its digest and after each task has merged its equal ones,
+so a payload that a third of all rows share costs one row per task; headers are made of digests and ids alone. `restore`
+moves payloads only where its payload column is asked for: lengths and digests come from each stored payload, read and
+checked once. Defined results: a null payload is the empty payload, of 0 bytes; empty payloads are equal to one another;
+a null url gives an empty target URI; equal (id, payload) rows are each a record, and of those one with the largest id
+counts as response by its id.
 """
 
 from __future__ import annotations
@@ -39,13 +41,17 @@ def base32(hex40: Column) -> Column:
     return F.concat(*chars)
 
 
-def records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """Records (id, record_type, refers_to, sha256, payload_bytes, header, payload): header bytes are exact."""
+def hashed(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
+    """(id, url, payload, sha256, payload_bytes, sha1) of each row of pages."""
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     base = pages.select(F.col(key).alias("id"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("payload"))
-    base = base.withColumns({"sha256": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload")})
-    first = base.groupBy("sha256", "payload_bytes", "sha1").agg(F.max("id").alias("first_id")).select("sha256", "first_id", "payload_bytes")
-    out = base.join(first, ["sha256", "payload_bytes"])
+    return base.withColumns({"sha256": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload")})
+
+
+def described(base: DataFrame, first: DataFrame) -> DataFrame:
+    """Rows of base with record_type, refers_to and header, whose bytes are exact; first has the response's id for each
+    sha256."""
+    out = base.join(first.select("sha256", "first_id"), "sha256")
     out = out.withColumns({"record_type": F.when(F.col("id") == F.col("first_id"), "response").otherwise("revisit"), "refers_to": F.when(F.col("id") != F.col("first_id"), F.col("first_id")), "digest": base32(F.col("sha1"))})
     line = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit("\r\n"))
     uri = lambda c: F.regexp_replace(c, r"[\r\n]", "%20")
@@ -55,25 +61,52 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: s
         F.when(F.col("refers_to").isNotNull(), F.concat(line("WARC-Refers-To", F.concat(F.lit("<urn:record:"), F.col("refers_to").cast("string"), F.lit(">"))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(""),
         line("Content-Type", F.lit("text/html")), line("Content-Length", F.when(F.col("refers_to").isNull(), F.col("payload_bytes")).otherwise(0).cast("string")), F.lit("\r\n"),
     )
-    return out.select("id", "record_type", "refers_to", "sha256", "payload_bytes", header.cast("binary").alias("header"), "payload")
+    return out.withColumn("header", header.cast("binary"))
+
+
+def records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
+    """Records (id, record_type, refers_to, sha256, payload_bytes, header, payload)."""
+    base = hashed(pages, key, url, payload)
+    first = base.groupBy("sha256").agg(F.max("id").alias("first_id"))
+    return described(base, first).select("id", "record_type", "refers_to", "sha256", "payload_bytes", "header", "payload")
 
 
 def archive(recs: DataFrame, folder: str) -> None:
-    """Write records to folder/headers and folder/payloads; both can be appended to."""
+    """Write records made elsewhere to folder/headers and folder/payloads; both can be appended to."""
     recs.select("id", "header", "sha256", "payload_bytes").write.mode("append").parquet(f"{folder}/headers")
     # Of rows with the same id and payload one is stored; only such rows meet in a group.
     whole = recs.where("record_type = 'response'").groupBy("sha256", "id").agg(F.first("payload").alias("payload"))
     whole.select("sha256", "payload").write.mode("append").parquet(f"{folder}/payloads")
 
 
+def archive_pages(pages: DataFrame, folder: str) -> None:
+    """Write a new archive of pages (page_id, url, html): what `archive` makes of their records.
+
+    A payload is shuffled once, by its digest, after each task has merged its equal ones.
+    """
+    base = hashed(pages)
+    whole = base.groupBy("sha256").agg(F.first("payload").alias("payload"), F.max("id").alias("first_id"))
+    whole.write.parquet(f"{folder}/payloads")
+    first = base.sparkSession.read.schema("sha256 string, first_id long").parquet(f"{folder}/payloads")
+    light = base.select("id", "url", "sha256", "payload_bytes", "sha1")
+    described(light, first).select("id", "header", "sha256", "payload_bytes").write.parquet(f"{folder}/headers")
+
+
 def restore(spark: SparkSession, folder: str) -> DataFrame:
-    """Records (header, payload, payload_bytes, sha256) of an archive, each payload checked against its digest."""
+    """Records (header, payload, payload_bytes, sha256, sha1) of an archive.
+
+    Each payload is checked against its digest once, where it is stored, and the columns made of it fail if it differs;
+    a header without a payload of its digest and length fails too.
+    """
     heads = spark.read.schema("id long, header binary, sha256 string, payload_bytes long").parquet(f"{folder}/headers")
     stored = spark.read.schema("sha256 string, payload binary").parquet(f"{folder}/payloads")
-    both = heads.join(stored, "sha256", "left")
-    fine = (F.sha2("payload", 256) == F.col("sha256")) & (F.octet_length("payload") == F.col("payload_bytes"))
-    checked = F.when(F.coalesce(fine, F.lit(False)), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload does not match its digest: "), F.col("sha256"))).cast("binary"))
-    return both.select("header", checked.alias("payload"), "payload_bytes", "sha256")
+    wrong = F.raise_error(F.concat(F.lit("payload does not match its digest: "), F.col("sha256")))
+    fine = F.sha2("payload", 256) == F.col("sha256")
+    kept = {"payload": F.col("payload"), "stored_bytes": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload")}
+    checked = stored.select("sha256", *(F.when(fine, c).otherwise(wrong.cast(kind)).alias(n) for (n, c), kind in zip(kept.items(), ("binary", "long", "string"), strict=True)))
+    both = heads.join(checked, "sha256", "left")
+    whole = F.coalesce(F.col("stored_bytes") == F.col("payload_bytes"), F.lit(False))
+    return both.select("header", F.when(whole, F.col("payload")).otherwise(wrong.cast("binary")).alias("payload"), F.when(whole, F.col("stored_bytes")).otherwise(wrong.cast("long")).alias("payload_bytes"), "sha256", F.when(whole, F.col("sha1")).otherwise(wrong.cast("string")).alias("sha1"))
 
 
 def field(header: Column, name: str) -> Column:
@@ -130,12 +163,12 @@ def gzip_member(record: bytes) -> bytes:
 
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "warc")
-    archive(records(table(spark, sf_dir, "pages")), folder)
+    archive_pages(table(spark, sf_dir, "pages"), folder)
     back = restore(spark, folder).withColumn("h", F.col("header").cast("string"))
     number = lambda name: F.regexp_extract(field(F.col("h"), name), r"<urn:record:(-?\d+)>", 1).cast("long")
     return back.select(
-        number("WARC-Record-ID").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest"),
-        field(F.col("h"), "WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"), (field(F.col("h"), "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), base32(F.sha1("payload")))).alias("digest_verified"),
+        number("WARC-Record-ID").alias("page_id"), "payload_bytes", base32(F.col("sha1")).alias("payload_digest"),
+        field(F.col("h"), "WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"), (field(F.col("h"), "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), base32(F.col("sha1")))).alias("digest_verified"),
     )
 
 

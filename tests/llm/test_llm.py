@@ -249,6 +249,9 @@ def test_warc_round_trip(spark, tmp_path):
     assert {r["header"] for r in warc.read_warc(spark, str(tmp_path / "w")).collect()} == set(back)
     warc.archive(warc.records(pages.limit(0)), str(tmp_path / "e"))
     assert warc.restore(spark, str(tmp_path / "e")).count() == 0
+    warc.archive_pages(pages, str(tmp_path / "p"))
+    assert {r["header"]: r["payload"] for r in warc.restore(spark, str(tmp_path / "p")).collect()} == back
+    assert spark.read.parquet(str(tmp_path / "p/payloads")).count() == len(set(back.values()))
 
 
 def test_neighbours(spark):
