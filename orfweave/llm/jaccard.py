@@ -7,15 +7,18 @@ set). These leading shingles make the inverted lists; lists of one set are dropp
 
 1. Star: every set on a list is paired with the list's smallest id. Pairs are checked by DivideSkip search (below), and
    links join sets to components. Families of near copies collapse here with pairs in proportion to the lists' lengths.
-2. Search: lists that still hold several components are searched for pairs across components. Each set may leave out
-   half of s of its lists, the longest; a pair that occurs on 1 + s lists less those left out is a candidate.
+2. Search: lists that still hold several components are searched for pairs across components. Two given sets must share
+   A = ceil(0.75 / 1.75 (m + n)) shingles, which is at least T, so only their first m - A + 1 + s and n - A + 1 + s
+   shingles count. Each set may leave out part of s of its lists, the longest. A pair is a candidate if it occurs on
+   1 + s lists less those left out, and if what follows its last shared leading shingle can still make up A.
 3. Candidates are checked as in 1, and components are final.
 
 DivideSkip: the lists of a query's shingles over a group of sets are divided into short ones, which are merged, and the
 longest, which are only probed (binary search) for sets that can still reach T.
 
-The order puts shingles that are frequent in a bounded sample of documents last. The sample (`SAMPLE` documents, the
-smallest hashed ids) decides the order alone, so it changes the lists' lengths and never the result.
+The order puts frequent shingles last, by the power of two of their count, then by hash. Counts come from one document in
+`SHARE`, at any size of the corpus, and the most frequent `FREQUENT` of them are known to all tasks. They decide the order
+alone: they change the lists' lengths and never the result.
 
 Defined results: null texts and texts without words have no set, no links, and are their own component; texts of one to
 four words have their whole sequence as one shingle; equal rows and copies share a class; an empty table gives no rows.
@@ -34,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import byte_codes, mix64, stored, table
 
 WIDTH, PERCENT = 5, 75
-#: Documents in the sample that orders shingles, and the most shingles that it may call frequent.
-SAMPLE, FREQUENT, HITS = 10_000, 200_000, 3
+#: One document in SHARE is counted for the order; shingles of HITS such documents are frequent, FREQUENT of them at most.
+SHARE, HITS, FREQUENT = 4, 4, 2_000_000
 #: A set's share of shingles by which its leading part grows.
 SPARE = 20
 #: Sets of a group that are searched at once; larger groups are split.
@@ -121,7 +124,12 @@ def needed(n: int) -> int:
     return -(-n * PERCENT // 100)
 
 
-def sets_of(docs: DataFrame, frequent: np.ndarray | None, whole: bool) -> DataFrame:
+def required(m: Column, n: Column) -> Column:
+    """Shingles that sets of these sizes must share."""
+    return F.ceil((m + n) * PERCENT / (100 + PERCENT))
+
+
+def sets_of(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray] | None, whole: bool) -> DataFrame:
     """(doc_id, n, s1, s2, part): size and signature of each set, and its leading (or, if whole, all) shingles."""
     schema = "doc_id long, n long, s1 long, s2 long, part binary"
 
@@ -135,10 +143,10 @@ def sets_of(docs: DataFrame, frequent: np.ndarray | None, whole: bool) -> DataFr
                     s1.append(int(mix64(x).sum(dtype=np.uint64).astype(np.int64)))
                     s2.append(int(mix64(x + _R).sum(dtype=np.uint64).astype(np.int64)))
                     if not whole and len(x):
-                        if frequent is not None and len(frequent):
-                            spot = np.searchsorted(frequent, x)
-                            late = frequent[np.minimum(spot, len(frequent) - 1)] == x
-                            x = np.concatenate([x[~late], x[late]])
+                        if frequent is not None and len(frequent[0]):
+                            spot = np.minimum(np.searchsorted(frequent[0], x), len(frequent[0]) - 1)
+                            level = np.where(frequent[0][spot] == x, frequent[1][spot], 0)
+                            x = x[np.argsort(level, kind="stable")]
                         x = x[: len(x) - needed(len(x)) + 1 + len(x) // SPARE]
                     out.append(x.tobytes())
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(out, pa.binary())], schema=pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("part", pa.binary())]))
@@ -147,8 +155,8 @@ def sets_of(docs: DataFrame, frequent: np.ndarray | None, whole: bool) -> DataFr
 
 
 def exploded(sets: DataFrame) -> DataFrame:
-    """(doc, n, token) for each shingle of the binary column part; a hash is read as a signed number."""
-    schema = "doc long, n long, token long"
+    """(doc, at, token) for each shingle of the binary column part: its place there, its hash read as a signed number."""
+    schema = "doc long, at int, token long"
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,18 +164,19 @@ def exploded(sets: DataFrame) -> DataFrame:
                 part = batch.slice(start, 1024)
                 tokens = [np.frombuffer(p, dtype=np.int64) for p in part["part"].to_pylist()]
                 sizes = [len(t) for t in tokens]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part["doc_id"].to_numpy(), sizes)), pa.array(np.repeat(part["n"].to_numpy(), sizes)), pa.array(np.concatenate([np.zeros(0, np.int64), *tokens]))], ["doc", "n", "token"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part["doc_id"].to_numpy(), sizes)), pa.array(np.concatenate([np.zeros(0, np.int32), *(np.arange(n, dtype=np.int32) for n in sizes)])), pa.array(np.concatenate([np.zeros(0, np.int64), *tokens]))], ["doc", "at", "token"])
 
-    return sets.select("doc_id", "n", "part").mapInArrow(made, schema)
+    return sets.select("doc_id", "part").mapInArrow(made, schema)
 
 
-def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """At most FREQUENT shingles that several documents of a bounded sample share, sorted."""
-    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).distinct()
-    some = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """At most FREQUENT shingles that several of the counted documents share, sorted, and their counts' powers of two."""
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == 0)
     counts = exploded(sets_of(some, None, True)).groupBy("token").count().where(F.col("count") >= HITS)
-    rows = counts.orderBy(F.desc("count"), "token").limit(FREQUENT).select("token").toArrow()
-    return np.sort(rows["token"].to_numpy().astype(np.int64).view(np.uint64))
+    rows = counts.orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()
+    tokens = rows["token"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], np.log2(rows["count"].to_numpy()[order]).astype(np.int8)
 
 
 def divide_skip(lists: list[np.ndarray], t: int, members: int) -> np.ndarray:
@@ -263,9 +272,9 @@ def link(docs: DataFrame) -> DataFrame:
     reps = stored(heads.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
     sizes = reps.select(F.col("rep").alias("doc"), F.col("n"))
     lead = heads.where("n > 0").select("doc_id", "n", "part").join(among(sizes), F.col("doc_id") == F.col("among"), "left_semi")
-    # One shuffle serves the counts and the lists; rows are two numbers.
+    # One shuffle serves the counts and the lists; rows are three numbers.
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    postings = exploded(lead).select("doc", "token").repartition(parts, "token")
+    postings = exploded(lead).repartition(parts, "token")
     tops = postings.groupBy("token").agg(F.min("doc").alias("top"), F.max("doc").alias("last"), F.count("*").alias("c")).where("top <> last")
     lists = stored(postings.join(tops.select("token", "top", "c"), "token"), "lists")
 
@@ -281,12 +290,16 @@ def link(docs: DataFrame) -> DataFrame:
     # 2. Search across components.
     labelled = lists.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     open_lists = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    still = stored(thinned(labelled.join(open_lists, "token").select("token", "doc", "component", "c").join(sizes, "doc")), "open")
-    left = still.select("token", F.col("doc").alias("a"), F.col("n").alias("m"), F.col("component").alias("ca"), F.col("spared").alias("sa"))
-    right = still.select("token", F.col("doc").alias("b"), "n", F.col("component").alias("cb"), F.col("spared").alias("sb"))
-    found = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("m"), F.col("n")))
-    counted = found.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("m", "n")).alias("least"), F.min(F.col("sa") + F.col("sb")).alias("spared"))
-    crossing = counted.where(F.col("shared") >= 1 + F.floor(F.col("least") / SPARE) - F.col("spared")).select("a", "b")
+    still = stored(thinned(labelled.join(open_lists, "token").select("token", "doc", "at", "component", "c").join(sizes, "doc")), "open")
+    left = still.select("token", F.col("doc").alias("a"), F.col("at").alias("i"), F.col("n").alias("m"), F.col("component").alias("ca"), F.col("spared").alias("sa"))
+    right = still.select("token", F.col("doc").alias("b"), F.col("at").alias("j"), "n", F.col("component").alias("cb"), F.col("spared").alias("sb"))
+    m, n = F.col("m"), F.col("n")
+    spare = F.floor(F.least(m, n) / SPARE)
+    leading = (F.col("i") <= m - required(m, n) + spare) & (F.col("j") <= n - required(m, n) + spare)
+    found = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(m, n) & leading)
+    counted = found.groupBy("a", "b", "m", "n").agg(F.count("*").alias("shared"), F.max("i").alias("i"), F.max("j").alias("j"), F.min(F.col("sa") + F.col("sb")).alias("spared"))
+    most = F.col("shared") + F.col("spared") + F.least(m - 1 - F.col("i"), n - 1 - F.col("j"))
+    crossing = counted.where((F.col("shared") >= 1 + spare - F.col("spared")) & (most >= required(m, n))).select("a", "b")
     crossing = stored(crossing.join(pairs, ["a", "b"], "left_anti"), "pairs")
     second = stored(verified(sized(crossing), sets_in(crossing, docs)), "links")
     final = components(first.union(second))
