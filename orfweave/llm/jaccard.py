@@ -11,6 +11,8 @@ set). These leading shingles make the inverted lists; lists of one set are dropp
    A = ceil(0.75 / 1.75 (m + n)) shingles, which is at least T, so only their first m - A + 1 + s and n - A + 1 + s
    shingles count. Each set may leave out part of s of its lists, the longest. A pair is a candidate if it occurs on
    1 + s lists less those left out, and if what follows its last shared leading shingle can still make up A.
+   Each set also has a map of 512 bits, the parities of its shingles by hash. Each bit in which two maps differ is due
+   to a shingle of one set alone, so sets with more than m + n - 2 A such bits can't link and are never paired.
 3. Candidates are checked as in 1, and components are final.
 
 DivideSkip: the lists of a query's shingles over a group of sets are divided into short ones, which are merged, and the
@@ -46,6 +48,8 @@ GROUP = 256
 #: Below this many rows, ids are sent to all tasks; beyond it, tables are joined by key.
 SMALL = 1_000_000
 _PART = 1 << 18
+#: Columns of a set's bitmap, 64 bits each.
+MAP = tuple(f"k{i}" for i in range(8))
 
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
@@ -129,17 +133,30 @@ def required(m: Column, n: Column) -> Column:
     return F.ceil((m + n) * PERCENT / (100 + PERCENT))
 
 
+def alike(m: Column, n: Column, left: str, right: str) -> Column:
+    """Whether the bitmaps (columns left.*, right.*) leave room for a link between sets of sizes m and n."""
+    differ = sum((F.bit_count(F.col(f"{left}.{k}").bitwiseXOR(F.col(f"{right}.{k}"))) for k in MAP), F.lit(0))
+    return differ <= m + n - 2 * required(m, n)
+
+
+def bitmap(x: np.ndarray) -> np.ndarray:
+    """The columns MAP of a set of shingle hashes."""
+    odd = np.bincount((x >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def sets_of(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray] | None, whole: bool) -> DataFrame:
-    """(doc_id, n, s1, s2, part): size and signature of each set, and its leading (or, if whole, all) shingles."""
-    schema = "doc_id long, n long, s1 long, s2 long, part binary"
+    """(doc_id, n, s1, s2, part, *MAP): each set's size, signature, leading (or, if whole, all) shingles and bitmap."""
+    schema = "doc_id long, n long, s1 long, s2 long, part binary, " + ", ".join(f"{k} long" for k in MAP)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                n, s1, s2, out = [], [], [], []
+                n, s1, s2, out, maps = [], [], [], [], []
                 for x in shingle_sets([t or b"" for t in part["text"].cast(pa.binary()).to_pylist()]):
                     n.append(len(x))
+                    maps.append(bitmap(x))
                     s1.append(int(mix64(x).sum(dtype=np.uint64).astype(np.int64)))
                     s2.append(int(mix64(x + _R).sum(dtype=np.uint64).astype(np.int64)))
                     if not whole and len(x):
@@ -149,7 +166,8 @@ def sets_of(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray] | None, who
                             x = x[np.argsort(level, kind="stable")]
                         x = x[: len(x) - needed(len(x)) + 1 + len(x) // SPARE]
                     out.append(x.tobytes())
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(out, pa.binary())], schema=pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("part", pa.binary())]))
+                columns = [part["doc_id"].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(out, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(np.array(c, np.int64)) for c in zip(*maps, strict=True)], names=["doc_id", "n", "s1", "s2", "part", *MAP])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(made, schema)
 
@@ -269,8 +287,9 @@ def link(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, rep (smallest id with the same set) and component_id."""
     docs = docs.select("doc_id", "text")
     heads = stored(sets_of(docs, frequent_shingles(docs), False), "heads")
-    reps = stored(heads.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
-    sizes = reps.select(F.col("rep").alias("doc"), F.col("n"))
+    reps = stored(heads.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first(F.struct(*MAP)).alias("map")), "classes")
+    sizes = reps.select(F.col("rep").alias("doc"), F.col("n"), "map")
+    reps = reps.drop("map")
     lead = heads.where("n > 0").select("doc_id", "n", "part").join(among(sizes), F.col("doc_id") == F.col("among"), "left_semi")
     # One shuffle serves the counts and the lists; rows are three numbers.
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -282,7 +301,8 @@ def link(docs: DataFrame) -> DataFrame:
     # All other pairs are left to the search, which misses none.
     shared = lists.where("doc <> top").groupBy("doc", "top").agg(F.count("*").alias("times"))
     pairs = shared.groupBy(F.col("doc").alias("b")).agg(F.max_by("top", F.struct("times", -F.col("top"))).alias("a"), F.max("times").alias("times"))
-    pairs = pairs.join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("m")), "a").join(sizes.select(F.col("doc").alias("b"), "n"), "b").where(fits(F.col("m"), F.col("n")) & (F.col("times") >= 1 + F.floor(F.least("m", "n") / SPARE))).select("a", "b")
+    m, n = F.col("m"), F.col("n")
+    pairs = pairs.join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("m"), F.col("map").alias("p")), "a").join(sizes.select(F.col("doc").alias("b"), "n", F.col("map").alias("q")), "b").where(fits(m, n) & alike(m, n, "p", "q") & (F.col("times") >= 1 + F.floor(F.least("m", "n") / SPARE))).select("a", "b")
     pairs = stored(pairs, "pairs")
     first = stored(verified(sized(pairs), sets_in(pairs, docs)), "links")
     labels = components(first)
@@ -291,12 +311,11 @@ def link(docs: DataFrame) -> DataFrame:
     labelled = lists.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     open_lists = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     still = stored(thinned(labelled.join(open_lists, "token").select("token", "doc", "at", "component", "c").join(sizes, "doc")), "open")
-    left = still.select("token", F.col("doc").alias("a"), F.col("at").alias("i"), F.col("n").alias("m"), F.col("component").alias("ca"), F.col("spared").alias("sa"))
-    right = still.select("token", F.col("doc").alias("b"), F.col("at").alias("j"), "n", F.col("component").alias("cb"), F.col("spared").alias("sb"))
-    m, n = F.col("m"), F.col("n")
+    left = still.select("token", F.col("doc").alias("a"), F.col("at").alias("i"), F.col("n").alias("m"), F.col("component").alias("ca"), F.col("spared").alias("sa"), F.col("map").alias("p"))
+    right = still.select("token", F.col("doc").alias("b"), F.col("at").alias("j"), "n", F.col("component").alias("cb"), F.col("spared").alias("sb"), F.col("map").alias("q"))
     spare = F.floor(F.least(m, n) / SPARE)
     leading = (F.col("i") <= m - required(m, n) + spare) & (F.col("j") <= n - required(m, n) + spare)
-    found = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(m, n) & leading)
+    found = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(m, n) & leading & alike(m, n, "p", "q"))
     counted = found.groupBy("a", "b", "m", "n").agg(F.count("*").alias("shared"), F.max("i").alias("i"), F.max("j").alias("j"), F.min(F.col("sa") + F.col("sb")).alias("spared"))
     most = F.col("shared") + F.col("spared") + F.least(m - 1 - F.col("i"), n - 1 - F.col("j"))
     crossing = counted.where((F.col("shared") >= 1 + spare - F.col("spared")) & (most >= required(m, n))).select("a", "b")

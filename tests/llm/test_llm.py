@@ -122,6 +122,23 @@ def test_divide_skip():
         assert jaccard.divide_skip(lists, t, 40).tolist() == np.flatnonzero(counts >= t).tolist()
 
 
+def test_bitmaps_and_leading_parts_lose_no_link():
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        n = int(rng.integers(5, 400))
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        y = np.unique(np.concatenate([x[: int(rng.integers(n // 2, n + 1))], rng.integers(0, 1 << 63, int(rng.integers(0, n // 3 + 1))).astype(np.uint64)]))
+        m, n = len(x), len(y)
+        both = len(np.intersect1d(x, y))
+        least = -(-(m + n) * jaccard.PERCENT // (100 + jaccard.PERCENT))
+        assert (100 * both >= jaccard.PERCENT * (m + n - both)) == (both >= least)
+        differ = int(np.bitwise_count(jaccard.bitmap(x).view(np.uint64) ^ jaccard.bitmap(y).view(np.uint64)).sum())
+        assert differ <= m + n - 2 * both
+        spare = min(m, n) // jaccard.SPARE
+        if both >= least:
+            assert len(np.intersect1d(x[: m - least + 1 + spare], y[: n - least + 1 + spare])) >= 1 + spare
+
+
 def test_quality(docs, texts, none):
     rows = {r["doc_id"]: r for r in quality.quality(docs).collect()}
     assert rows[4]["n_words"] == 0 and rows[4]["base_failed"] and rows[1]["kept"] and rows[11]["kept"]
