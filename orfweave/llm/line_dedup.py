@@ -49,7 +49,7 @@ def windows(docs: DataFrame) -> DataFrame:
                         at.append(i)
                         full.append(xxhash.xxh3_128_digest(data))
                         hashes.append(xxhash.xxh3_64_intdigest(data) - (1 << 63))
-                        if line.count(" ") >= LONG - 1 and len(_WORD.findall(line)) >= LONG:
+                        if len(line) >= 2 * LONG - 1 and len(_WORD.findall(line)) >= LONG:
                             for column, value in zip(out, (doc_id, i, [i], hashes[-1], full[-1]), strict=True):
                                 column.append(value)
                 for i, j in enumerate(fingerprints(hashes)):

@@ -77,6 +77,12 @@ def test_line_dedup(docs, texts, none):
     assert line_dedup.deduplicated(none).count() == 0
 
 
+def test_line_dedup_counts_words_at_any_white_space(spark):
+    line = words(60, 21).replace(" ", "\t")
+    df = spark.createDataFrame([(1, line + "\nx"), (2, "y\n" + line)], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(df).collect()} == {1: line + "\nx", 2: "y"}
+
+
 def test_winnowing_guarantees_a_fingerprint():
     rng = random.Random(1)
     hashes = [rng.randrange(5) for _ in range(200)]
