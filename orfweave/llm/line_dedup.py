@@ -4,7 +4,9 @@ Lines with a word are hashed. Of each window of `RUN` such lines the smallest ha
 fingerprint, so any run of RUN lines that repeats shares its fingerprints. Windows whose fingerprint occurs at more than
 one place are joined by the hash of all their lines: the match is extended from the fingerprint both ways to the window.
 Windows that occurred before, in order of (doc_id, line), are repeats, and overlapping ones are one longer run. Their
-lines go; the first occurrence stays. A line of `LONG` words or more is a run by itself.
+lines go; the first occurrence stays. A line of `LONG` words or more is a run by itself. So are, with `pairs`, two
+consecutive such lines that have `LONG` words together, under the smaller of their hashes: then every repeated passage
+of whole lines goes that has RUN lines or LONG words. The pipeline's stage has pairs; the query has none, as OP2_SQL.
 
 Defined results: null texts are empty; blank lines are never counted, matched or removed; a run that repeats within its
 own document goes there too; a document may become empty and stays as a row; rows that repeat an id are told apart by
@@ -35,34 +37,39 @@ def fingerprints(hashes: list[int], run: int = RUN) -> list[int]:
     return [min(range(i, i + run), key=lambda j: (hashes[j], -j)) for i in range(len(hashes) - run + 1)]
 
 
-def windows(docs: DataFrame) -> DataFrame:
-    """A row for each window of lines and each long line: where it starts, its lines, its fingerprint and its hash."""
+def windows(docs: DataFrame, pairs: bool = True) -> DataFrame:
+    """A row for each window of lines, long line and (with pairs) long pair: its start, lines, fingerprint and hash."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                at, hashes, full = [], [], []
+                at, hashes, full, sizes = [], [], [], []
                 for i, line in enumerate((text or "").split("\n")):
                     if _WORD.search(line):
                         data = line.encode()
                         at.append(i)
                         full.append(xxhash.xxh3_128_digest(data))
                         hashes.append(xxhash.xxh3_64_intdigest(data) - (1 << 63))
-                        if len(line) >= 2 * LONG - 1 and len(_WORD.findall(line)) >= LONG:
+                        sizes.append(len(_WORD.findall(line)) if pairs or len(line) >= 2 * LONG - 1 else 0)
+                        if sizes[-1] >= LONG:
                             for column, value in zip(out, (doc_id, i, [i], hashes[-1], full[-1]), strict=True):
                                 column.append(value)
                 for i, j in enumerate(fingerprints(hashes)):
                     for column, value in zip(out, (doc_id, at[i], at[i : i + RUN], hashes[j], xxhash.xxh3_128_digest(b"".join(full[i : i + RUN]))), strict=True):
                         column.append(value)
+                for i, j in enumerate(fingerprints(hashes, 2) if pairs else ()):
+                    if sizes[i] + sizes[i + 1] >= LONG:
+                        for column, value in zip(out, (doc_id, at[i], at[i : i + 2], hashes[j], xxhash.xxh3_128_digest(full[i] + full[i + 1])), strict=True):
+                            column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], ["doc_id", "line", "lines", "mark", "run"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, WINDOWS)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, pairs: bool = True) -> DataFrame:
     """(doc_id, lines): numbers of the lines of each document that later repeated runs hold, sorted."""
-    every = stored(windows(docs), "windows")
+    every = stored(windows(docs, pairs), "windows")
     place = F.struct("doc_id", "line")
     marks = every.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("mark")
     shared = every.join(marks, "mark", "left_semi")
@@ -82,16 +89,16 @@ def without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, batch.schema.field("text").type))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, pairs: bool = True) -> DataFrame:
     """docs, text less its removed lines, with the column __removed (their numbers, null if none) added."""
-    gone = repeats(docs.select("doc_id", "text")).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__removed"))
+    gone = repeats(docs.select("doc_id", "text"), pairs).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__removed"))
     joined = docs.join(gone, F.col("doc_id") == F.col("__id"), "left").drop("__id")
     return joined.mapInArrow(without_lines, joined.schema)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
-    out = deduplicated(docs)
+    out = deduplicated(docs, pairs=False)
     return out.select("doc_id", "n_lines", F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("n_removed"), F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 

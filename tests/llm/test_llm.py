@@ -83,6 +83,15 @@ def test_line_dedup_counts_words_at_any_white_space(spark):
     assert {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(df).collect()} == {1: line + "\nx", 2: "y"}
 
 
+def test_line_dedup_finds_passages_of_two_lines(spark):
+    import corpus_pipeline as p
+
+    passage, short = words(30, 31) + "\n" + words(30, 32), words(24, 33) + "\n" + words(24, 34)
+    texts = {1: "a\n" + passage + "\nb", 2: "c\n" + passage.replace("\n", "\n\n") + "\nd", 3: passage, 4: "e\n" + short, 5: short + "\nf"}
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"]: r["text"] for r in p.repeated_lines(spark, df, "").collect()} == texts | {2: "c\n\nd", 3: ""}
+
+
 def test_winnowing_guarantees_a_fingerprint():
     rng = random.Random(1)
     hashes = [rng.randrange(5) for _ in range(200)]
