@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -49,7 +50,8 @@ def default_tokenizer() -> tuple[str, str]:
 
 @functools.lru_cache(maxsize=2)
 def encoder(paths: tuple[str, str]) -> Callable[[str], np.ndarray]:
-    """A function from a text to its ids, as little-endian unsigned numbers of 16 bits (32 for large vocabularies).
+    """A function from a text without added tokens to its ids, as little-endian unsigned numbers of 16 bits (32 for large
+    vocabularies).
 
     The definition in paths[0] says how texts are split; the ranks in paths[1], whose ids are the same, do the merges.
     Where a text has single spaces only, the split never joins what such a space parts (a word takes its space along),
@@ -65,7 +67,7 @@ def encoder(paths: tuple[str, str]) -> Callable[[str], np.ndarray]:
         raise ValueError("not a byte-level tokenizer of the expected kind")
     with open(paths[1], "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    kind = "<u2" if len(ranks) + 1 <= 1 << 16 else "<u4"
+    kind = "<u2" if max([len(ranks), *(t["id"] for t in spec["added_tokens"])]) < 1 << 16 else "<u4"
     ordinary = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     pack = {n: struct.Struct(f"<{n}{'H' if kind == '<u2' else 'I'}").pack for n in range(1, 17)}
     young: dict[str, bytes] = {}
@@ -99,6 +101,34 @@ def encoder(paths: tuple[str, str]) -> Callable[[str], np.ndarray]:
     return encode
 
 
+@functools.lru_cache(maxsize=2)
+def whole_encoder(paths: tuple[str, str]) -> Callable[[str], np.ndarray]:
+    """A function from any text to its ids: added tokens (the longest of those at a place) have ids of their own, and
+    what lies between them is encoded by itself."""
+    import json
+
+    with open(paths[0], "rb") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        raise ValueError("not added tokens of the expected kind")
+    ordinary = encoder(paths)
+    if not added:
+        return ordinary
+    id_of = {t["content"]: t["id"] for t in added}
+    parted = re.compile("(" + "|".join(map(re.escape, sorted(id_of, key=len, reverse=True))) + ")")
+
+    def encode(text: str) -> np.ndarray:
+        parts = parted.split(text)
+        if len(parts) == 1:
+            return ordinary(text)
+        found = [ordinary(x) for x in parts[::2]]
+        kind = found[0].dtype
+        tokens = [np.array([id_of[x]], kind) for x in parts[1::2]]
+        return np.concatenate([x for pair in zip(found, [*tokens, np.zeros(0, kind)], strict=True) for x in pair])
+
+    return encode
+
+
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Places on the Hilbert curve of points with integer coordinates below 2**bits (rows: points)."""
     x = [cells[:, i].astype(np.int64) for i in range(cells.shape[1])]
@@ -145,7 +175,7 @@ def tokenize(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
     """(doc_id, place, n_tokens, ids): ids as the encoder packs them, the end token included."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, buckets, scale = encoder(paths), token_buckets(), projection()
+        encode, buckets, scale = whole_encoder(paths), token_buckets(), projection()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)

@@ -215,6 +215,17 @@ def test_tokens_equal_the_definition(text):
     assert packing.encoder(packing.default_tokenizer())(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_have_the_ids_of_the_definition(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer()[0])
+    texts = dict(enumerate(["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  x\n", "é<|endoftext|", "a  <|endoftext|>b c", "plain words"]))
+    rows = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    for i, t in texts.items():
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, packing.END]
+        assert [(r["doc_tokens"], r["ids_crc32"]) for r in rows if r["doc_id"] == i] == [(len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))]
+
+
 def test_hilbert_steps_are_neighbours():
     import itertools
 
