@@ -2,7 +2,8 @@
 
 Base spans come from three fixed patterns. The method adds tokens that look random: two character Markov models, one of
 random strings and one of ordinary identifiers, give each token a log-likelihood ratio; a high mean ratio per character
-over enough characters makes the token a span of kind `markov`. Spans are in code points, the end exclusive.
+over enough characters makes the token a span of kind `markov`. Where base spans cover a part of a token, each part that
+they leave and that has enough characters is scored by itself. Spans are in code points, the end exclusive.
 
 Training: ordinary identifiers are the words of at most `TRAIN_DOCS` documents (those with the smallest hashed ids),
 labelled ordinary where no base pattern matches; random strings are `TRAIN_RANDOM` generated digests in hexadecimal and
@@ -36,7 +37,8 @@ PATTERNS = ((ASSIGN, 6), (ACCESS, 20), (HEX, 24))
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 STATES = len(ALPHABET) + 1
 #: A token that the models score: this many of these characters or more.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_=-]{20,})"
+LEAST = 20
+TOKEN = rf"(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_=-]{{{LEAST},}})"
 TRAIN_DOCS = 500
 TRAIN_RANDOM = 2000
 #: Mean log-likelihood ratio per character pair from which on a token is random.
@@ -117,14 +119,24 @@ def scan(df: DataFrame, ratios: list[float], text: str = "text", threshold: floa
     t = F.coalesce(F.col(text), F.lit(""))
     out = df.withColumn("base_spans", F.array_sort(F.concat(*(matches(t, p, least, k) for (p, least), k in zip(PATTERNS, KINDS, strict=False)))))
 
-    def random_ones(found: Column) -> Column:
-        def fresh(x: Column) -> Column:
-            inside = F.exists(F.col("base_spans"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-            return ~inside & (mean_ratio(F.substring(t, x["s"] + 1, x["e"] - x["s"]), ratios) >= threshold)
+    def left(x: Column) -> Column:
+        """The parts of a token that no base span covers."""
+
+        def step(acc: Column, b: Column) -> Column:
+            meets = (b["s"] < x["e"]) & (acc["at"] < b["e"])
+            part = F.struct(acc["at"].alias("s"), b["s"].alias("e"), x["k"].alias("k"))
+            out = F.when(meets & (acc["at"] < b["s"]), F.concat(acc["out"], F.array(part))).otherwise(acc["out"])
+            return F.struct(F.when(meets, b["e"]).otherwise(acc["at"]).alias("at"), out.alias("out"))
 
-        return F.filter(found, fresh)
+        zero = F.struct(x["s"].alias("at"), F.array().cast(kind).alias("out"))
+        last = lambda acc: F.concat(acc["out"], F.array(F.struct(acc["at"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
+        return F.aggregate(F.col("base_spans"), zero, step, last)
+
+    def random_ones(found: Column) -> Column:
+        parts = F.filter(F.flatten(F.transform(found, left)), lambda x: x["e"] - x["s"] >= LEAST)
+        return F.filter(parts, lambda x: mean_ratio(F.substring(t, x["s"] + 1, x["e"] - x["s"]), ratios) >= threshold)
 
-    added = F.when(t.rlike(TOKEN), let(matches(t, TOKEN, 20, "markov"), random_ones)).otherwise(F.array().cast(kind))
+    added = F.when(t.rlike(TOKEN), let(matches(t, TOKEN, LEAST, "markov"), random_ones)).otherwise(F.array().cast(kind))
     return out.withColumn("spans", F.array_sort(F.concat("base_spans", added)))
 
 
