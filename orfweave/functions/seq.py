@@ -9,14 +9,34 @@ from .codes import codons
 
 #: Scores of ribosome-binding motifs: (score, motifs, least and greatest offset in the reversed window).
 RBS_RULES = (
-    (27, "ggagga", 5, 10), (26, "ggagga", 3, 4), (25, "ggagga", 11, 12), (24, "ggagg", 5, 10), (23, "ggagg", 3, 4), (22, "gagga", 5, 10), (21, "gagga", 3, 4),
-    (20, "gagga|ggagg", 11, 12), (19, "gga[cta]ga|gg[cgt]gga", 5, 10), (18, "gga[cta]ga|gg[cgt]gga", 3, 4), (17, "gga[cta]ga|gg[cgt]gga", 11, 12),
-    (16, "ggag|gagg", 5, 10), (15, "agga", 5, 10), (14, "gg[tgc]gg", 5, 10), (13, "agg|gag|gga", 5, 10), (12, "agga|gagg|ggag", 11, 12), (11, "agga|gagg|ggag", 3, 4),
-    (10, "gagga|ggagg|ggagga", 13, 15), (9, "ga[atc]ga", 5, 10), (8, "gg[tgc]gg", 3, 4), (7, "gg[tgc]gg", 11, 12), (6, "agg|gag|gga", 11, 12), (5, "ga[atc]ga", 3, 4),
-    (4, "ga[atc]ga", 11, 12), (3, "agga|gagg|ggag", 13, 15), (2, "agg|gag|gga|gga[atc]ga|gg[tgc]gg", 13, 15), (1, "agg|gag|gga", 3, 4),
-)
-#: Windows (read forwards) without any of these have score 0.
-RBS_ANY = "gag|agg|gga|ag[atc]ag|gg[tgc]gg"
+    (27, ("ggagga",), 5, 10),
+    (26, ("ggagga",), 3, 4),
+    (25, ("ggagga",), 11, 12),
+    (24, ("ggagg",), 5, 10),
+    (23, ("ggagg",), 3, 4),
+    (22, ("gagga",), 5, 10),
+    (21, ("gagga",), 3, 4),
+    (20, ("gagga", "ggagg"), 11, 12),
+    (19, ("ggaaga", "ggacga", "ggatga", "ggcgga", "ggggga", "ggtgga"), 5, 10),
+    (18, ("ggaaga", "ggacga", "ggatga", "ggcgga", "ggggga", "ggtgga"), 3, 4),
+    (17, ("ggaaga", "ggacga", "ggatga", "ggcgga", "ggggga", "ggtgga"), 11, 12),
+    (16, ("gagg", "ggag"), 5, 10),
+    (15, ("agga",), 5, 10),
+    (14, ("ggcgg", "ggggg", "ggtgg"), 5, 10),
+    (13, ("agg", "gag", "gga"), 5, 10),
+    (12, ("agga", "gagg", "ggag"), 11, 12),
+    (11, ("agga", "gagg", "ggag"), 3, 4),
+    (10, ("gagga", "ggagg", "ggagga"), 13, 15),
+    (9, ("gaaga", "gacga", "gatga"), 5, 10),
+    (8, ("ggcgg", "ggggg", "ggtgg"), 3, 4),
+    (7, ("ggcgg", "ggggg", "ggtgg"), 11, 12),
+    (6, ("agg", "gag", "gga"), 11, 12),
+    (5, ("gaaga", "gacga", "gatga"), 3, 4),
+    (4, ("gaaga", "gacga", "gatga"), 11, 12),
+    (3, ("agga", "gagg", "ggag"), 13, 15),
+    (2, ("agg", "gag", "gga", "ggaaga", "ggacga", "ggatga", "ggcgg", "ggggg", "ggtgg"), 13, 15),
+    (1, ("agg", "gag", "gga"), 3, 4),
+)
 
 
 def normalize_seq(raw: Column) -> Column:
@@ -44,36 +64,24 @@ def translate_seq(seq: Column, table: int = 11) -> Column:
     return F.array_join(F.transform(blocks, one), "")
 
 
-def _spelled(motifs: str) -> list[str]:
-    """Motifs without character classes."""
-    out = []
-    for m in motifs.split("|"):
-        head, _, rest = m.partition("[")
-        choice, _, tail = rest.partition("]")
-        out += [head + c + tail for c in choice] if choice else [m]
-    return out
-
-
 def score_rbs(window: Column) -> Column:
     """Score 0 to 27 of a window upstream of a start, read backwards; the first matching rule wins.
 
     A motif that starts within a range of offsets is contained in a short piece, which is cheaper than a pattern. Rules
-    are in descending order, so the best score over the four ranges is the first match; a range is only searched if its
-    piece holds a core that all motifs share.
+    are in descending order, so the best score over the four ranges is the first match.
     """
     back = F.reverse(window)
     best = []
     for low, high in sorted({(a, b) for _, _, a, b in RBS_RULES}):
-        piece = lambda n, low=low, high=high: F.substring(back, low + 1, high - low + n)
-        out = F.when(~F.substring(back, low + 1, high - low + 6).rlike("gag|gga|agg|ga[atc]ga|gg[tgc]gg"), 0)
+        out = F.when(F.lit(False), 0)
         for score, motifs, a, b in RBS_RULES:
             if (a, b) == (low, high):
                 found = F.lit(False)
-                for m in _spelled(motifs):
-                    found = found | piece(len(m)).contains(m)
+                for m in motifs:
+                    found = found | F.substring(back, low + 1, high - low + len(m)).contains(m)
                 out = out.when(found, score)
         best.append(out.otherwise(0))
-    return F.when(window.rlike(RBS_ANY), F.greatest(*best)).otherwise(0)
+    return F.when(window.rlike("gg|ga|ag"), F.greatest(*best)).otherwise(0)
 
 
 def count_base(seq: Column, base: str) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Positions are exploded from blocks, as substr scans a string from its start.
-BLOCK = 1000
+BLOCK = 120
 
 
 def encode_text(text: Column) -> Column:
@@ -47,6 +51,27 @@ def codons(contigs: DataFrame) -> DataFrame:
     return windows_at(contigs, 3).select("contig_id", "len", "pos", ((F.col("pos") - 1) % 3 + 1).cast("int").alias("frame"), F.col("piece").alias("codon"), rev_comp(F.col("piece")).alias("rc_codon"))
 
 
+def codon_counts(contigs: DataFrame) -> DataFrame:
+    """(frame, codon, rc_codon, n) over all contigs: each task counts its own, then at most 375 rows of each are summed."""
+    from ..functions.seq import rev_comp
+    from . import kernels as K
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, 125), np.int64)
+        for batch in batches:
+            for seq in batch["seq"].cast(pa.binary()):
+                x = K.codes_of(seq.as_py() or b"")
+                if len(x) >= 3:
+                    codon = K.codons_of(x)
+                    for f in range(3):
+                        total[f] += np.bincount(codon[f::3], minlength=125)
+        frame, code = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(frame + 1, pa.int32()), pa.array([K.TRIPLES[c] for c in code], pa.string()), pa.array(total[frame, code])], ["frame", "codon", "n"])
+
+    parts = contigs.select("seq").mapInArrow(counted, "frame int, codon string, n long")
+    return parts.groupBy("frame", "codon").agg(F.sum("n").alias("n")).select("frame", "codon", rev_comp(F.col("codon")).alias("rc_codon"), "n")
+
+
 def n_runs(contigs: DataFrame) -> DataFrame:
     """(contig_id, start, stop): maximal runs of n, read off the pieces between them."""
     runs = contigs.where(F.col("seq").contains("n")).select("contig_id", F.split("seq", "n+", -1).alias("gaps"), F.regexp_extract_all("seq", F.lit("(n+)"), F.lit(1)).alias("runs"))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import CANDIDATES, stop_codons
+from . import kernels as K
 from .contigs import windows_at
 from .orfs import open_regions
 
@@ -19,9 +22,26 @@ EXCLUSIVE = ("att", "atc", "ata", "gtg")
 
 def region_stats(contigs: DataFrame, table: int, min_len: int = 90) -> DataFrame:
     """(contig_id, mean_len, max_len) of open regions of both strands; 0 without any."""
-    size = F.col("region_end") - F.col("region_start")
-    found = open_regions(contigs, table, min_len).groupBy("contig_id").agg(F.avg(size).alias("mean_len"), F.max(size).alias("max_len"))
-    return contigs.select("contig_id").join(found, "contig_id", "left").select("contig_id", F.coalesce("mean_len", F.lit(0.0)).alias("mean_len"), F.coalesce("max_len", F.lit(0)).cast("int").alias("max_len"))
+    return region_stats_by_table(contigs, (table,), min_len).drop("table")
+
+
+def region_stats_by_table(contigs: DataFrame, tables: tuple[int, ...], min_len: int = 90) -> DataFrame:
+    """(contig_id, table, mean_len, max_len) for all tables from one pass over the contigs: a contig's regions are summed
+    where it is read."""
+    ends = {t: tuple(stop_codons(t)) for t in tables}
+
+    def found(seq: bytes):
+        x = K.codes_of(seq)
+        sizes: dict[int, list] = {t: [] for t in tables}
+        for y in (x, np.where(x < 4, 3 - x, 4).astype(np.uint8)[::-1]):
+            codons = K.codons_of(y) if len(y) >= 3 else y[:0]
+            for t in tables:
+                _, start, end = K.regions_of(codons, len(x), K.flags(ends[t]), min_len)
+                sizes[t].append(end - start)
+        every = [np.concatenate(sizes[t]) for t in tables]
+        return [np.array(tables), np.array([e.mean() if len(e) else 0.0 for e in every]), np.array([e.max() if len(e) else 0 for e in every])], len(tables)
+
+    return K.per_contig(contigs, found, [("table", "int", pa.int32()), ("mean_len", "double", pa.float64()), ("max_len", "int", pa.int32())])
 
 
 def background_freq(contigs: DataFrame, codons: tuple[str, ...]) -> DataFrame:
@@ -104,14 +124,15 @@ def signal_of(contigs: DataFrame, table: int) -> DataFrame:
 def table_scores(contigs: DataFrame, min_len: int = 90) -> DataFrame:
     """(contig_id, table, mean_orf_len, mol_ratio, reassignment_signal, composite, codon_details, rank); short contigs have none."""
     some = contigs.where(F.col("len") >= MIN_LEN)
-    base = region_stats(some, 11, min_len).select("contig_id", F.greatest("mean_len", F.lit(1.0)).alias("base_mean"), F.greatest("max_len", F.lit(1)).alias("base_max"))
+    stats = region_stats_by_table(some, CANDIDATES, min_len)
+    base = stats.where(F.col("table") == 11).select("contig_id", F.greatest("mean_len", F.lit(1.0)).alias("base_mean"), F.greatest("max_len", F.lit(1)).alias("base_max"))
     none = F.lit(None).cast("array<struct<codon:string,background_freq:double,orf_freq:double,ratio:double>>")
     parts = []
     for t in CANDIDATES:
         signals = signal_of(some, t)
         signals = signals if "details" in signals.columns else signals.withColumn("details", none)
-        parts.append(region_stats(some, t, min_len).join(signals, "contig_id").withColumn("table", F.lit(t)))
-    every = reduce(DataFrame.unionByName, parts).join(base, "contig_id").join(exclusive_starts(some), "contig_id")
+        parts.append(signals.withColumn("table", F.lit(t)))
+    every = reduce(DataFrame.unionByName, parts).join(stats, ["contig_id", "table"]).join(base, "contig_id").join(exclusive_starts(some), "contig_id")
     mol, far = F.col("mean_len") / F.col("base_mean"), F.col("max_len") / F.col("base_max")
     boost = F.when(F.col("table").isin(1, 11), 1.0).when(F.col("signal") > 0.6, 1.0).when(F.col("signal") > 0.3, F.when(far > 2.0, 1.0).otherwise(0.7)).otherwise(F.when(far > 2.5, 0.7).otherwise(0.4))
     scored = every.select("contig_id", "table", F.col("mean_len").alias("mean_orf_len"), mol.alias("mol_ratio"), F.col("signal").alias("reassignment_signal"), (mol * F.col("signal") * boost).alias("composite"), F.col("details").alias("codon_details"), "n")
@@ -133,8 +154,3 @@ def batch_matrix(contigs: DataFrame, min_len: int = 90) -> DataFrame:
     wide = table_scores(contigs, min_len).groupBy("contig_id").pivot("table", [1, 4, 6, 11, 15, 25]).agg(F.first("composite"))
     tables = [F.coalesce(F.col(f"`{t}`"), F.lit(0.0)).alias(f"t{t}") for t in (1, 4, 6, 11, 15, 25)]
     return batch_detect(contigs, min_len).select("contig_id", "len", "recommended", "confidence").join(wide, "contig_id", "left").select("contig_id", "len", "recommended", "confidence", *tables)
-
-
-def unused_stops(table: int) -> list[str]:
-    """Stops of the standard table that `table` reads as amino acids."""
-    return sorted(set(stop_codons(1)) - set(stop_codons(table)))

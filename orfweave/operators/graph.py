@@ -90,11 +90,18 @@ def edges_near(pairs: DataFrame) -> DataFrame:
     return told.select("contig_id", "kind", *(end(*(("l", "r") if n == "src" else ("r", "l")), c).alias(f"{n}_{c}") for n in ("src", "dst") for c in ("pos", "type", "frame")), quantised(cost).alias("weight"))
 
 
+def _blocked(n: DataFrame, side: str) -> DataFrame:
+    return _sided(n, side).withColumn("block", F.floor(F.col(f"{side}_pos") / NEAR))
+
+
 def edges_desert(orfs: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Bridges over uncovered runs: nodes just before one with nodes just after it."""
+    """Bridges over uncovered runs: nodes just before one with nodes just after it, found by blocks of positions."""
     n, d = nodes(orfs), deserts(orfs, contigs)
-    left = d.join(_sided(n, "l"), "contig_id").where((F.col("l_pos") > F.greatest(F.col("last") - NEAR, F.lit(0))) & (F.col("l_pos") <= F.col("last") + 1))
-    both = left.join(_sided(n, "r"), "contig_id").where((F.col("r_pos") >= F.col("b") - 1) & (F.col("r_pos") < F.col("b") + NEAR)).join(contig_pstop(contigs), "contig_id")
+    blocks = lambda first, end: F.explode(F.sequence(F.floor(first / NEAR), F.floor(end / NEAR)))
+    before = d.withColumn("block", blocks(F.greatest(F.col("last") - NEAR, F.lit(0)), F.col("last") + 1))
+    left = before.join(_blocked(n, "l"), ["contig_id", "block"]).where((F.col("l_pos") > F.greatest(F.col("last") - NEAR, F.lit(0))) & (F.col("l_pos") <= F.col("last") + 1))
+    after = left.withColumn("block", blocks(F.col("b") - 1, F.col("b") + NEAR))
+    both = after.join(_blocked(n, "r"), ["contig_id", "block"]).where((F.col("r_pos") >= F.col("b") - 1) & (F.col("r_pos") < F.col("b") + NEAR)).join(contig_pstop(contigs), "contig_id")
     gap = F.col("r_pos") - F.col("l_pos") - 3
     same = both.where((_is("l", "stop", True) & _is("r", "start", True)) | (_is("l", "start", False) & _is("r", "stop", False)))
     diff = both.where((_is("l", "stop", True) & _is("r", "stop", False)) | (_is("l", "start", False) & _is("r", "start", True)))

@@ -1,69 +1,79 @@
-"""Open reading frames: generators and as-of lookups of the next or previous in-frame stop.
-
-Only codons that start or stop something (and the contig's edges) are shuffled, once, by (contig, frame class); both
-strands share that partitioning. The windows run over unbounded preceding rows, so each is one pass over its partition.
-"""
+"""Open reading frames and open regions, found by a scan of each contig: one map over contigs, nothing is shuffled."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from ..functions.codes import caller_starts, start_codons, stop_codons
-from ..functions.seq import pstop, rev_comp, score_rbs
-from .contigs import codons
+from . import kernels as K
+
+_SPAN = [("start", "int", pa.int32()), ("stop", "int", pa.int32()), ("frame", "int", pa.int32())]
+_FACTS = [("start_codon", "string", pa.string()), ("rbs_score", "int", pa.int32()), ("pstop", "double", pa.float64()), ("emit_ord", "int", pa.int32())]
+_REGION = [("table", "int", pa.int32()), ("strand", "string", pa.string()), ("frame", "int", pa.int32()), ("region_start", "int", pa.int32()), ("region_end", "int", pa.int32())]
+
+
+def _sets(table: int, starts: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    return tuple(caller_starts(table) if starts == "caller" else start_codons(table)), tuple(stop_codons(table))
 
 
 def orf_spans(contigs: DataFrame, table: int = 11, closed_ends: bool = False, min_len: int = 90, starts: str = "caller") -> DataFrame:
-    """(contig_id, start, stop, frame) of all ORFs, nested ones included; L < 3 has none."""
-    begin, end = (caller_starts(table) if starts == "caller" else start_codons(table)), stop_codons(table)
-    hits = codons(contigs).select(
-        "contig_id", "len", "pos", "frame", F.col("codon").isin(begin).alias("f_start"), F.col("codon").isin(end).alias("f_stop"), F.col("rc_codon").isin(begin).alias("r_start"), F.col("rc_codon").isin(end).alias("r_stop")
-    )
-    edge = (F.col("pos") <= 3) | (F.col("pos") > F.col("len") - 5)
-    hits = hits.where(F.col("f_start") | F.col("f_stop") | F.col("r_start") | F.col("r_stop") | edge)
-    by = Window.partitionBy("contig_id", "frame")
-    up, down = by.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0), by.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
-    seen = hits.withColumns({
-        "previous": F.last(F.when(F.col("r_stop"), F.col("pos")), ignorenulls=True).over(up),
-        "next_stop": F.last(F.when(F.col("f_stop"), F.col("pos")), ignorenulls=True).over(down),
-        "later": F.max(F.when(F.col("r_stop"), F.col("pos"))).over(down),
-    })
-    last_end = F.col("len") - (F.col("len") - (F.col("frame") - 1)) % 3
-    ahead = seen.where(F.col("f_start") | (F.lit(not closed_ends) & (F.col("pos") <= 3)))
-    ahead = ahead.where(F.col("next_stop").isNotNull() | F.lit(not closed_ends)).select("contig_id", F.col("pos").alias("start"), F.coalesce("next_stop", last_end - 2).cast("int").alias("stop"), F.col("frame"))
-    ahead = ahead.where(F.col("stop") + 2 - F.col("start") + 1 >= min_len)
-    back = seen.where(F.col("r_start") | (F.lit(not closed_ends) & (F.col("pos") > F.col("len") - 5) & (F.col("pos") + 2 == last_end)))
-    back = back.where((F.col("later") > F.col("pos")) | F.lit(not closed_ends)).select("contig_id", F.col("pos").alias("start"), F.coalesce("previous", "frame").cast("int").alias("stop"), (-F.col("frame")).alias("frame"))
-    back = back.where(F.col("start") + 2 - F.col("stop") + 1 >= min_len)
-    return ahead.unionByName(back).select("contig_id", F.col("start").cast("int"), F.col("stop").cast("int"), F.col("frame").cast("int"))
-
-
-def orfs(contigs: DataFrame, table: int = 11, closed_ends: bool = False, mask_n: bool = False, min_len: int = 90, starts: str = "caller") -> DataFrame:
-    """ORFs with seq, start_codon, rbs_score, pstop; mask_n drops those that touch an n."""
-    both = orf_spans(contigs, table, closed_ends, min_len, starts).join(contigs.select("contig_id", "len", F.col("seq").alias("whole")), "contig_id")
-    low, high = F.least("start", "stop"), F.greatest("start", "stop") + 2
-    both = both.withColumn("span", F.substring("whole", low, high - low + 1))
-    if mask_n:
-        both = both.where(~F.col("span").contains("n"))
-    ahead = F.col("frame") > 0
-    before = F.lpad(F.substring("whole", F.greatest(F.col("start") - 20, F.lit(1)), F.least("start", F.lit(21))), 21, "a")
-    after = rev_comp(F.substring("whole", F.col("start") + 3, F.lit(21)))
-    both = both.withColumns({"seq": F.when(ahead, F.col("span")).otherwise(rev_comp(F.col("span"))), "window": F.when(ahead, before).otherwise(after)})
-    return both.select("contig_id", "start", "stop", "frame", F.substring("seq", 1, 3).alias("start_codon"), score_rbs(F.col("window")).alias("rbs_score"), pstop(F.col("seq")).alias("pstop"), "seq", "len")
-
-
-def open_regions(contigs: DataFrame, table: int, min_len: int = 90, both_strands: bool = True) -> DataFrame:
-    """(contig_id, strand, frame, region_start, region_end): stop-to-stop regions, 0-based, the end exclusive."""
-    from ..functions.seq import rev_comp_detect
-    from .contigs import windows_at
-
-    strands = contigs.select("contig_id", "len", "seq", F.lit("+").alias("strand"))
-    if both_strands:
-        strands = strands.unionByName(contigs.select("contig_id", "len", rev_comp_detect(F.col("seq")).alias("seq"), F.lit("-").alias("strand")))
-    keyed = strands.select(F.struct("contig_id", "strand").alias("contig_id"), "len", "seq")
-    stops = windows_at(keyed, 3).where(F.col("piece").isin(stop_codons(table))).select("contig_id", ((F.col("pos") - 1) % 3).cast("int").alias("frame"), (F.col("pos") - 1).cast("int").alias("region_end"), F.lit(3).alias("width"))
-    tails = strands.select(F.struct("contig_id", "strand").alias("contig_id"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("frame"), F.col("len").cast("int").alias("region_end"), F.lit(4).alias("width"))
-    order = Window.partitionBy("contig_id", "frame").orderBy("region_end", "width")
-    regions = stops.unionByName(tails).withColumn("region_start", F.coalesce(F.lag("region_end").over(order) + 3, F.col("frame")))
-    return regions.where(F.col("region_end") - F.col("region_start") >= min_len).select("contig_id.contig_id", "contig_id.strand", "frame", F.col("region_start").cast("int"), "region_end")
+    """(contig_id, start, stop, frame) of all ORFs, nested ones included; contigs under 3 bases have none."""
+    begin, end = _sets(table, starts)
+
+    def found(seq: bytes):
+        spans = K.orf_arrays(K.codes_of(seq), begin, end, closed_ends, min_len)
+        return list(spans), len(spans[0])
+
+    return K.per_contig(contigs, found, _SPAN)
+
+
+def orfs(contigs: DataFrame, table: int = 11, closed_ends: bool = False, mask_n: bool = False, min_len: int = 90, starts: str = "caller", with_seq: bool = True) -> DataFrame:
+    """ORFs with start_codon, rbs_score, pstop, emit_ord (their order of emission), len (the contig's) and, unless with_seq
+    is off, seq; mask_n drops those that touch an n."""
+    begin, end = _sets(table, starts)
+
+    def found(seq: bytes):
+        x = K.codes_of(seq)
+        start, stop, frame = K.orf_arrays(x, begin, end, closed_ends, min_len)
+        low, high = np.minimum(start, stop) - 1, np.maximum(start, stop) + 2
+        if not len(start):
+            return None
+        pstop, masked = K.span_pstop(K.base_sums(x), low, high, frame > 0)
+        score = K.orf_scores(x, start, frame).astype(np.int32)
+        order = np.arange(len(start))
+        if mask_n:
+            fine = masked == 0
+            start, stop, frame, low, high, pstop, score, order = (a[fine] for a in (start, stop, frame, low, high, pstop, score, order))
+        turned, size = K.reverse_complement(seq), len(seq)
+        cuts = [(seq, a, b) if f > 0 else (turned, size - b, size - a) for a, b, f in zip(low.tolist(), high.tolist(), frame.tolist(), strict=True)]
+        columns = [start, stop, frame, [s[a : a + 3].decode() for s, a, _ in cuts], score, pstop, order, np.full(len(start), size)]
+        return columns + ([[s[a:b].decode() for s, a, b in cuts]] if with_seq else []), len(start)
+
+    more = [("len", "int", pa.int32())] + ([("seq", "string", pa.string())] if with_seq else [])
+    return K.per_contig(contigs, found, _SPAN + _FACTS + more)
+
+
+def open_regions(contigs: DataFrame, table: int | tuple[int, ...], min_len: int = 90, both_strands: bool = True) -> DataFrame:
+    """(contig_id, strand, frame, region_start, region_end): stop-to-stop regions, 0-based, the end exclusive.
+
+    With several tables one pass finds the regions of all of them, told apart by the column `table`.
+    """
+    tables = (table,) if isinstance(table, int) else tuple(table)
+    ends = {t: tuple(stop_codons(t)) for t in tables}
+
+    def found(seq: bytes):
+        x = K.codes_of(seq)
+        parts = []
+        for strand in "+-" if both_strands else "+":
+            # In detection the complement of n is n.
+            y = x if strand == "+" else np.where(x < 4, 3 - x, 4).astype(np.uint8)[::-1]
+            codons = K.codons_of(y) if len(y) >= 3 else y[:0]
+            for t in tables:
+                frame, start, end = K.regions_of(codons, len(x), K.flags(ends[t]), min_len)
+                parts.append((np.full(len(frame), t), [strand] * len(frame), frame, start, end))
+        return [np.concatenate([p[i] for p in parts]) if i != 1 else sum((p[1] for p in parts), []) for i in range(5)], sum(len(p[2]) for p in parts)
+
+    out = K.per_contig(contigs, found, _REGION)
+    return out.drop("table") if isinstance(table, int) else out

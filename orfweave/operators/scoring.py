@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import start_weight
-from ..functions.seq import genome_pstop, max_idx, min_idx, rev_comp, score_rbs
-from .contigs import windows_at
+from ..functions.seq import genome_pstop
+from . import kernels as K
 
 BINS = 28
 
@@ -20,11 +22,19 @@ def _histogram(scored: DataFrame, contigs: DataFrame, total) -> DataFrame:
     return filled.select("contig_id", "score", (F.col("n") / total).alias("p"))
 
 
+def score_counts(contigs: DataFrame) -> DataFrame:
+    """(contig_id, len, score, n_ahead, n_back): how many positions have each RBS score, on either strand."""
+
+    def found(seq: bytes):
+        ahead, back = (np.bincount(s, minlength=BINS) for s in K.position_scores(K.codes_of(seq))) if seq else np.zeros((2, BINS), np.int64)
+        return [np.arange(BINS), ahead, back], BINS
+
+    return K.per_contig(contigs, found, [("score", "int", pa.int32()), ("n_ahead", "long", pa.int64()), ("n_back", "long", pa.int64())], keep=("contig_id", "len"))
+
+
 def rbs_background(contigs: DataFrame) -> DataFrame:
-    """Scores of the window from every position, on both strands."""
-    pieces = windows_at(contigs, 21, partial=True)
-    scored = pieces.select("contig_id", F.explode(F.array(score_rbs(F.col("piece")), score_rbs(rev_comp(F.col("piece"))))).alias("score"))
-    return _histogram(scored, contigs, 2 * F.col("len") + BINS)
+    """Scores of the window from every position, on both strands, with one pseudocount in each of the bins."""
+    return score_counts(contigs).select("contig_id", "score", ((F.col("n_ahead") + F.col("n_back") + 1) / (2 * F.col("len") + BINS)).alias("p"))
 
 
 def rbs_training(orfs: DataFrame, contigs: DataFrame) -> DataFrame:
@@ -40,12 +50,14 @@ def rbs_odds(orfs: DataFrame, contigs: DataFrame) -> DataFrame:
 
 def gc_frame(contigs: DataFrame) -> DataFrame:
     """(contig_id, pos, gc1, gc2, gc3): G or C among forty in-frame bases around a position and its two followers."""
-    bases = windows_at(contigs, 1).select("contig_id", "len", "pos", F.col("piece").isin("c", "g").cast("int").alias("gc"))
-    around = Window.partitionBy("contig_id", F.col("pos") % 3).orderBy("pos")
-    running = bases.withColumn("t", F.sum("gc").over(around.rowsBetween(-19, 20)).cast("int"))
-    after = Window.partitionBy("contig_id").orderBy("pos")
-    out = running.select("contig_id", "len", "pos", F.col("t").alias("gc1"), F.lead("t", 1).over(after).alias("gc2"), F.lead("t", 2).over(after).alias("gc3"))
-    return out.where(F.col("pos") <= F.col("len") - 2).drop("len")
+
+    def found(seq: bytes):
+        if len(seq) < 3:
+            return None
+        t = K.gc_counts(K.codes_of(seq))
+        return [np.arange(1, len(t) - 1), t[:-2], t[1:-1], t[2:]], len(t) - 2
+
+    return K.per_contig(contigs, found, [(n, "int", pa.int32()) for n in ("pos", "gc1", "gc2", "gc3")])
 
 
 def training_orfs(orfs: DataFrame) -> DataFrame:
@@ -55,49 +67,61 @@ def training_orfs(orfs: DataFrame) -> DataFrame:
     return best.select("contig_id", "o.start", "stop", "o.frame")
 
 
-def frame_bias(training: DataFrame, gc: DataFrame, contigs: DataFrame) -> DataFrame:
-    """(contig_id, idx, pmax, pmin): how often each codon position has most or least G and C in training ORFs."""
-    skip = F.floor(F.abs(F.col("stop") - F.col("start")) / 8) * 3
-    ahead = training.where("frame > 0").select("contig_id", F.lit(True).alias("ahead"), (F.col("start") + skip).cast("int").alias("a"), (F.col("stop") - 37).alias("b"))
-    back = training.where("frame < 0").select("contig_id", F.lit(False).alias("ahead"), (F.col("stop") + 37).alias("b"), (F.col("start") - skip).cast("int").alias("a"))
-    bases = ahead.where("a <= b").withColumn("pos", F.explode(F.sequence("a", "b", F.lit(3)))).unionByName(back.where("a >= b").withColumn("pos", F.explode(F.sequence("a", "b", F.lit(-3)))))
-    seen = bases.select("contig_id", "pos", "ahead").join(gc, ["contig_id", "pos"])
-    seen = seen.select("contig_id", "ahead", F.when(F.col("ahead"), F.col("gc1")).otherwise(F.col("gc3")).alias("x"), F.col("gc2").alias("y"), F.when(F.col("ahead"), F.col("gc3")).otherwise(F.col("gc1")).alias("z"))
-    x, y, z = F.col("x"), F.col("y"), F.col("z")
-    counts = seen.select("contig_id", max_idx(x, y, z).alias("hi"), min_idx(x, y, z).alias("lo")).groupBy("contig_id").agg(*(F.sum((F.col(c) == i).cast("int")).alias(f"{c}{i}") for c in ("hi", "lo") for i in (1, 2, 3)))
-    grid = contigs.select("contig_id").join(counts, "contig_id", "left").select("contig_id", *(((F.coalesce(F.col(f"{c}{i}"), F.lit(0)) + 1).cast("double")).alias(f"{c}{i}") for c in ("hi", "lo") for i in (1, 2, 3)))
-    top = {c: F.greatest(F.lit(1.0), *(F.col(f"{c}{i}") for i in (1, 2, 3))) for c in ("hi", "lo")}
-    rows = F.explode(F.array(*(F.struct(F.lit(i).alias("idx"), (F.col(f"hi{i}") / top["hi"]).alias("pmax"), (F.col(f"lo{i}") / top["lo"]).alias("pmin")) for i in (1, 2, 3))))
-    return grid.select("contig_id", rows.alias("r")).select("contig_id", "r.idx", "r.pmax", "r.pmin")
-
-
-def orf_hold(orfs: DataFrame, gc: DataFrame, bias: DataFrame) -> DataFrame:
-    """orfs with ln_hold. Counts of the nine index pairs are prefix sums; two lookups per ORF replace a scan of its codons."""
-    forward = F.struct(max_idx(F.col("gc1"), F.col("gc2"), F.col("gc3")).alias("hi"), min_idx(F.col("gc1"), F.col("gc2"), F.col("gc3")).alias("lo"))
-    reverse = F.struct(max_idx(F.col("gc3"), F.col("gc2"), F.col("gc1")).alias("hi"), min_idx(F.col("gc3"), F.col("gc2"), F.col("gc1")).alias("lo"))
-    wide = bias.groupBy("contig_id").agg(F.sort_array(F.collect_list(F.struct("idx", "pmax", "pmin"))).alias("p"))
-    pairs = [(i, j) for i in (1, 2, 3) for j in (1, 2, 3)]
-    order = Window.partitionBy("contig_id", F.col("pos") % 3).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    marked = gc.select("contig_id", "pos", forward.alias("f"), reverse.alias("r"))
-    sums = marked.select("contig_id", "pos", *(F.sum(((F.col(f"{s}.hi") == i) & (F.col(f"{s}.lo") == j)).cast("int")).over(order).alias(f"{s}{i}{j}") for s in "fr" for i, j in pairs))
-    sums = sums.select("contig_id", "pos", *(F.array(*(F.col(f"{s}{i}{j}") for i, j in pairs)).alias(f"c{s}") for s in "fr"))
-    # Forward: codons at start ... stop - 3, so positions above start - 3. Reverse: stop + 3 ... start, above stop.
-    ahead = F.col("frame") > 0
-    ends = orfs.withColumns({"upper": F.when(ahead, F.col("stop") - 3).otherwise(F.col("start")), "lower": F.when(ahead, F.col("start") - 3).otherwise(F.col("stop"))})
-    up = sums.select("contig_id", F.col("pos").alias("upper"), F.col("cf").alias("uf"), F.col("cr").alias("ur"))
-    low = sums.select("contig_id", F.col("pos").alias("lower"), F.col("cf").alias("lf"), F.col("cr").alias("lr"))
-    met = ends.join(up, ["contig_id", "upper"], "left").join(low, ["contig_id", "lower"], "left").join(wide, "contig_id")
-    high, base = F.when(ahead, F.col("uf")).otherwise(F.col("ur")), F.when(ahead, F.col("lf")).otherwise(F.col("lr"))
-    total = sum(((F.coalesce(F.get(high, F.lit(n)), F.lit(0)) - F.coalesce(F.get(base, F.lit(n)), F.lit(0))) * F.get(F.col("p"), F.lit(i - 1))["pmax"] * F.get(F.col("p"), F.lit(j - 1))["pmin"] for n, (i, j) in enumerate(pairs)), F.lit(0.0))
-    return met.withColumn("ln_hold", F.log(1 - F.col("pstop")) * total).drop("upper", "lower", "uf", "ur", "lf", "lr", "p")
+def _with_spans(contigs: DataFrame, spans: DataFrame, how: str = "inner") -> DataFrame:
+    """contigs with rows (array of structs of all columns of spans) and their start, stop and frame as arrays."""
+    names = [c for c in spans.columns if c != "contig_id"]
+    rows = spans.groupBy("contig_id").agg(F.collect_list(F.struct(*names)).alias("rows"))
+    both = contigs.select("contig_id", "seq").join(rows, "contig_id", how)
+    return both.select("contig_id", "seq", "rows", *(F.col(f"rows.{c}").alias(c) for c in ("start", "stop", "frame")))
+
+
+def frame_bias(training: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(contig_id, idx, pmax, pmin): how often each codon position has most or least G and C in training ORFs, over the
+    largest count; one pseudocount each. A training ORF's first eighths and last 12 codons are left out."""
+
+    def found(seq: bytes, start: np.ndarray, stop: np.ndarray, frame: np.ndarray):
+        counts = np.zeros((2, 3))
+        if len(start):
+            x = K.codes_of(seq)
+            skip = np.abs(stop - start) // 8 * 3
+            ahead = frame > 0
+            # pair_counts takes forward codons at start ... stop - 3 and reverse ones at stop + 3 ... start.
+            first = np.where(ahead, start + skip, start - skip)
+            last = np.where(ahead, first + ((stop - 37 - first) // 3 + 1) * 3, first - ((first - (stop + 37)) // 3 + 1) * 3)
+            some = np.where(ahead, first <= stop - 37, first >= stop + 37)
+            pairs = K.pair_counts(x, first[some], last[some], frame[some]).sum(0).reshape(3, 3)
+            counts = np.stack([pairs.sum(1), pairs.sum(0)])
+        counts = counts + 1
+        top = counts / np.maximum(counts.max(1, keepdims=True), 1)
+        return [np.arange(1, 4), top[0], top[1]], 3
+
+    spans = _with_spans(contigs, training, "left")
+    return K.per_contig(spans, found, [("idx", "int", pa.int32()), ("pmax", "double", pa.float64()), ("pmin", "double", pa.float64())], "start", "stop", "frame")
+
+
+def orf_hold(orfs: DataFrame, contigs: DataFrame, bias: DataFrame) -> DataFrame:
+    """orfs with ln_hold: ln(1 - pstop) times the sum over its codons of the bias of the frames with most and least G and C.
+
+    Counts of the nine pairs of frames are prefix sums over the contig, so an ORF costs two lookups and no scan of its own.
+    """
+    wide = bias.groupBy("contig_id").agg(F.sort_array(F.collect_list(F.struct("idx", "pmax", "pmin"))).alias("p")).select("contig_id", F.col("p.pmax").alias("pmax"), F.col("p.pmin").alias("pmin"))
+
+    def found(seq: bytes, start: np.ndarray, stop: np.ndarray, frame: np.ndarray, pmax: np.ndarray, pmin: np.ndarray):
+        counts = K.pair_counts(K.codes_of(seq), start, stop, frame)
+        return [[(counts * np.outer(pmax, pmin).ravel()).sum(1).tolist()]], 1
+
+    spans = _with_spans(contigs, orfs).join(wide, "contig_id")
+    totals = K.per_contig(spans, found, [("totals", "array<double>", pa.list_(pa.float64()))], "start", "stop", "frame", "pmax", "pmin", keep=("contig_id", "rows"))
+    held = totals.select("contig_id", F.explode(F.arrays_zip("rows", "totals")).alias("z"))
+    names = [c for c in orfs.columns if c != "contig_id"]
+    return held.select("contig_id", *(F.col(f"z.rows.{c}").alias(c) for c in names), (F.log(1 - F.col("z.rows.pstop")) * F.col("z.totals")).alias("ln_hold"))
 
 
 def scored_orfs(contigs: DataFrame, orfs: DataFrame, table: int = 11) -> DataFrame:
     """orfs with weight_rbs, ln_hold, ln_weight (of the weight's size) and weight."""
-    gc = gc_frame(contigs)
-    bias = frame_bias(training_orfs(orfs), gc, contigs)
+    bias = frame_bias(training_orfs(orfs), contigs)
     odds = rbs_odds(orfs, contigs).select("contig_id", F.col("score").alias("rbs_score"), F.col("odds").alias("weight_rbs"))
-    held = orf_hold(orfs, gc, bias).join(odds, ["contig_id", "rbs_score"])
+    held = orf_hold(orfs, contigs, bias).join(odds, ["contig_id", "rbs_score"])
     start = start_weight(F.col("start_codon"), table)
     held = held.withColumn("ln_weight", -F.col("ln_hold") + F.log(start) + F.log("weight_rbs"))
     return held.withColumn("weight", -(1 / F.exp("ln_hold")) * start * F.col("weight_rbs"))

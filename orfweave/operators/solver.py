@@ -8,14 +8,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
+
 PATH = "contig_id {id}, step int, src_pos int, src_type string, src_frame int, dst_pos int, dst_type string, dst_frame int"
 #: Fixed order of families, for ties.
 ORDER = ("orf", "desert_same", "desert_diff", "gap_same", "overlap_same", "gap_diff", "overlap_diff", "source", "target")
 
 
+TYPES = ("start", "stop", "source", "target")
+
+
 def shortest_path(src: np.ndarray, dst: np.ndarray, weight: list[int], n: int, source: int, target: int) -> list[int] | None:
     """Nodes of a cheapest path, or None; edges are tried in their order, and only a lower cost replaces another."""
     if source == target:
@@ -53,22 +59,26 @@ def shortest_path(src: np.ndarray, dst: np.ndarray, weight: list[int], n: int, s
 
 def solve(frame: pd.DataFrame) -> pd.DataFrame:
     """The path of one contig's edges, a row for each of its edges."""
-    empty = pd.DataFrame({c: [] for c in ("contig_id", "step", "src_pos", "src_type", "src_frame", "dst_pos", "dst_type", "dst_frame")})
+    columns = ["contig_id", "step", "src_pos", "src_type", "src_frame", "dst_pos", "dst_type", "dst_frame"]
+    empty = pd.DataFrame({c: [] for c in columns})
     if not len(frame):
         return empty
-    frame = frame.assign(rank=frame["kind"].map(ORDER.index)).sort_values(["rank", "src_pos", "dst_pos", "src_frame", "dst_frame", "src_type", "dst_type"], kind="stable")
-    ends = [list(zip(frame[f"{s}_pos"], frame[f"{s}_type"], frame[f"{s}_frame"], strict=True)) for s in ("src", "dst")]
-    names = list(dict.fromkeys(ends[0] + ends[1]))
-    number = {x: i for i, x in enumerate(names)}
-    source, target = (next((x for x in names if x[1] == kind), None) for kind in ("source", "target"))
-    if source is None or target is None:
+    keys = [frame[c].to_numpy() for c in ("src_type", "dst_frame", "src_frame", "dst_pos", "src_pos")]
+    frame = frame.iloc[np.lexsort((*keys, frame["kind"].map(ORDER.index).to_numpy()))]
+    # A node is one number: its position, type and frame.
+    code = lambda s: (frame[f"{s}_pos"].to_numpy(np.int64) * len(TYPES) + frame[f"{s}_type"].map(TYPES.index).to_numpy(np.int64)) * 7 + frame[f"{s}_frame"].to_numpy(np.int64) + 3
+    names, number = np.unique(np.concatenate([code("src"), code("dst")]), return_inverse=True)
+    kinds = names // 7 % len(TYPES)
+    ends = [np.flatnonzero(kinds == TYPES.index(k)) for k in ("source", "target")]
+    if not all(map(len, ends)):
         return empty
-    path = shortest_path(np.array([number[x] for x in ends[0]]), np.array([number[x] for x in ends[1]]), [int(w) for w in frame["weight"]], len(names), number[source], number[target])
+    n = len(frame)
+    path = shortest_path(number[:n], number[n:], [int(w) for w in frame["weight"]], len(names), int(ends[0][0]), int(ends[1][0]))
     if path is None:
         return empty
-    steps = [names[i] for i in path]
+    steps = [(int(x // 7 // len(TYPES)), TYPES[int(x // 7 % len(TYPES))], int(x % 7 - 3)) for x in names[path]]
     rows = [(frame["contig_id"].iloc[0], i, *a, *b) for i, (a, b) in enumerate(zip(steps[:-1], steps[1:], strict=True))]
-    return pd.DataFrame(rows, columns=empty.columns)
+    return pd.DataFrame(rows, columns=columns)
 
 
 def paths(edges: DataFrame) -> DataFrame:
@@ -82,4 +92,22 @@ def genes(path: DataFrame, scored: DataFrame) -> DataFrame:
     ahead = F.col("src_frame") > 0
     keyed = cds.select("contig_id", "step", F.when(ahead, F.col("src_pos")).otherwise(F.col("dst_pos")).alias("start"), F.when(ahead, F.col("dst_pos")).otherwise(F.col("src_pos")).alias("stop"), F.col("src_frame").alias("frame"))
     found = keyed.join(scored, ["contig_id", "start", "stop", "frame"])
-    return found.select("contig_id", "step", (F.when(F.col("frame") > 0, F.col("start")).otherwise(F.col("start") + 2)).alias("start"), F.when(F.col("frame") > 0, F.col("stop") + 2).otherwise(F.col("stop")).alias("stop"), F.when(F.col("frame") > 0, "+").otherwise("-").alias("strand"), F.col("weight").alias("score"), "start_codon", "seq")
+    ahead = F.col("frame") > 0
+    start, stop = F.when(ahead, F.col("start")).otherwise(F.col("start") + 2), F.when(ahead, F.col("stop") + 2).otherwise(F.col("stop"))
+    return found.select("contig_id", "step", start.alias("start"), stop.alias("stop"), F.when(ahead, "+").otherwise("-").alias("strand"), F.col("weight").alias("score"), "start_codon")
+
+
+def with_sequences(found: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Genes with seq, cut out of their contigs; a contig meets all its genes at once."""
+    names = [c for c in found.columns if c != "contig_id"]
+    rows = found.groupBy("contig_id").agg(F.collect_list(F.struct(*names)).alias("rows"))
+    both = contigs.select("contig_id", "seq").join(rows, "contig_id").select("contig_id", "seq", "rows", F.col("rows.start").alias("start"), F.col("rows.stop").alias("stop"))
+
+    def cut(seq: bytes, start: np.ndarray, stop: np.ndarray):
+        turned, size = K.reverse_complement(seq), len(seq)
+        # Printed coordinates: the first base of a gene is its start, on either strand.
+        return [[[(seq[a - 1 : b] if a <= b else turned[size - a : size - b + 1]).decode() for a, b in zip(start.tolist(), stop.tolist(), strict=True)]]], 1
+
+    out = K.per_contig(both, cut, [("seqs", "array<string>", pa.list_(pa.string()))], "start", "stop", keep=("contig_id", "rows"))
+    out = out.select("contig_id", F.explode(F.arrays_zip("rows", "seqs")).alias("z"))
+    return out.select("contig_id", *(F.col(f"z.rows.{c}").alias(c) for c in names), F.col("z.seqs").alias("seq"))

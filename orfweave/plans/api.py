@@ -12,7 +12,7 @@ from ..operators.detect import batch_detect, table_scores
 from ..operators.graph import edges
 from ..operators.orfs import orfs
 from ..operators.scoring import scored_orfs
-from ..operators.solver import genes, paths
+from ..operators.solver import genes, paths, with_sequences
 from ..operators.store import stored
 from ..sources.readers import contigs_from_text
 from ..sources.sinks import nucleotide_fasta, protein_fasta, render, sentinel
@@ -33,9 +33,9 @@ def annotate(contigs: DataFrame, table: int = 11, closed_ends: bool = False, mas
     """Genes (contig_id, step, start, stop, strand, score, start_codon, seq) of every contig. ORFs and their scores, which
     several families of edges read, are written once."""
     check_table(table)
-    found = stored(orfs(contigs, table, closed_ends, mask_n, min_orf_len), "orfs")
+    found = stored(orfs(contigs, table, closed_ends, mask_n, min_orf_len, with_seq=False), "orfs")
     scored = stored(scored_orfs(contigs, found, table), "scored")
-    return Annotation(genes(paths(edges(scored, contigs)), scored), scored, contigs)
+    return Annotation(with_sequences(genes(paths(edges(scored, contigs)), scored), contigs), scored, contigs)
 
 
 def find_orfs(contigs: DataFrame, table: int = 11, closed_ends: bool = False, mask_n: bool = False, min_orf_len: int = 90, starts: str = "table") -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ..functions import codes
-from ..functions.seq import RBS_ANY, RBS_RULES
 
 _FROM, _TO, _TO_N = "etaoinshrdlcumwfgypbvkjxqz ", "acgtacgtacgtacgtacgtacgtacg", "acgtacgtacgtacgtacgtacgtang"
 
@@ -12,9 +11,43 @@ def quoted(items) -> str:
     return ", ".join(f"'{x}'" for x in items)
 
 
+#: Fixed values, stated here once more so that the SQL doesn't share the implementation's table: score, offsets in the
+#: reversed window, motifs.
+_RBS = """
+27 5 10 ggagga
+26 3 4 ggagga
+25 11 12 ggagga
+24 5 10 ggagg
+23 3 4 ggagg
+22 5 10 gagga
+21 3 4 gagga
+20 11 12 gagga|ggagg
+19 5 10 ggaaga|ggacga|ggatga|ggcgga|ggggga|ggtgga
+18 3 4 ggaaga|ggacga|ggatga|ggcgga|ggggga|ggtgga
+17 11 12 ggaaga|ggacga|ggatga|ggcgga|ggggga|ggtgga
+16 5 10 gagg|ggag
+15 5 10 agga
+14 5 10 ggcgg|ggggg|ggtgg
+13 5 10 agg|gag|gga
+12 11 12 agga|gagg|ggag
+11 3 4 agga|gagg|ggag
+10 13 15 gagga|ggagg|ggagga
+9 5 10 gaaga|gacga|gatga
+8 3 4 ggcgg|ggggg|ggtgg
+7 11 12 ggcgg|ggggg|ggtgg
+6 11 12 agg|gag|gga
+5 3 4 gaaga|gacga|gatga
+4 11 12 gaaga|gacga|gatga
+3 13 15 agga|gagg|ggag
+2 13 15 agg|gag|gga|ggaaga|ggacga|ggatga|ggcgg|ggggg|ggtgg
+1 3 4 agg|gag|gga
+"""
+
+
 def rbs(window: str) -> str:
-    rules = " ".join(f"WHEN regexp_matches(reverse({window}), '^.{{{a},{b}}}(?:{m})') THEN {s}" for s, m, a, b in RBS_RULES)
-    return f"(CASE WHEN NOT regexp_matches({window}, '{RBS_ANY}') THEN 0 {rules} ELSE 0 END)"
+    rows = [line.split() for line in _RBS.strip().splitlines()]
+    rules = " ".join(f"WHEN regexp_matches(reverse({window}), '^.{{{a},{b}}}(?:{m})') THEN {s}" for s, a, b, m in rows)
+    return f"(CASE {rules} ELSE 0 END)"
 
 
 def rc(x: str, n: str = "a") -> str:

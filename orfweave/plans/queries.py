@@ -28,7 +28,7 @@ def _over(plan: Callable[[DataFrame], DataFrame]) -> Query:
 
 def _found(spark: SparkSession, sf_dir: str, name: str = "orfs", **options) -> tuple[DataFrame, DataFrame]:
     contigs = _contigs(spark, sf_dir)
-    return contigs, stored(orfs.orfs(contigs, **options), name)
+    return contigs, stored(orfs.orfs(contigs, with_seq=False, **options), name)
 
 
 def normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def rounded(df: DataFrame, *names: str, digits: int = 9) -> DataFrame:
 
 def frame_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     contigs, found = _found(spark, sf_dir)
-    return rounded(scoring.frame_bias(scoring.training_orfs(found), scoring.gc_frame(contigs), contigs), "pmax", "pmin")
+    return rounded(scoring.frame_bias(scoring.training_orfs(found), contigs), "pmax", "pmin")
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -165,9 +165,9 @@ QUERIES: dict[str, Query] = {
     "genetic_code": lambda spark, d: codes.genetic_code(spark),
     "base_composition": _over(C.composition),
     "genome_pstop": _over(lambda c: rounded(scoring.contig_pstop(c).where("pstop is not null"), "pstop")),
-    "codon_counts": _over(lambda c: C.codons(c).groupBy("frame", "codon", "rc_codon").agg(F.count("*").alias("n"))),
+    "codon_counts": _over(C.codon_counts),
     "n_runs": lambda spark, d: C.n_runs(C.contigs_from_documents(spark, d, True)),
-    "score_rbs": _over(lambda c: C.windows_at(c, 21, partial=True).select(S.score_rbs(F.col("piece")).alias("score")).groupBy("score").agg(F.count("*").alias("n"))),
+    "score_rbs": _over(lambda c: scoring.score_counts(c).groupBy("score").agg(F.sum("n_ahead").alias("n")).where("n > 0")),
     "rbs_background": _over(lambda c: rounded(scoring.rbs_background(c), "p")),
     "orfs_open": _orf_rows(),
     "orfs_closed": _orf_rows(closed_ends=True),
