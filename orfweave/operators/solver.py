@@ -7,8 +7,8 @@ A round relaxes all edges at once; a predecessor walk is bounded, so a negative
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,33 +57,36 @@ def shortest_path(src: np.ndarray, dst: np.ndarray, weight: list[int], n: int, s
     return path[::-1]
 
 
-def solve(frame: pd.DataFrame) -> pd.DataFrame:
+def solve(table: pa.Table) -> pa.Table:
     """The path of one contig's edges, a row for each of its edges."""
-    columns = ["contig_id", "step", "src_pos", "src_type", "src_frame", "dst_pos", "dst_type", "dst_frame"]
-    empty = pd.DataFrame({c: [] for c in columns})
-    if not len(frame):
-        return empty
-    keys = [frame[c].to_numpy() for c in ("src_type", "dst_frame", "src_frame", "dst_pos", "src_pos")]
-    frame = frame.iloc[np.lexsort((*keys, frame["kind"].map(ORDER.index).to_numpy()))]
+    numbers = {c: table[c].to_numpy().astype(np.int64) for c in ("src_pos", "src_frame", "dst_pos", "dst_frame")}
+    rank = pc.index_in(table["kind"], pa.array(ORDER)).to_numpy()
+    types = {s: pc.index_in(table[f"{s}_type"], pa.array(TYPES)).to_numpy().astype(np.int64) for s in ("src", "dst")}
+    order = np.lexsort((types["src"], numbers["dst_frame"], numbers["src_frame"], numbers["dst_pos"], numbers["src_pos"], rank))
     # A node is one number: its position, type and frame.
-    code = lambda s: (frame[f"{s}_pos"].to_numpy(np.int64) * len(TYPES) + frame[f"{s}_type"].map(TYPES.index).to_numpy(np.int64)) * 7 + frame[f"{s}_frame"].to_numpy(np.int64) + 3
+    code = lambda s: ((numbers[f"{s}_pos"] * len(TYPES) + types[s]) * 7 + numbers[f"{s}_frame"] + 3)[order]
     names, number = np.unique(np.concatenate([code("src"), code("dst")]), return_inverse=True)
     kinds = names // 7 % len(TYPES)
     ends = [np.flatnonzero(kinds == TYPES.index(k)) for k in ("source", "target")]
-    if not all(map(len, ends)):
-        return empty
-    n = len(frame)
-    path = shortest_path(number[:n], number[n:], [int(w) for w in frame["weight"]], len(names), int(ends[0][0]), int(ends[1][0]))
-    if path is None:
-        return empty
-    steps = [(int(x // 7 // len(TYPES)), TYPES[int(x // 7 % len(TYPES))], int(x % 7 - 3)) for x in names[path]]
-    rows = [(frame["contig_id"].iloc[0], i, *a, *b) for i, (a, b) in enumerate(zip(steps[:-1], steps[1:], strict=True))]
-    return pd.DataFrame(rows, columns=columns)
+    path = None
+    if all(map(len, ends)):
+        n = len(order)
+        weight = [int(w) for w in table["weight"].to_numpy()[order].tolist()]
+        path = shortest_path(number[:n], number[n:], weight, len(names), int(ends[0][0]), int(ends[1][0]))
+    steps = names[path] if path else names[:0]
+    place = {"pos": steps // 7 // len(TYPES), "type": np.array(TYPES)[steps // 7 % len(TYPES)], "frame": steps % 7 - 3}
+    columns = {"contig_id": table["contig_id"].combine_chunks().take(pa.array(np.zeros(max(len(steps) - 1, 0), np.int64))), "step": pa.array(np.arange(max(len(steps) - 1, 0)), pa.int32())}
+    for s, part in (("src", slice(None, -1)), ("dst", slice(1, None))):
+        for name, value in place.items():
+            columns[f"{s}_{name}"] = pa.array(value[part].tolist(), pa.string() if name == "type" else pa.int32())
+    return pa.table(columns)
 
 
 def paths(edges: DataFrame) -> DataFrame:
+    """The cheapest path of each contig. A contig's edges meet in one task: some 30 rows for each 100 bases' worth of ORFs,
+    which suits genomes of up to some ten million bases."""
     kind = edges.schema["contig_id"].dataType.simpleString()
-    return edges.groupBy("contig_id").applyInPandas(solve, PATH.format(id=kind))
+    return edges.groupBy("contig_id").applyInArrow(solve, PATH.format(id=kind))
 
 
 def genes(path: DataFrame, scored: DataFrame) -> DataFrame:
