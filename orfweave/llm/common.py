@@ -28,14 +28,16 @@ def words(text: Column) -> Column:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which the driver and all executors share.
 
-    Where the setting is absent (a single machine, as in tests), a temporary folder is set as checkpoint
-    folder of the session first.
+    Where the setting is absent on a single machine (a local master, as in tests), a temporary folder is set as checkpoint
+    folder of the session first; on a cluster that is an error, as executors share no folder of one machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = current.get() if current.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="orfweave_")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}_{uuid.uuid4().hex}"
@@ -46,7 +48,42 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what `stored` wrote, once nothing reads it any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key with more than one row in SHARE is hot: there are fewer than SHARE such keys, whatever the data.
+SHARE, SALTS = 1000, 64
+
+
+def hot_keys(counts: DataFrame, key: str, n: str = "n") -> list[int]:
+    """The hot keys (64-bit numbers) of counts (key, n): fewer than SHARE values reach the driver."""
+    total = counts.agg(F.sum(n)).collect()[0][0] or 0
+    least = max(total // SHARE, 1000)
+    return [r[0] for r in counts.where(F.col(n) > least).select(key).collect()]
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], hot: list[int], spread: Column, how: str = "inner") -> DataFrame:
+    """left joined with right (one row per key, or few) on `on`, whose first column is a 64-bit number.
+
+    Rows of left whose first key is hot are dealt over SALTS parts by the hash of spread; the few rows of right that they
+    meet are repeated for each part. No key's rows meet in one task.
+    """
+    if not hot:
+        return left.join(right, on, how)
+    some = F.col(on[0]).isin(hot)
+    left = left.withColumn("__salt", F.when(some, F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    right = right.withColumn("__salt", F.explode(F.when(some, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [*on, "__salt"], how).drop("__salt")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
