@@ -1,6 +1,6 @@
 """N-gram Jaccard join by T-occurrence search.
 
-A document's set holds its distinct shingles of five words as 64-bit hashes; equal sets are one class, represented by its
+A document's set holds its distinct shingles of five words as 64-bit hashes, mixed from a SipHash of each word; equal sets are one class, represented by its
 smallest id. Two sets of sizes m and n can only reach the similarity if they share T = ceil(0.75 max(m, n)) shingles, so
 under one order of all shingles the first n - T + 1 + s shingles of both share at least 1 + s (s: a twentieth of the
 set). These leading shingles make the inverted lists; lists of one set are dropped.
@@ -15,8 +15,10 @@ set). These leading shingles make the inverted lists; lists of one set are dropp
    to a shingle of one set alone, so sets with more than m + n - 2 A such bits can't link and are never paired.
 3. Candidates are checked as in 1, and components are final.
 
-DivideSkip: the lists of a query's shingles over a group of sets are divided into short ones, which are merged, and the
-longest, which are only probed (binary search) for sets that can still reach T.
+DivideSkip: the lists that a group of sets has for a query's shingles are divided. The short ones are merged by a heap, which
+counts each set; sets that could still reach their own T are looked up in the longest lists by binary search. Who reaches T
+is linked; nothing is counted again. Across the cluster the same division holds: the leading parts are the short lists, of
+which a pair must share 1 + s, and the frequent shingles behind them are the long lists, which are only probed.
 
 The order puts frequent shingles last, by the power of two of their count, then by hash. Counts come from one document in
 `SHARE`, at any size of the corpus, and the most frequent `FREQUENT` of them are known to all tasks. They decide the order
@@ -28,6 +30,8 @@ four words have their whole sequence as one shingle; equal rows and copies share
 
 from __future__ import annotations
 
+import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_codes, mix64, stored, table
+from .common import mix64, stored, table
 
 WIDTH, PERCENT = 5, 75
 #: One document in SHARE is counted for the order; shingles of HITS such documents are frequent, FREQUENT of them at most.
@@ -51,54 +55,37 @@ _PART = 1 << 18
 #: Columns of a set's bitmap, 64 bits each.
 MAP = tuple(f"k{i}" for i in range(8))
 
-_LOW = np.arange(256, dtype=np.uint8)
-_LOW[65:91] += 32
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-_CODES = byte_codes(5)
+_BLANK = frozenset(b" \t\n\v\f\r")
 _R = np.uint64(0x9E3779B97F4A7C15)
-_R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_WEIGHTS = mix64(np.arange(1, WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """SipHash of each word, 64 bits."""
+    held = np.empty(len(words), object)
+    held[:] = words
+    return pd.util.hash_array(held, categorize=False)
 
 
-_UP, _DOWN = _powers(_R, 1 << 16), _powers(_R_INVERSE, 1 << 16)
-
-
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of the words of data, lower-cased by A-Z."""
-    global _UP, _DOWN
-    raw = np.frombuffer(data, dtype=np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if len(_UP) <= len(raw):
-        _UP, _DOWN = _powers(_R, 2 * len(raw)), _powers(_R_INVERSE, 2 * len(raw))
-    word = np.concatenate([[False], ~_BLANK[raw], [False]])
-    edges = np.flatnonzero(word[1:] != word[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODES[_LOW[raw]] * _UP[: len(raw)], dtype=np.uint64)])
-    return mix64((sums[ends] - sums[starts]) * _DOWN[starts] + (ends - starts).astype(np.uint64)), starts
+def words_of(text: bytes) -> list[bytes]:
+    """Words of a text, A-Z in lower case: bytes.split and bytes.lower know just these characters."""
+    return text.lower().split()
 
 
 def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+    """The sorted distinct shingle hashes of each text. Words of about _PART bytes are held at once; only a long text's
+    hashes, a number each, are held whole."""
     at = 0
     while at < len(texts):
         end, size = at, 0
         while end < len(texts) and (end == at or size + len(texts[end]) <= _PART):
-            size += len(texts[end]) + 1
+            size += len(texts[end])
             end += 1
         if size > 2 * _PART:  # one long text: in parts that end at white space
-            yield _distinct(np.concatenate([word_hashes(p)[0] for p in _parts(texts[at])]))
+            yield _distinct(np.concatenate([word_hashes(words_of(p)) for p in _parts(texts[at])]))
         else:
-            group = texts[at:end]
-            hashes, starts = word_hashes(b"\n".join(group))
-            cuts = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in group)]))
+            group = [words_of(t) for t in texts[at:end]]
+            hashes = word_hashes([w for ws in group for w in ws])
+            cuts = np.cumsum([0, *map(len, group)])
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 yield _distinct(hashes[a:b])
         at = end
@@ -108,7 +95,7 @@ def _parts(text: bytes) -> Iterator[bytes]:
     at = 0
     while at < len(text):
         end = min(at + _PART, len(text))
-        while end < len(text) and not _BLANK[text[end]]:
+        while end < len(text) and text[end] not in _BLANK:
             end += 1
         yield text[at:end]
         at = end
@@ -118,10 +105,10 @@ def _distinct(words: np.ndarray) -> np.ndarray:
     if not len(words):
         return words
     k = min(len(words), WIDTH)
-    mixed = np.zeros(len(words) - k + 1, np.uint64)
+    mixed = np.full(len(words) - k + 1, k, np.uint64)
     for j in range(k):
-        mixed += words[j : j + len(mixed)] * _WEIGHTS[j]
-    return np.unique(mix64(mixed + np.uint64(k)))
+        mixed = mix64(mixed * _R + words[j : j + len(mixed)])
+    return np.unique(mixed)
 
 
 def needed(n: int) -> int:
@@ -197,34 +184,39 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], np.log2(rows["count"].to_numpy()[order]).astype(np.int8)
 
 
-def divide_skip(lists: list[np.ndarray], t: int, members: int) -> np.ndarray:
-    """Members (numbers below `members`) on at least t of the lists, each a sorted array of distinct members.
+def divide_skip(lists: list[np.ndarray], need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members (places in need) that are on at least need[member] of the lists, and on how many each is.
 
-    The longest lists, fewer than t, are set aside. The others are merged; who is on enough of them to reach t with all
-    of the long ones is looked up in each long list.
+    lists: sorted arrays of distinct members. The longest, fewer than the least need, are set aside; more of them the
+    larger the need is and the shorter they are. The others are merged by a heap, which counts each member. Those that
+    could still reach their need are looked up in the long lists by binary search, and given up as soon as they can't.
     """
+    none = np.zeros(0, np.int64)
     lists = sorted((x for x in lists if len(x)), key=len, reverse=True)
-    if t <= 0 or len(lists) < t:
-        return np.arange(members) if t <= 0 else np.zeros(0, np.int64)
-    longest = len(lists[0])
-    aside = min(t - 1, int(t / (0.01 * np.log2(longest + 1) + 1)))
-    counts = np.zeros(members, np.int64)
-    short = lists[aside:]
-    if short:
-        found, times = np.unique(np.concatenate(short), return_counts=True)
-        counts[found] = times
-    left = np.flatnonzero(counts >= t - aside)
+    least = int(need.min()) if len(need) else 0
+    if least < 1 or len(lists) < least:
+        return none, none
+    aside = min(least - 1, int(least / (0.01 * np.log2(len(lists[0]) + 1) + 1)))
+    found, times = [], []
+    for member, run in itertools.groupby(heapq.merge(*(x.tolist() for x in lists[aside:]))):
+        n = sum(1 for _ in run)
+        if n >= least - aside:
+            found.append(member)
+            times.append(n)
+    left, counts = np.array(found, np.int64), np.array(times, np.int64)
     for i, x in enumerate(lists[:aside]):
+        fine = counts + (aside - i) >= need[left]
+        left, counts = left[fine], counts[fine]
         if not len(left):
             break
-        spot = np.minimum(np.searchsorted(x, left), len(x) - 1)
-        counts[left] += x[spot] == left
-        left = left[counts[left] >= t - (aside - 1 - i)]
-    return left[counts[left] >= t]
+        counts += x[np.minimum(np.searchsorted(x, left), len(x) - 1)] == left
+    fine = counts >= need[left]
+    return left[fine], counts[fine]
 
 
 def search_group(query: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-    """Numbers of the sets that reach the similarity with query."""
+    """Numbers of the sets that reach the similarity with query: T-occurrence search over the inverted lists that the sets
+    have for the query's shingles, with each set's own T by both sizes."""
     sizes = np.array([len(s) for s in sets])
     tokens = np.concatenate(sets)
     owners = np.repeat(np.arange(len(sets)), sizes)
@@ -232,14 +224,8 @@ def search_group(query: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     hit = query[spot] == tokens
     order = np.lexsort((owners[hit], spot[hit]))
     slots, who = spot[hit][order], owners[hit][order]
-    cuts = np.flatnonzero(np.diff(slots)) + 1
-    lists = np.split(who, cuts) if len(who) else []
-    reached = divide_skip(lists, needed(len(query)), len(sets))
-    if not len(reached):
-        return reached
-    # T holds for the query's own size; the exact test of those that reach it uses both sizes.
-    shared = np.bincount(who, minlength=len(sets))[reached]
-    return reached[100 * shared >= PERCENT * (len(query) + sizes[reached] - shared)]
+    lists = np.split(who, np.flatnonzero(np.diff(slots)) + 1) if len(who) else []
+    return divide_skip(lists, -(-(len(query) + sizes) * PERCENT // (100 + PERCENT)))[0]
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -134,7 +134,17 @@ def test_divide_skip():
     for t in (1, 3, 6):
         lists = [np.flatnonzero(rng.random(40) < p) for p in (0.9, 0.8, 0.5, 0.3, 0.2, 0.1, 0.9)]
         counts = np.bincount(np.concatenate(lists), minlength=40)
-        assert jaccard.divide_skip(lists, t, 40).tolist() == np.flatnonzero(counts >= t).tolist()
+        need = np.maximum(t + rng.integers(0, 2, 40), 1)
+        found, times = jaccard.divide_skip(lists, need)
+        assert found.tolist() == np.flatnonzero(counts >= need).tolist() and times.tolist() == counts[found].tolist()
+
+
+def test_words_of_equal_polynomials_are_told_apart(spark):
+    """The Thue-Morse word and its complement collide under any polynomial modulo 2**64."""
+    morse = [bin(i).count("1") % 2 for i in range(1024)]
+    texts = {1: "".join("ab"[x] for x in morse), 2: "".join("ba"[x] for x in morse), 3: "".join("ab"[x] for x in morse) + " x"}
+    got = jaccard.link(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_links(texts)
 
 
 def test_bitmaps_and_leading_parts_lose_no_link():
