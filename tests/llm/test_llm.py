@@ -70,13 +70,42 @@ def test_suffix_dedup(docs, texts, none, monkeypatch, many):
     assert suffixes.deduplicated(none).count() == 0
 
 
-def test_line_dedup(docs, texts, none):
+def brute_lines(texts):
+    """Texts less the lines of repeated runs, by comparing the runs themselves."""
+    places = {}
+    for d in sorted(texts):
+        lines = (texts[d] or "").split("\n")
+        at = [(i, line, len(line_dedup._WORD.findall(line))) for i, line in enumerate(lines) if line_dedup._WORD.search(line)]
+        for k in range(len(at)):
+            for n, kind, fine in ((3, "window", True), (2, "pair", sum(c for _, _, c in at[k : k + 2]) >= 50), (1, "line", at[k][2] >= 50), (len(at), "document", k == 0 and len(at) < 3)):
+                if fine and k + n <= len(at):
+                    places.setdefault((kind, *(x for _, x, _ in at[k : k + n])), []).append((d, [i for i, _, _ in at[k : k + n]]))
+    gone = set()
+    for found in places.values():
+        first, end = found[0][0], found[0][1][-1]
+        gone |= {(d, i) for d, run in found[1:] for i in run if d != first or i > end}
+    return {d: t and "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in texts.items()}
+
+
+def test_line_dedup(spark, docs, texts, none):
     got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(docs).collect()}
+    assert got == brute_lines(texts)
     assert got[13] == "a\nb\nc\nd\ne" and got[14] == "" and got[1] == texts[1] and got[2] == "" and got[4] is None
     assert got[10] == texts[10].split("\n")[1]
     assert line_dedup.deduplicated(none).count() == 0
 
 
+def test_line_dedup_of_random_texts(spark):
+    rng = random.Random(11)
+    line = lambda: rng.choice(["p", "q", "r", "", "  ", words(60, 3), words(30, 4), words(30, 5), "s t"])
+    texts = {i: "\n".join(line() for _ in range(rng.randint(1, 9))) for i in range(150)}
+    texts |= {200: "p\nq\np\nq\np\nz", 201: "one\ntwo", 202: "one\ntwo", 203: "one", 204: "one"}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute_lines(texts) and got[202] == "" and got[204] == ""
+    alone = line_dedup.deduplicated(spark.createDataFrame([(200, texts[200])], "doc_id long, text string")).collect()
+    assert alone[0]["text"] == "p\nq\np\nz"
+
+
 def test_line_dedup_counts_words_at_any_white_space(spark):
     line = words(60, 21).replace(" ", "\t")
     df = spark.createDataFrame([(1, line + "\nx"), (2, "y\n" + line)], "doc_id long, text string")
@@ -84,12 +113,18 @@ def test_line_dedup_counts_words_at_any_white_space(spark):
 
 
 def test_line_dedup_finds_passages_of_two_lines(spark):
-    import corpus_pipeline as p
-
     passage, short = words(30, 31) + "\n" + words(30, 32), words(24, 33) + "\n" + words(24, 34)
     texts = {1: "a\n" + passage + "\nb", 2: "c\n" + passage.replace("\n", "\n\n") + "\nd", 3: passage, 4: "e\n" + short, 5: short + "\nf"}
-    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
-    assert {r["doc_id"]: r["text"] for r in p.repeated_lines(spark, df, "").collect()} == texts | {2: "c\n\nd", 3: ""}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(df).collect()} == texts | {2: "c\n\nd", 3: ""}
+
+
+def test_hot_lines_are_salted(spark, monkeypatch):
+    """A line that most documents hold is dealt over many tasks, with the same result."""
+    texts = {i: f"all\nhave\nthis\n{i}" for i in range(3000)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(df).collect()}
+    assert got == {i: str(i) if i else texts[0] for i in texts}
 
 
 def test_winnowing_guarantees_a_fingerprint():
