@@ -6,19 +6,23 @@ The suffixes that matter are few, so the corpus is first cut down to them, exact
    strings have equal marks, so only strings whose mark occurs twice can repeat. Strings with one mark overlap and form
    its context, at most 2 LENGTH - GRAM bytes.
 2. Equal contexts are one, with a count. A mark with one context has no further suffixes to sort: all strings of a
-   context that occurs twice repeat.
+   context that occurs twice repeat. Contexts are told apart by 128 bits of BLAKE2 over all their bytes.
 3. The contexts of marks that have several are texts whose suffixes are sorted by the difference-cover algorithm:
    suffixes at places 1 and 2 modulo 3 are sorted by triples, named, and sorted by recursion on the names; the others
    are sorted by their first symbol and the next rank, and merged in. Neighbours in that order are compared by their
-   first LENGTH bytes. Tasks hold whole marks, in blocks of at most `BLOCK` bytes.
-4. A mark with more than `MANY` contexts would be a hot group. Its strings are rows by themselves, counted under 128-bit
-   hashes with partial sums, so it is spread over all tasks.
+   first LENGTH bytes. Marks partition the suffixes, so tasks sort whole marks, in blocks of about `BLOCK` bytes.
+4. A mark with more than `MANY` contexts is split by more bytes. In a string the mark begins at a place d of 0 to GRAM; two
+   strings whose places are in one range of `STEP` agree on all but STEP - 1 bytes at their ends. Each range is a group of
+   its own for each such middle, and is sorted as in 3. A group that still has more than MANY texts holds nearly equal
+   strings: there the strings themselves, of LENGTH bytes, are counted, each task its own first. Groups only decide which
+   texts are sorted together; bytes decide what repeats.
 
-Repeats go back to documents through joins on (mark, context), and a document's spans are merged in its own row.
+Repeats go back to documents through joins on (mark, context), salted where a mark has very many places, and a document's
+spans are merged in its own row.
 
 Defined results: null texts are empty; texts shorter than LENGTH never match; nothing crosses documents; equal rows
-repeat one another. A context is told from others by 128 bits of hash. One very long text is cut into parts that share
-their borders, so memory follows the parts.
+repeat one another; rows that share an id with different texts would get each other's spans, so ids must be distinct but
+for equal rows. One very long text is cut into parts that share their borders, so memory follows the parts.
 """
 
 from __future__ import annotations
@@ -31,10 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_codes, mix64, stored, table
+from .common import byte_codes, hot_keys, mix64, salted_join, stored, table
 
 LENGTH, GRAM = 200, 100
-BLOCK, MANY = 1 << 20, 2000
+BLOCK, MANY, STEP = 1 << 20, 2000, 8
 PART = 1 << 22
 _CODES = byte_codes(9)
 _R = np.uint64(0xD1342543DE82EF95)
@@ -61,14 +65,19 @@ def _sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODES[raw] * up[: len(raw)], dtype=np.uint64)]), down
 
 
-def marks(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text: for each mark its hash, its context's hash, the first and last start of its strings, and its place."""
+def _grams(raw: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes from each position, the same wherever they lie."""
     sums, down = _sums(raw)
     n = len(raw) - GRAM + 1
-    grams = mix64((sums[GRAM:] - sums[:-GRAM]) * down[:n])
+    return mix64((sums[GRAM:] - sums[:-GRAM]) * down[:n])
+
+
+def marks(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text: for each mark its hash, its context's digest (two numbers), and the first and last start of its strings."""
+    grams = _grams(raw)
     # Smallest hash of each window, with the place in its low bits so that the rightmost of equals is taken.
     low = np.uint64((1 << 23) - 1)
-    best = (grams & ~low) | (low - np.arange(n, dtype=np.uint64))
+    best = (grams & ~low) | (low - np.arange(len(grams), dtype=np.uint64))
     width, span = LENGTH - GRAM + 1, 1
     while 2 * span <= width:
         best = np.minimum(best[:-span], best[span:])
@@ -79,8 +88,10 @@ def marks(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
     last = np.concatenate([first[1:], [len(at)]]) - 1
     place = at[first]
-    context = mix64((sums[last + LENGTH] - sums[first]) * down[first] + ((place - first) * 512 + (last - first)).astype(np.uint64) * _R)
-    return grams[place], context, first, last, place
+    data = raw.tobytes()
+    # The mark's place is a part of its context: the same bytes around another place have other strings.
+    digests = [hashlib.blake2b(data[a : b + LENGTH], digest_size=16, salt=(p - a).to_bytes(2, "little")).digest() for a, b, p in zip(first.tolist(), last.tolist(), place.tolist(), strict=True)]
+    return grams[place], np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2), first, last
 
 
 def _parts(raw: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -89,25 +100,29 @@ def _parts(raw: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield start, raw[start : start + PART + LENGTH - 1]
 
 
+KEY = ("mark", "context", "check")
+_KEYS = "mark long, context long, check long"
+
+
 def anchors(docs: DataFrame) -> DataFrame:
-    """(mark, context, doc, start, extra): the strings of `mark` in `doc` start at start ... start + extra."""
-    schema = "mark long, context long, doc long, start long, extra long"
+    """(mark, context, check, doc, start, extra): the strings of `mark` in `doc` start at start ... start + extra."""
+    names = [*KEY, "doc", "start", "extra"]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
-                columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+                columns: list[list[np.ndarray]] = [[] for _ in names]
                 for doc, text in zip(part["doc_id"].to_pylist(), part["text"].cast(pa.binary()).to_pylist(), strict=True):
                     if text is None or len(text) < LENGTH:
                         continue
                     for offset, raw in _parts(np.frombuffer(text, np.uint8)):
-                        mark, context, first, last, _ = marks(raw)
-                        for c, v in zip(columns, (mark.view(np.int64), context.view(np.int64), np.full(len(mark), doc), first + offset, last - first), strict=True):
+                        mark, digest, first, last = marks(raw)
+                        for c, v in zip(columns, (mark.view(np.int64), digest[:, 0], digest[:, 1], np.full(len(mark), doc), first + offset, last - first), strict=True):
                             c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *c])) for c in columns], ["mark", "context", "doc", "start", "extra"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *c])) for c in columns], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, ", ".join(f"{n} long" for n in names))
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -179,63 +194,101 @@ def _runs(starts: np.ndarray) -> list[int]:
     return np.stack([starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])]], 1).ravel().tolist()
 
 
-def sorted_contexts(contexts: DataFrame) -> DataFrame:
-    """(mark, context, runs) from (mark, context, text): starts that repeat, as runs. Rows of a mark are in one partition."""
-    schema = "mark long, context long, runs array<int>"
+GROUPED = f"grp long, {_KEYS}, base int, text binary"
+RUNS = f"{_KEYS}, runs array<int>"
 
-    def solve(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        found = repeated_starts([t for _, _, t in rows])
-        return pa.RecordBatch.from_arrays([pa.array([m for m, _, _ in rows], pa.int64()), pa.array([c for _, c, _ in rows], pa.int64()), pa.array([_runs(f) for f in found], pa.list_(pa.int32()))], ["mark", "context", "runs"])
+
+def sorted_contexts(texts: DataFrame) -> DataFrame:
+    """(mark, context, check, runs) from GROUPED rows: starts that repeat among the texts of a group, as runs; base is
+    where a text begins in its context. Rows of a group follow one another in one partition."""
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        found = repeated_starts([r[-1] for r in rows])
+        columns = [pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([_runs(f + r[4]) for f, r in zip(found, rows, strict=True)], pa.list_(pa.int32()))], [*KEY, "runs"])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple] = []
         size, begun = 0, None
         for batch in batches:
-            for row in zip(batch["mark"].to_pylist(), batch["context"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[0] != begun and size > BLOCK // 4:
                     yield solve(held)
                     held, size = [], 0
                 begun = row[0]
                 held.append(row)
-                size += len(row[2]) + 1
+                size += len(row[-1]) + 1
         if held:
             yield solve(held)
 
-    return contexts.mapInArrow(made, schema)
+    return texts.select(*(f.split(" ")[0] for f in GROUPED.split(", "))).mapInArrow(made, RUNS)
+
 
+def split_contexts(texts: DataFrame) -> DataFrame:
+    """GROUPED rows of contexts (mark, context, check, text): the strings whose mark begins in one range of STEP places, in
+    one group if they agree on the bytes that all of these have."""
 
-def strings_of(contexts: DataFrame) -> DataFrame:
-    """(mark, context, at, h, g): each string of LENGTH bytes of contexts (mark, context, text) under two hashes."""
-    schema = "mark long, context long, at int, h long, g long"
+    def pieces(mark: int, text: bytes) -> Iterator[tuple[int, int, bytes]]:
+        extra = len(text) - LENGTH
+        same = np.flatnonzero(_grams(np.frombuffer(text, np.uint8))[: LENGTH - GRAM + 1].view(np.int64) == mark)
+        place = int(same[-1])
+        for low in range(max(0, place - extra) // STEP * STEP, place + 1, STEP):
+            high = min(low + STEP - 1, LENGTH - GRAM)
+            first, last = max(0, place - high), min(extra, place - low)
+            if first <= last:
+                middle = text[place - low : place + LENGTH - high]
+                key = hashlib.blake2b(middle, digest_size=8, salt=low.to_bytes(2, "little")).digest()
+                yield int.from_bytes(key, "little", signed=True) ^ mark, first, text[first : last + LENGTH]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for mark, context, text in zip(batch["mark"].to_pylist(), batch["context"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                n = len(text) - LENGTH + 1
-                keys = [hashlib.blake2b(text[i : i + LENGTH], digest_size=16).digest() for i in range(n)]
-                both = np.frombuffer(b"".join(keys), np.int64).reshape(n, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, mark)), pa.array(np.full(n, context)), pa.array(np.arange(n, dtype=np.int32)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["mark", "context", "at", "h", "g"])
+            for begin in range(0, batch.num_rows, 512):
+                part = batch.slice(begin, 512)
+                rows, out = [], ([], [], [])
+                for i, (mark, text) in enumerate(zip(part["mark"].to_pylist(), part["text"].to_pylist(), strict=True)):
+                    for piece in pieces(mark, text):
+                        rows.append(i)
+                        for column, value in zip(out, piece, strict=True):
+                            column.append(value)
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(part[k].take(at) for k in KEY), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["grp", *KEY, "base", "text"])
 
-    return contexts.mapInArrow(made, schema)
+    return texts.select(*KEY, "text").mapInArrow(made, GROUPED)
+
+
+def grouped_runs(texts: DataFrame, parts: int) -> DataFrame:
+    """(mark, context, check, runs) of GROUPED rows of any group size: sorted, or counted as whole strings in groups of
+    more than MANY."""
+    sizes = stored(texts.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1"), "sizes")
+    hot = hot_keys(sizes, "grp", "k")
+    met = salted_join(texts, sizes, ["grp"], hot, F.struct("context", "base"))
+    few = sorted_contexts(met.where(F.col("k") <= MANY).repartition(parts, "grp").sortWithinPartitions("grp"))
+    at = F.explode(F.sequence(F.lit(1), F.octet_length("text") - (LENGTH - 1)))
+    strings = met.where(F.col("k") > MANY).select(*KEY, "base", "text", at.alias("i"))
+    strings = strings.select(*KEY, F.substring("text", F.col("i"), F.lit(LENGTH)).alias("text"), (F.col("base") + F.col("i") - 1).alias("at")).withColumn("key", F.xxhash64("text"))
+    twice = strings.groupBy("key", "text").agg(F.count("*").alias("n")).where("n > 1")
+    twice = stored(twice, "strings")
+    many = salted_join(strings, twice.select("key", "text"), ["key", "text"], hot_keys(twice, "key"), F.struct("context", "at"), "left_semi")
+    return few.where(F.size("runs") > 0).unionByName(many.select(*KEY, F.array("at", "at").cast("array<int>").alias("runs")))
 
 
 def context_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(mark, context, text) of wanted (mark, context, doc, start, extra), cut out of the documents."""
-    schema = "mark long, context long, text binary"
-    by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("mark", "context", "start", "extra")).alias("cuts"))
+    """(mark, context, check, text) of wanted (mark, context, check, doc, start, extra), cut out of the documents."""
+    by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct(*KEY, "start", "extra")).alias("cuts"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
-                out: list[list] = [[], [], []]
+                out: list[list] = [[], [], [], []]
                 for text, cuts in zip(part["text"].cast(pa.binary()).to_pylist(), part["cuts"].to_pylist(), strict=True):
                     for cut in cuts:
-                        for column, value in zip(out, (cut["mark"], cut["context"], text[cut["start"] : cut["start"] + cut["extra"] + LENGTH]), strict=True):
+                        piece = text[cut["start"] : cut["start"] + cut["extra"] + LENGTH]
+                        for column, value in zip(out, (*(cut[k] for k in KEY), piece), strict=True):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["mark", "context", "text"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], [*KEY, "text"])
 
-    return docs.join(by_doc, F.col("doc_id") == F.col("doc")).select("text", "cuts").mapInArrow(made, schema)
+    return docs.join(by_doc, F.col("doc_id") == F.col("doc")).select("text", "cuts").mapInArrow(made, _KEYS + ", text binary")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -243,24 +296,27 @@ def repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     every = anchors(docs)
-    twice = every.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
-    found = stored(every.join(twice, "mark", "left_semi"), "marks")
+    twice = stored(every.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1"), "twice")
+    hot, spread = hot_keys(twice, "mark"), F.struct("doc", "start")
+    found = stored(salted_join(every, twice.select("mark"), ["mark"], hot, spread, "left_semi"), "marks")
     one = F.min(F.struct("doc", "start", "extra")).alias("one")
-    contexts = stored(found.groupBy("mark", "context").agg(F.count("*").alias("n"), one), "contexts")
-    several = contexts.groupBy("mark").agg(F.count("*").alias("k"))
-    contexts = contexts.join(several, "mark").select("mark", "context", "n", "k", "one.*")
+    contexts = stored(found.groupBy(*KEY).agg(F.count("*").alias("n"), one), "contexts")
+    several = stored(contexts.groupBy("mark").agg(F.count("*").alias("k")).where("k > 1"), "several")
     # One context: all its strings repeat. Several: those of a context that occurs twice do, others are sorted.
-    whole = contexts.where("n > 1").select("mark", "context", F.array(F.lit(0), F.col("extra").cast("int")).alias("runs"))
-    texts = stored(context_texts(docs, contexts.where("k > 1").select("mark", "context", "doc", "start", "extra")), "texts")
-    texts = texts.join(several, "mark")
-    few = sorted_contexts(texts.where(F.col("k") <= MANY).select("mark", "context", "text").repartition(parts, "mark").sortWithinPartitions("mark"))
-    strings = strings_of(texts.where(F.col("k") > MANY).select("mark", "context", "text"))
-    same = strings.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
-    many = strings.join(same, ["h", "g"], "left_semi").select("mark", "context", F.array("at", "at").alias("runs"))
-    runs = whole.unionByName(few.where(F.size("runs") > 0)).unionByName(many)
-    runs = stored(runs.groupBy("mark", "context").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
-    back = found.join(runs, ["mark", "context"]).select("doc", F.transform("runs", lambda r, i: F.col("start") + r + F.when(i % 2 == 1, LENGTH).otherwise(0)).alias("spans"))
-    return back.groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    whole = contexts.where("n > 1").select(*KEY, F.array(F.lit(0), F.col("one.extra").cast("int")).alias("runs"))
+    varied = salted_join(contexts, several, ["mark"], hot, F.col("context")).select(*KEY, "one.*")
+    texts = stored(context_texts(docs, varied), "texts")
+    texts = salted_join(texts, several, ["mark"], hot, F.col("context"))
+    few = texts.where(F.col("k") <= MANY).select(F.col("mark").alias("grp"), *KEY, F.lit(0).alias("base"), "text")
+    few = sorted_contexts(few.repartition(parts, "grp").sortWithinPartitions("grp")).where(F.size("runs") > 0)
+    runs = whole.unionByName(few)
+    if not several.where(F.col("k") > MANY).isEmpty():
+        split = stored(split_contexts(texts.where(F.col("k") > MANY)), "split")
+        runs = runs.unionByName(grouped_runs(split, parts))
+    runs = stored(runs.groupBy(*KEY).agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
+    back = salted_join(found, runs, list(KEY), hot, spread)
+    spans = F.transform("runs", lambda r, i: F.col("start") + r + F.when(i % 2 == 1, LENGTH).otherwise(0))
+    return back.select("doc", spans.alias("spans")).groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 DEDUPED = "doc_id long, n_bytes long, spans array<long>, kept binary"

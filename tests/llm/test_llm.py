@@ -59,14 +59,22 @@ def brute_repeats(texts):
         if len(places) > 1:
             for i, a in places:
                 cover[i][a : a + 200] = b"\1" * 200
-    return {i: (len(t), sum(cover[i]), hashlib.sha256(bytes(b for b, c in zip(t, cover[i], strict=True) if not c)).hexdigest()) for i, t in data.items()}
+    spans = {i: sum(a > b for a, b in zip(c, b"\0" + c, strict=False)) for i, c in cover.items()}
+    return {i: (len(t), sum(cover[i]), spans[i], hashlib.sha256(bytes(b for b, c in zip(t, cover[i], strict=True) if not c)).hexdigest()) for i, t in data.items()}
 
 
-@pytest.mark.parametrize("many", [2000, 1])
-def test_suffix_dedup(docs, texts, none, monkeypatch, many):
+def suffix_results(docs):
+    return {r["doc_id"]: (r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["spans"]) // 2, hashlib.sha256(r["kept"]).hexdigest()) for r in suffixes.deduplicated(docs).collect()}
+
+
+@pytest.mark.parametrize("many", [2000, 2, 1])
+def test_suffix_dedup(spark, docs, texts, none, monkeypatch, many):
     monkeypatch.setattr(suffixes, "MANY", many)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_bytes"] - len(r["kept"]), hashlib.sha256(r["kept"]).hexdigest()) for r in suffixes.deduplicated(docs).collect()}
-    assert got == brute_repeats(texts)
+    assert suffix_results(docs) == brute_repeats(texts)
+    # One passage in many neighbourhoods, whole and in part, so that its marks have many contexts.
+    rng, passage = random.Random(7), words(70, 70)
+    varied = {i: words(rng.randint(0, 20), 100 + i % 40) + passage[rng.randint(0, 40) : len(passage) - rng.choice([0, 0, 30])] + words(rng.randint(0, 20), 200 + i % 30) for i in range(60)}
+    assert suffix_results(spark.createDataFrame(list(varied.items()), "doc_id long, text string")) == brute_repeats(varied)
     assert suffixes.deduplicated(none).count() == 0
 
 
