@@ -148,7 +148,8 @@ def without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs, text less its removed lines, with the column __removed (their numbers, null if none) added."""
     gone = repeats(docs.select("doc_id", "text")).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__removed"))
-    joined = docs.join(gone, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    # One plan at every size: what is removed grows with the corpus, so it is never sent to all tasks.
+    joined = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
     return joined.mapInArrow(without_lines, joined.schema)
 
 
