@@ -124,10 +124,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     shared = every.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a <> b").select("mark", "n")
     shared = stored(shared, "shared")
     hot = hot_keys(shared, "mark")
-    matched = runs(salted_join(every, shared.select("mark"), ["mark"], hot, F.struct("doc_id", "lines"), "left_semi"))
+    # Like all joins here it has one plan at every size, as both sides grow with the corpus.
+    matched = runs(salted_join(every, shared.select("mark").hint("merge"), ["mark"], hot, F.struct("doc_id", "lines"), "left_semi"))
     at = F.struct("doc_id", F.col("lines")[0].alias("line"), F.element_at("lines", -1).alias("last"))
     first = matched.groupBy("mark", "run").agg(F.min(at).alias("first"), F.max(at).alias("latest")).where("first <> latest").select("mark", "run", "first")
-    later = salted_join(matched, first, ["mark", "run"], hot, F.struct("doc_id", "lines")).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("lines")[0] != F.col("first.line")))
+    later = salted_join(matched, first.hint("merge"), ["mark", "run"], hot, F.struct("doc_id", "lines")).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("lines")[0] != F.col("first.line")))
     # A run that overlaps its own first occurrence loses what lies beyond that.
     kept = lambda n: (F.col("doc_id") == F.col("first.doc_id")) & (n <= F.col("first.last"))
     gone = later.select("doc_id", F.explode(F.filter("lines", lambda n: ~kept(n))).alias("n")).distinct()
