@@ -333,18 +333,49 @@ def test_pieces(docs, texts, none):
     assert pieces.encode_digest(none, pieces.default_model()).count() == 0
 
 
-def test_chat(spark):
+def conversations(spark, more=()):
     rng = random.Random(3)
-    rows = [(c, t, ("user", "assistant")[t % 2], words(rng.randint(3, 40), 100 * c + t) + "\n" + words(5, c) + ".?"[t % 2 == 0]) for c in range(60) for t in range(6)]
-    rows += [(99, 0, None, None), (98, 0, "user", "x"), (98, 0, "user", "x")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    model = chat.fit(df.where("conv_id < 30"))
-    held = chat.parsed(df.where("conv_id between 30 and 59"), model).agg(F.sum("n_right").alias("r"), F.sum("n_turns").alias("n")).collect()[0]
-    assert held["r"] >= 0.95 * held["n"]
-    assert chat.parsed(df, model).count() == 62 and chat.parsed(df.limit(0), chat.fit(df.limit(0))).count() == 0
+    rows = [(c, t, ("user", "assistant")[t % 2], words(rng.randint(3, 40), 100 * c + t) + "\n" + words(5, c) + ".?"[t % 2 == 0], "x") for c in range(60) for t in range(6 + 30 * (c == 7))]
+    return spark.createDataFrame([*rows, *more], "conv_id long, turn long, role string, text string, rendered string")
+
+
+def test_chat(spark):
+    odd = [(99, 0, None, None, "x"), (98, 0, "user", "x", "x"), (98, 0, "user", "x", "x"), (97, None, "bot", "a\n\nb", "x"), (97, 3, "user", "", "x"), (None, None, None, None, None), (96, 0, "user", "long " * 50_000, "x")]
+    df = conversations(spark, odd)
+    cut = chat.chunks(df)
+    model = chat.fit(chat.chunks(df.where("conv_id < 30")))
+    held = chat.parsed(cut.where("conv_id between 30 and 59"), model).agg(F.sum("n_right").alias("r"), F.sum("n_turns").alias("n"), F.sum("n_bare").alias("b"), F.sum("n_bare_right").alias("br")).collect()[0]
+    assert held["r"] >= 0.95 * held["n"] and held["br"] >= 0.8 * held["b"] > 0
+    assert chat.parsed(cut, model).select("conv_id").distinct().count() == 65
+    empty = chat.chunks(df.limit(0))
+    assert chat.parsed(empty, chat.fit(empty)).count() == 0
     assert chat.parse(model, "User: hi there\n### AI: hello") == [("user", "hi there"), ("assistant", "hello")]
 
 
+def test_chunks_of_a_conversation_give_what_the_whole_gives(spark):
+    df = conversations(spark, [(7, 5, "user", "again", "x")])
+    model = chat.fit(chat.chunks(df))
+    whole, parts = chat.parsed(chat.chunks(df), model), chat.parsed(chat.chunks(df, limit=4, parts=7), model)
+    sums = [F.sum(c).alias(c) for c in ("n_turns", "n_found", "n_right", "n_bare", "n_bare_right", "n_bare_alternate", "line_crc")]
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "rendered"))), lambda x: x["rendered"]), "").alias("text")
+    rows = [{r["conv_id"]: tuple(r) for r in x.groupBy("conv_id").agg(*sums, joined).collect()} for x in (whole, parts)]
+    assert parts.count() > whole.count() and rows[0] == rows[1]
+    assert rows[0][7][1] == 37
+
+
+def test_viterbi_finds_the_best_path(spark):
+    """Against all paths of short transcripts."""
+    import itertools
+
+    model = chat.fit(chat.chunks(conversations(spark)))
+    for text in ("User: a\nb", "x\n\nAssistant: y.", "User: q?\n\n### AI:", "\n\n", "System: s\nUser: t"):
+        lines = text.split("\n")
+        shown = model.shown(lines)
+        score = lambda p: model.first[p[0]] + sum(shown[i][x] for i, x in enumerate(p)) + sum(model.step[a, b] for a, b in itertools.pairwise(p))  # noqa: B023, E731
+        best = max(itertools.product(range(chat.STATES), repeat=len(lines)), key=score)
+        assert score(tuple(model.decode(lines))) == pytest.approx(score(best))
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/", "<p>x</p>", 0), (2, None, "<p>x</p>", 0), (3, "u\r\nv", None, 0), (4, "w", "", 0), (5, "z", "é", 0), (5, "z", "é", 0), (None, "n", "only\r\n\r\nhere", 0), (None, "n", "é", 0), (7, "long", "y\n" * 200_000, 0)]
     schema = "page_id long, url string, html string, payload int"
