@@ -1,15 +1,25 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes.
 
-Each vector, less a centre, is rotated and reduced to the signs of its coordinates (packed bits) with two correction
-scalars: its length, and the inner product of its direction with its code. A query's inner product with a code is looked
-up byte by byte, corrected to an unbiased estimate of the distance, and given an error bound. Vectors whose lower bound
-is not above the k-th smallest upper bound are reranked by exact distance.
-
-The centre is fitted on at most `FIT_ROWS` vectors (those with the smallest hashed ids); every vector is indexed.
-Queries go in blocks of at most `BLOCK` rows, the only data that is broadcast; each block is one pass over the index in
-which a task keeps k results per query. Defined results: vectors that are null, zero, of another length than the most
-frequent one, or that hold nulls or non-finite numbers take no part; ties go to the smaller id; with fewer than k
-candidates all are returned; rows that repeat an id are candidates of their own, but never for a query of the same id.
+Vectors are dealt to cells by the nearest of some centres. Each vector, less its centre, is rotated and reduced to the signs
+of its coordinates (packed bits) with two correction scalars: its length, and the inner product of its direction with its
+code. A query's inner product with a code is looked up byte by byte, corrected to an unbiased estimate of the distance, and
+given an error bound. Vectors whose lower bound is not above the k-th smallest upper bound are reranked by exact distance.
+
+A query looks into the cells with the nearest centres only, so it meets a share of the vectors that falls with their number:
+there are about sqrt(n) cells. How many cells suffice is measured: for `PROBED` of the queries (the smallest hashed ids) all
+vectors are compared, and as many cells are taken as the farthest of their k true neighbours needs. Data without any
+clusters need most cells; the result stays right and the work grows.
+
+The centres are fitted on at most `FIT_ROWS` vectors (those with the smallest hashed ids); every vector is indexed, and the
+index is written once. A cell's vectors and queries meet in groups of about `ROWS` vectors and `BLOCK` queries, so neither a
+cell that holds a third of all vectors nor one that a third of all queries look into fills a task. Only the centres, their
+counts and the probed queries are sent to all tasks, each bounded by the constants here. Vectors of each length that a query
+has are an index of their own.
+
+Defined results: vectors that are null, zero, empty or hold nulls or non-finite numbers take no part; a query meets vectors
+of its own length; ties go to the smaller id; with fewer than k candidates in its cells a query gets those; rows that repeat
+an id are candidates of their own, but never for a query of the same id, and of queries that repeat an id the smallest vector
+asks; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,16 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
-FIT_ROWS = 4096
-BLOCK = 2048
+FIT_ROWS, ROUNDS = 16_384, 4
+#: Cells that the sample can fit: four of its vectors for each.
+MAX_CELLS = FIT_ROWS // 4
+PROBED = 64
+ROWS, BLOCK = 16_384, 512
 #: Half-widths of the error bound in standard deviations of the estimate.
 EPSILON = 4.0
-INDEX = "vec_id long, vector binary, code binary, norm double, ip double"
+INDEX = "cell int, vec_id long, vector binary, code binary, norm double, ip double"
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -46,39 +59,76 @@ def valid_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return at[fine], values[fine]
 
 
-def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed sign codes, lengths, and inner products of directions with their codes."""
-    turned = (vectors - centre) @ turn.T
+def encode(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed sign codes, lengths, and inner products of directions with their codes, of rotated vectors."""
     norm = np.linalg.norm(turned, axis=1)
     ip = np.abs(turned).sum(1) / (np.sqrt(turned.shape[1]) * np.where(norm > 0, norm, 1))
     return np.packbits(turned > 0, axis=1), norm, np.where(norm > 0, ip, 1.0)
 
 
-def fit(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> tuple[int, np.ndarray]:
-    """The most frequent length of vectors, and the centre of a bounded sample."""
-    sizes = df.where(F.col(vector).isNotNull()).groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    dim = sizes[0]["n"] if sizes else 0
-    if not dim:
-        return 0, np.zeros(0)
-    sample = df.where(F.size(vector) == dim).select(vector, F.xxhash64(key).alias("h"), F.col(key).alias("k")).orderBy("h", "k").limit(FIT_ROWS)
-    _, found = valid_rows(sample.select(vector).toArrow()[vector].combine_chunks(), dim)
-    return dim, found.mean(0) if len(found) else np.zeros(dim)
+def by_centre(vectors: np.ndarray, centres: np.ndarray) -> Iterator[np.ndarray]:
+    """Squared distances to all centres, less each vector's own square, for blocks of vectors."""
+    squares = (centres**2).sum(1)
+    step = max(1, (1 << 22) // len(centres))
+    for i in range(0, len(vectors), step):
+        yield squares - 2 * vectors[i : i + step] @ centres.T
+
+
+def nearest_centres(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(d.argmin(1) for d in by_centre(vectors, centres))])
+
+
+def lengths(df: DataFrame, queries: DataFrame, vector: str = "embedding") -> list[tuple[int, int]]:
+    """(length, number of vectors) for each length of vectors that take part and that a query has."""
+
+    def counted(rows: DataFrame) -> dict[int, int]:
+        bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        fine = rows.where(F.col(vector).isNotNull()).where(~bad & F.exists(vector, lambda x: x != 0))
+        return {r["n"]: r["count"] for r in fine.groupBy(F.size(vector).alias("n")).count().collect()}
 
+    asked, every = counted(queries), counted(df)
+    return sorted((n, every.get(n, 0)) for n in asked)
 
-def index(df: DataFrame, dim: int, centre: np.ndarray, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Every vector that takes part, with its code and correction scalars."""
+
+def fit(df: DataFrame, dim: int, count: int, key: str = "vec_id", vector: str = "embedding") -> np.ndarray:
+    """Centres of cells for `count` vectors of length dim: k-means of a bounded sample."""
+    sample = df.where(F.size(vector) == dim).select(vector, F.xxhash64(key).alias("h"), F.col(key).alias("k")).orderBy("h", "k").limit(FIT_ROWS)
+    _, found = valid_rows(sample.select(vector).toArrow()[vector].combine_chunks(), dim)
+    n = max(1, min(int(np.ceil(np.sqrt(count))), MAX_CELLS, len(found)))
+    centres = found[:n].copy() if len(found) else np.zeros((1, dim))
+    for _ in range(ROUNDS):
+        cell = nearest_centres(found, centres)
+        sizes = np.bincount(cell, minlength=n)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, cell, found)
+        centres = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centres)
+    return centres
+
+
+def index(df: DataFrame, centres: np.ndarray, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Every vector that takes part and has the centres' length, with its cell, code and correction scalars. Vectors keep
+    the precision they came in."""
+    dim = centres.shape[1]
     turn = rotation(dim)
+    kind = np.float32 if df.schema[vector].dataType.elementType.simpleString() == "float" else np.float64
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, vectors = valid_rows(batch["v"], dim)
             if len(at):
-                code, norm, ip = encode(vectors, centre, turn)
-                yield pa.RecordBatch.from_arrays([batch["k"].take(pa.array(at)), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm), pa.array(ip)], ["vec_id", "vector", "code", "norm", "ip"])
+                cell = nearest_centres(vectors, centres)
+                code, norm, ip = encode((vectors - centres[cell]) @ turn.T)
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), batch["k"].take(pa.array(at)), pa.array([v.tobytes() for v in vectors.astype(kind)], pa.binary()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm), pa.array(ip)], ["cell", "vec_id", "vector", "code", "norm", "ip"])
 
     return df.select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v")).mapInArrow(coded, INDEX)
 
 
+def _vectors(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    data = b"".join(column.to_pylist())
+    kind = np.float32 if len(data) == 4 * dim * len(column) else np.float64
+    return np.frombuffer(data, dtype=kind).reshape(-1, dim).astype(np.float64)
+
+
 def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Euclidean distances, squares added in the order of the components."""
     total = np.zeros(len(vectors))
@@ -114,64 +164,96 @@ def nearest(ids: np.ndarray, vectors: np.ndarray, code: np.ndarray, norm: np.nda
     return ids[at][best], distance[best]
 
 
-def search(indexed: DataFrame, queries: DataFrame, dim: int, centre: np.ndarray, k: int = 10, epsilon: float = EPSILON, block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score) for each row of queries, itself a part of an index."""
-    spark, turn, parts = indexed.sparkSession, rotation(dim), []
-    cuts = block_bounds(queries, block)
-    for low, high in cuts:
-        rows = queries.where((F.col("vec_id") >= low) & (F.col("vec_id") <= high)).select("vec_id", "vector").toArrow()
-        q_ids = rows["vec_id"].to_numpy()
-        q_vectors = np.frombuffer(b"".join(rows["vector"].to_pylist()), dtype=np.float64).reshape(-1, dim)
-        sent = spark.sparkContext.broadcast((q_ids, q_vectors))
+def true_neighbours(indexed: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int) -> DataFrame:
+    """(query_id, vec_id, score, cell) of the k nearest of all vectors, for a few queries that are sent to all tasks."""
+    dim = vectors.shape[1]
 
-        def scanned(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            q_ids, q_vectors = sent.value
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, every, cell = batch["vec_id"].to_numpy(), _vectors(batch["vector"], dim), batch["cell"].to_numpy()
+            out: list[list] = [[], [], [], []]
+            for q, v in zip(ids, vectors, strict=True):
+                distance = exact(v, every)
+                best = np.lexsort((found, np.where(found == q, np.inf, distance)))[: k + 1]
+                best = best[found[best] != q]
+                for column, value in zip(out, (np.full(len(best), q), found[best], distance[best], cell[best]), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score", "cell"])
+
+    found = indexed.mapInArrow(scanned, "query_id long, vec_id long, score double, cell int")
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def probes(indexed: DataFrame, queries: DataFrame, centres: np.ndarray, k: int) -> int:
+    """How many of the nearest cells hold all k nearest neighbours of each of the PROBED queries."""
+    rows = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PROBED).select("vec_id", "vector").toArrow()
+    if not len(rows):
+        return 1
+    ids, vectors = rows["vec_id"].to_numpy(), _vectors(rows["vector"], centres.shape[1])
+    ranks = np.concatenate([d.argsort(1).argsort(1) for d in by_centre(vectors, centres)])
+    place = {q: i for i, q in enumerate(ids)}
+    return max([1, *(int(ranks[place[r["query_id"]], r["cell"]]) + 1 for r in true_neighbours(indexed, ids, vectors, k).select("query_id", "cell").collect())])
+
+
+def search(indexed: DataFrame, queries: DataFrame, centres: np.ndarray, k: int = 10, epsilon: float = EPSILON, cells: int | None = None, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """(query_id, rank, vec_id, score) for each row of queries, itself a part of an index. Both are tables that were written
+    before. cells: how many cells a query looks into (measured if not given)."""
+    dim, turn = centres.shape[1], rotation(centres.shape[1])
+    queries = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    some = min(cells or probes(indexed, queries, centres, k), len(centres))
+
+    def looking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = _vectors(batch["vector"], dim)
+            near = np.concatenate([np.zeros((0, some), np.int64), *(np.argpartition(d, some - 1, axis=1)[:, :some] for d in by_centre(vectors, centres))])
+            at = pa.array(np.repeat(np.arange(len(vectors)), some))
+            yield pa.RecordBatch.from_arrays([batch["vec_id"].take(at), batch["vector"].take(at), pa.array(near.ravel(), pa.int32())], ["query_id", "query", "cell"])
+
+    asked = stored(queries.select("vec_id", "vector").mapInArrow(looking, "query_id long, query binary, cell int"), "asked")
+    plan = indexed.groupBy("cell").agg(F.ceil(F.count("*") / rows).cast("int").alias("v")).join(asked.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("q")), "cell")
+    plan = F.broadcast(plan)  # a row for each cell, at most MAX_CELLS
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = indexed.join(plan, "cell").withColumn("a", dealt("vec_id", "v")).withColumn("b", every("q")).drop("v", "q")
+    right = asked.join(plan, "cell").withColumn("b", dealt("query_id", "q")).withColumn("a", every("v")).drop("v", "q")
+
+    def met(held: pa.Table, asking: pa.Table) -> pa.Table:
+        out: list[list] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        if len(held) and len(asking):
+            centre = centres[held["cell"][0].as_py()]
+            ids, vectors = held["vec_id"].to_numpy(), _vectors(held["vector"], dim)
+            code = np.frombuffer(b"".join(held["code"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+            norm, ip = held["norm"].to_numpy(), held["ip"].to_numpy()
+            q_vectors = _vectors(asking["query"], dim)
             turned = (q_vectors - centre) @ turn.T
-            held: list = [(np.zeros(0, np.int64), np.zeros(0))] * len(q_ids)
-            for batch in batches:
-                ids = batch["vec_id"].to_numpy()
-                vectors = np.frombuffer(b"".join(batch["vector"].to_pylist()), dtype=np.float64).reshape(-1, dim)
-                code = np.frombuffer(b"".join(batch["code"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-                norm, ip = batch["norm"].to_numpy(), batch["ip"].to_numpy()
-                for n, qid in enumerate(q_ids):
-                    old_ids, old = held[n]
-                    new_ids, new = nearest(ids, vectors, code, norm, ip, qid, q_vectors[n], turned[n], k, epsilon, old[k - 1] if len(old) >= k else np.inf)
-                    all_ids, every = np.concatenate([old_ids, new_ids]), np.concatenate([old, new])
-                    best = np.lexsort((all_ids, every))[:k]
-                    held[n] = (all_ids[best], every[best])
-            sizes = [len(x) for x, _ in held]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, sizes)), pa.array(np.concatenate([x for x, _ in held] or [np.zeros(0, np.int64)])), pa.array(np.concatenate([x for _, x in held] or [np.zeros(0)]))], ["query_id", "vec_id", "score"])
-
-        parts.append(indexed.mapInArrow(scanned, "query_id long, vec_id long, score double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
+            for q, v, t in zip(asking["query_id"].to_numpy(), q_vectors, turned, strict=True):
+                found, distance = nearest(ids, vectors, code, norm, ip, q, v, t, k, epsilon)
+                for column, value in zip(out, (np.full(len(found), q), found, distance), strict=True):
+                    column.append(value)
+        return pa.table({n: np.concatenate(c) for n, c in zip(("query_id", "vec_id", "score"), out, strict=True)})
+
+    keys = ("cell", "a", "b")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(met, "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def block_bounds(queries: DataFrame, block: int) -> list[tuple[int, int]]:
-    """Ranges of ids that hold at most `block` queries each (if ids are distinct), from one sort of the ids' cells."""
-    stats = queries.agg(F.min("vec_id").alias("a"), F.max("vec_id").alias("b"), F.count("*").alias("n")).collect()[0]
-    if not stats["n"]:
-        return []
-    if stats["n"] <= block:
-        return [(stats["a"], stats["b"])]
-    pieces = -(-stats["n"] // block) * 2
-    marks = sorted(set(queries.approxQuantile("vec_id", [i / pieces for i in range(1, pieces)], 0.2 / pieces)))
-    lows = [stats["a"], *[int(m) + 1 for m in marks if stats["a"] <= m < stats["b"]]]
-    return [(a, b - 1) for a, b in zip(lows, [*lows[1:], stats["b"] + 1], strict=True)]
+def neighbours(vectors: DataFrame, asking: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row of vectors that `asking` holds for, its k nearest other rows."""
+    spark = vectors.sparkSession
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for dim, count in lengths(vectors, vectors.where(asking), vector):
+        centres = fit(vectors, dim, count, key, vector)
+        indexed = stored(index(vectors, centres, key, vector), "index")
+        queries = stored(index(vectors.where(asking), centres, key, vector), "queries")
+        out = out.unionByName(search(indexed, queries, centres, k))
+    return out
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    dim, centre = fit(vectors)
-    if not dim:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    queries = index(vectors.where(F.col("vec_id") % 100 == 0), dim, centre)
-    return search(index(vectors, dim, centre), queries, dim, centre)
+    return neighbours(vectors, F.col("vec_id") % 100 == 0)
 
 
 OP9_SQL = """

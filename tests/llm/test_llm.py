@@ -411,24 +411,53 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.restore(spark, str(tmp_path / "e")).count() == 0
 
 
+def brute_neighbours(vectors, q, k=10):
+    """vectors: (id, vector) pairs that take part, ids not distinct."""
+    same = [(neighbours.exact(v, x[None])[0], i) for i, x in vectors if i != q for v in [dict(vectors)[q]] if len(x) == len(v)]
+    return [i for _, i in sorted(same)[:k]]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(5)
     v = rng.standard_normal((600, 24)).astype(np.float32)
     v[200:400] = v[100]
-    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(600, None), (601, [0.0] * 24), (602, [float("nan")] * 24), (603, [None] * 24), (604, [1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    dim, centre = neighbours.fit(df)
-    built = neighbours.index(df, dim, centre)
-    assert built.count() == 600
-    got = neighbours.search(built, neighbours.index(df.where("vec_id % 100 = 0"), dim, centre), dim, centre, block=2).collect()
+    rows = [(i, x.tolist(), "c") for i, x in enumerate(v)] + [(600, None, "c"), (601, [0.0] * 24, "c"), (602, [float("nan")] * 24, "c"), (603, [None] * 24, "c"), (604, [1.0], "c"), (605, [], "c"), (7, v[0].tolist(), "c"), (700, [2.0], "c")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, cell string")
+    asking = F.col("vec_id") % 100 == 0
+    assert neighbours.lengths(df, df.where(asking)) == [(1, 2), (24, 601)]
+    got = neighbours.neighbours(df, asking).collect()
+    pairs = [(i, np.array(x, float)) for i, x in enumerate(v)] + [(7, v[0].astype(float))]
     hits = 0
     for q in range(0, 600, 100):
-        d = neighbours.exact(v[q].astype(float), v.astype(float))
-        best = [i for i in np.lexsort((np.arange(600), d)) if i != q][:10]
         mine = [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])]
+        best = brute_neighbours(pairs, q)
+        assert len(mine) == 10
         hits += len(set(best) & set(mine))
     assert hits >= 0.9 * 60
-    assert neighbours.fit(df.limit(0))[0] == 0
+    assert [(r["vec_id"], r["score"]) for r in got if r["query_id"] == 700] == [(604, 1.0)]
+    assert neighbours.neighbours(df.limit(0), asking).count() == 0
+
+
+@pytest.mark.parametrize(("n", "spread"), [(1000, 0.3), (4000, 0.3), (4000, 5.0)])
+def test_recall_of_neighbours(spark, n, spread):
+    """At two sizes, in clusters and without; in clusters a query looks into a part of the cells only."""
+    rng = np.random.default_rng(n)
+    v = (rng.standard_normal((20, 32))[rng.integers(0, 20, n)] + spread * rng.standard_normal((n, 32))).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    centres = neighbours.fit(df, 32, n)
+    indexed = neighbours.stored(neighbours.index(df, centres), "index")
+    queries = neighbours.stored(neighbours.index(df.where("vec_id % 10 = 0"), centres), "queries")
+    looked = neighbours.probes(indexed, queries, centres, 10)
+    assert spread > 1 or looked < 0.7 * len(centres)
+    got = {}
+    for r in neighbours.search(indexed, queries, centres, cells=looked, rows=500, block=16).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    wide, hits = v.astype(float), 0
+    for q in range(0, n, 10):
+        d = neighbours.exact(wide[q], wide)
+        d[q] = np.inf
+        hits += len(set(np.lexsort((np.arange(n), d))[:10].tolist()) & got[q])
+    assert hits >= 0.9 * n
 
 
 def test_pipeline(spark, docs, tmp_path):
