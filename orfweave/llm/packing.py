@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 
 from .common import byte_codes, mix64, stored, table
 
-#: Fixed pattern: how byte-level tokenizers of this family split texts before merging.
-SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SIZE = 2048
 END = 1
 #: Tokens that a partition should hold; the number of partitions follows from the corpus.
@@ -60,6 +58,7 @@ def encoder(paths: tuple[str, str]) -> Callable[[str], np.ndarray]:
     import json
 
     import tiktoken
+    from public_tokenizers import PATTERN
 
     with open(paths[0], "rb") as f:
         spec = json.load(f)
@@ -68,7 +67,7 @@ def encoder(paths: tuple[str, str]) -> Callable[[str], np.ndarray]:
     with open(paths[1], "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     kind = "<u2" if max([len(ranks), *(t["id"] for t in spec["added_tokens"])]) < 1 << 16 else "<u4"
-    ordinary = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    ordinary = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     pack = {n: struct.Struct(f"<{n}{'H' if kind == '<u2' else 'I'}").pack for n in range(1, 17)}
     young: dict[str, bytes] = {}
     old: dict[str, bytes] = {}

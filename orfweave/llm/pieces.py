@@ -4,8 +4,9 @@ Text gets one white-space marker in front, spaces become markers, and the best-s
 character that no piece covers costs the least score less `UNKNOWN` and is written as its bytes' pieces. Pieces hold
 markers only at their start, so the search decomposes exactly at each marker that follows another character, and words
 are solved once per batch: the lattice of all new words of about equal length is relaxed together, one trie step at a
-time. A model file whose scores are merge ranks has no log scores; there, Zipf's law gives the piece of rank r the score
--ln(r + 1) - ln(H), H the harmonic sum. Among equal scores the piece that starts first wins.
+time. The model's type is read from its file: a unigram model's log scores are used as they are. Scores of other types are
+ranks, no log scores; there, Zipf's law gives the piece of rank r the score -ln(r + 1) - ln(H), H the harmonic sum (scores
+are not fitted to the corpus, as tokenizers are never trained). Among equal scores the piece that starts first wins.
 
 Defined results: null and empty texts have no pieces; a marker character in a text decodes as a space; long words are
 solved by themselves. Nothing is shuffled; a worker holds one batch and a bounded table of words.
@@ -257,17 +258,53 @@ def _after_marks(key: bytes) -> bytes:
     return key
 
 
+def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
+    """(number, value) of the fields of a protocol buffer message: whole numbers, and bytes of all other kinds."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            out |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return out
+
+    while at < len(data):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or number()
+            yield key >> 3, data[at : at + size]
+            at += size
+
+
+def model_type(data: bytes) -> int:
+    """A model file's own type: 1 (unigram, also where it says nothing), 2 (merges), 3 (words), 4 (characters)."""
+    for number, trainer in _fields(data):
+        if number == 2:
+            return next((value for field, value in _fields(trainer) if field == 3), 1)
+    return 1
+
+
 @functools.lru_cache(maxsize=2)
-def load(path: str, zipf: bool = True) -> Model:
-    """A model of a SentencePiece file; zipf: its scores are ranks."""
+def load(path: str) -> Model:
+    """A model of a SentencePiece file. A unigram model's scores are log scores and are taken as they are; those of other
+    types are ranks, for which Zipf's law stands in."""
     import sentencepiece
 
-    p = sentencepiece.SentencePieceProcessor(model_file=path)
+    with open(path, "rb") as f:
+        data = f.read()
+    p = sentencepiece.SentencePieceProcessor(model_proto=data)
     n = p.get_piece_size()
     bytes_of = {int(p.id_to_piece(i)[3:5], 16): i for i in range(n) if p.is_byte(i)}
     plain = [i for i in range(n) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))]
     scores = {i: p.get_score(i) for i in plain}
-    if zipf:
+    if model_type(data) != 1:
         harmonic = np.log(np.sum(1 / np.arange(1, len(plain) + 1)))
         scores = {i: float(-np.log(r + 1) - harmonic) for r, i in enumerate(plain)}
     return Model([(p.id_to_piece(i) if i in scores else "", scores.get(i, 0.0)) for i in range(n)], bytes_of, p.unk_id())

@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 
 from .common import BLANK, let, table, words
 
-#: Phrases of pages, not of prose. A line of at most BOILERPLATE_WORDS words that holds one fails.
+#: Phrases of pages, not of prose. A line of at most BOILERPLATE_CHARS characters that holds one at the start of a word fails.
 BOILERPLATE = (
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies",
     "enable javascript", "javascript is disabled", "sign up for our newsletter", "subscribe to our newsletter",
     "click here to", "skip to content", "powered by", "lorem ipsum", "share on facebook", "share this article",
 )
-BOILERPLATE_WORDS = 30
+BOILERPLATE_CHARS = 360
 STOCK = r"(?:^|\x20)(?:" + "|".join(BOILERPLATE) + ")"
 #: A line fails when more than this share (in per cent) of its word characters are symbols.
 MAX_SYMBOLS = 15
@@ -85,12 +85,15 @@ def line_fails(line: Column) -> Column:
     crowded = line.rlike("[" + "".join(f"\\{c}" for c in symbols) + "]") & (100 * count_of(line, symbols) > MAX_SYMBOLS * word_chars(line))
     separators = F.size(F.regexp_extract_all(line, F.lit(r"([|»›•·]|\x20>\x20)"), F.lit(1)))
     navigation = line.rlike("[|»›•·>]") & (separators >= MENU_SEPARATORS) & (F.size(F.split(F.trim(line), r"\x20+")) <= 4 * separators + 3)
-    stock = (F.length(line) <= 12 * BOILERPLATE_WORDS) & F.lower(line).rlike(STOCK)
+    stock = (F.length(line) <= BOILERPLATE_CHARS) & F.lower(line).rlike(STOCK)
     return crowded | ~line.rlike(r"\p{L}|\p{N}") | navigation | stock
 
 
 def clean_lines(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with clean_text (lines that fail removed), n_failed_lines and lost_chars (their word characters)."""
+    """df with clean_text (lines that fail removed), n_failed_lines and lost_chars (their word characters), which no column of
+    df may be called (`quality` puts all of its input's columns in a struct)."""
+    if clash := {"clean_text", "n_failed_lines", "lost_chars"} & set(df.columns):
+        raise ValueError(f"columns are there already: {sorted(clash)}")
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
     def judged(ls: Column) -> Column:
@@ -133,7 +136,7 @@ lw AS (SELECT doc_id, x, length(translate(x, ' ' || chr(9) || chr(10) || chr(11)
     len(regexp_extract_all(x, '[|»›•·]|\x20>\x20')) AS seps FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
 lf AS (SELECT doc_id, x, c, (100 * (length(x) - length(translate(x, '{SYMBOLS}{{}}[]\^~=_', ''))) > {MAX_SYMBOLS} * c) OR NOT regexp_matches(x, '\p{{L}}|\p{{N}}')
     OR (seps >= {MENU_SEPARATORS} AND len(string_split_regex(trim(x), '\x20+')) <= 4 * seps + 3)
-    OR (length(x) <= {12 * BOILERPLATE_WORDS} AND regexp_matches(lower(x), '{STOCK}')) AS bad FROM lw),
+    OR (length(x) <= {BOILERPLATE_CHARS} AND regexp_matches(lower(x), '{STOCK}')) AS bad FROM lw),
 la AS (SELECT doc_id, count(*) - count(DISTINCT x) AS dups, count(*) FILTER (bad) AS bads, coalesce(sum(c) FILTER (bad), 0) AS lost FROM lf GROUP BY doc_id),
 r AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(translate(t, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols, CAST(coalesce(dups, 0) AS BIGINT) AS n_dup_lines,

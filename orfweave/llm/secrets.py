@@ -114,10 +114,12 @@ def mean_ratio(token: Column, ratios: list[float]) -> Column:
 
 
 def scan(df: DataFrame, ratios: list[float], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """df with base_spans and spans: arrays of structs (s, e, k), k a place in KINDS, sorted by start and kind."""
+    """row (a struct of all columns of df, so that no name can clash), text (null: empty), and base_spans and spans: arrays
+    of structs (s, e, k), k a place in KINDS, sorted by start and kind."""
     kind = "array<struct<s:int,e:int,k:int>>"
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = df.withColumn("base_spans", F.array_sort(F.concat(*(matches(t, p, least, k) for (p, least), k in zip(PATTERNS, KINDS, strict=False)))))
+    t = F.col("text")
+    out = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    out = out.withColumn("base_spans", F.array_sort(F.concat(*(matches(t, p, least, k) for (p, least), k in zip(PATTERNS, KINDS, strict=False)))))
 
     def left(x: Column) -> Column:
         """The parts of a token that no base span covers."""
@@ -161,6 +163,6 @@ def masked(text: Column, spans: Column) -> Column:
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scan(docs, train(docs)).select("doc_id", "base_spans", "spans")
+    found = scan(docs, train(docs)).select("row.doc_id", "base_spans", "spans")
     n = lambda k: F.size(F.filter("base_spans", lambda x: x["k"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(written(F.col("base_spans")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
