@@ -535,13 +535,3 @@ def test_recall_of_neighbours(spark, n, spread):
         d[q] = np.inf
         hits += len(set(np.lexsort((np.arange(n), d))[:10].tolist()) & got[q])
     assert hits >= 0.9 * n
-
-
-def test_pipeline(spark, docs, tmp_path):
-    import corpus_pipeline as p
-
-    made = docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars"))
-    made.write.parquet(str(tmp_path / "documents.parquet"))
-    kept = p.quality_rules(spark, made, str(tmp_path))
-    assert kept.columns == list(p.COLUMNS) and {1, 2, 3, 11} <= {r["doc_id"] for r in kept.collect()}
-    assert p.run(spark, str(tmp_path)).count() > 0
