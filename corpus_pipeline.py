@@ -3,6 +3,12 @@
 Each stage takes what its predecessor kept, as written and read again, and its decisions take effect: rejected documents
 go, failed and repeated lines are cut from texts, one document of each near-duplicate group stays, secrets are masked,
 and what is left is packed. All stages but the last return the columns of documents, n_chars brought up to date.
+
+Defined results: null and empty texts have no words, so the first stage rejects them; a stage that is given them all the same
+keeps them as they are (line dedup, near duplicates), masks nothing, or packs the end token alone. Long texts are worked
+through whole. Of documents with equal texts the one with the smallest id stays; rows that repeat an id are one document to
+stages that compare documents and stay or go together. Columns other than those of documents are dropped; null values in lang
+or source are kept. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -11,8 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orfweave.llm import jaccard, line_dedup, packing, quality, secrets
-from orfweave.llm.common import shared_folder, table
+from orfweave.llm.common import shared_folder, table, words
 
+#: A document of whose words less than LEAST_LEFT per cent are left by line dedup, or fewer than quality rules ask for, was a
+#: copy of earlier ones; the shreds that remain are no document.
+LEAST_LEFT = 50
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -27,8 +36,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines of runs that an earlier place holds."""
-    return _documents(line_dedup.deduplicated(docs.select(*COLUMNS)))
+    """Documents without lines of runs that an earlier place holds; those that were mostly such lines go."""
+    n = F.size(words(F.col("text")))
+    cut = line_dedup.deduplicated(docs.select(*COLUMNS).withColumn("__words", n)).withColumn("__left", n)
+    enough = (F.col("__left") >= quality.MIN_WORDS) & (100 * F.col("__left") >= LEAST_LEFT * F.col("__words"))
+    return _documents(cut.where((F.col("__left") == F.col("__words")) | enough))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +50,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets masked."""
+    """All documents, secrets masked; a null text is then empty."""
     found = secrets.scan(docs.select(*COLUMNS), secrets.train(docs))
-    return _documents(found.withColumn("text", secrets.masked(F.coalesce("text", F.lit("")), F.col("spans"))))
+    return _documents(found.select("row.doc_id", secrets.masked(F.col("text"), F.col("spans")).alias("text"), "row.lang", "row.source"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +60,14 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", repeated_lines), ("ngram_jaccard", near_duplicates), ("secret_scans", secret_scans), ("packing", packed)]
-#: Tokens can't be stated in SQL; tests hold the stages against brute-force versions.
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", repeated_lines),
+    ("ngram_jaccard", near_duplicates),
+    ("secret_scans", secret_scans),
+    ("packing", packed),
+]
+#: Tokens can't be stated in SQL; tests/llm/test_pipeline.py holds each stage and the whole against brute-force versions.
 ORACLE_SQL = None
 
 
