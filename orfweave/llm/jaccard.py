@@ -7,13 +7,14 @@ set). These leading shingles make the inverted lists; lists of one set are dropp
 
 1. Star: every set on a list is paired with the list's smallest id. Pairs are checked by DivideSkip search (below), and
    links join sets to components. Families of near copies collapse here with pairs in proportion to the lists' lengths.
-2. Search: lists that still hold several components are searched for pairs across components. Two given sets must share
+2. Lists that still hold several components get other stars, by other orders of ids, until these add no link.
+3. Search: lists that then still hold several components are searched for pairs across components. Two given sets must share
    A = ceil(0.75 / 1.75 (m + n)) shingles, which is at least T, so only their first m - A + 1 + s and n - A + 1 + s
    shingles count. Each set may leave out part of s of its lists, the longest. A pair is a candidate if it occurs on
    1 + s lists less those left out, and if what follows its last shared leading shingle can still make up A.
    Each set also has a map of 512 bits, the parities of its shingles by hash. Each bit in which two maps differ is due
    to a shingle of one set alone, so sets with more than m + n - 2 A such bits can't link and are never paired.
-3. Candidates are checked as in 1, and components are final.
+4. Candidates are checked as in 1, and components are final.
 
 DivideSkip: the lists that a group of sets has for a query's shingles are divided. The short ones are merged by a heap, which
 counts each set; sets that could still reach their own T are looked up in the longest lists by binary search. Who reaches T
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, stored, table
+from .common import discard, mix64, stored, table
 
 WIDTH, PERCENT = 5, 75
 #: One document in SHARE is counted for the order; shingles of HITS such documents are frequent, FREQUENT of them at most.
@@ -254,14 +255,17 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = stored(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).where("x <> y").distinct(), "edges")
     labels = stored(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("component")), "labels")
+    last = labels
     while True:
         near = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("component").alias("near"))
         step = labels.join(near, F.col("node") == F.col("x"), "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("next"))
         jump = labels.select(F.col("node").alias("at"), F.col("component").alias("up"))
         new = step.join(jump, F.col("next") == F.col("at"), "left").select("node", F.least("next", F.coalesce("up", "next")).alias("component"), (F.col("component") != F.least("next", F.coalesce("up", "next"))).cast("int").alias("changed"))
         new = stored(new, "labels")
-        labels = new.select("node", "component")
+        discard(last)
+        last, labels = new, new.select("node", "component")
         if not new.agg(F.max("changed")).collect()[0][0]:
+            discard(both)
             return labels
 
 
@@ -284,19 +288,35 @@ def link(docs: DataFrame) -> DataFrame:
     lists = stored(postings.join(tops.select("token", "top", "c"), "token"), "lists")
 
     # 1. Star: each set with the smallest id that it shares most lists with, if those suffice for a link by themselves.
-    # All other pairs are left to the search, which misses none.
+    # All other pairs are left to the next steps, which miss none.
     shared = lists.where("doc <> top").groupBy("doc", "top").agg(F.count("*").alias("times"))
-    pairs = shared.groupBy(F.col("doc").alias("b")).agg(F.max_by("top", F.struct("times", -F.col("top"))).alias("a"), F.max("times").alias("times"))
-    m, n = F.col("m"), F.col("n")
-    pairs = pairs.join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("m"), F.col("map").alias("p")), "a").join(sizes.select(F.col("doc").alias("b"), "n", F.col("map").alias("q")), "b").where(fits(m, n) & alike(m, n, "p", "q") & (F.col("times") >= 1 + F.floor(F.least("m", "n") / SPARE))).select("a", "b")
-    pairs = stored(pairs, "pairs")
-    first = stored(verified(sized(pairs), sets_in(pairs, docs)), "links")
-    labels = components(first)
+    tested = stored(promising(shared, sizes), "pairs")
+    links = stored(verified(sized(tested), sets_in(tested, docs)), "links")
+    labels = components(links)
+    still, turn = stored(across(lists, labels), "open"), 0
+    discard(lists)
+
+    # 2. More stars over the lists that still hold several components, each time by another order of ids, so that no one set
+    # stays the leader of sets that are unlike it. A family that is all alike collapses before its members could be paired.
+    while True:
+        turn += 1
+        leader = F.min_by(F.struct(F.col("doc").alias("top"), "component"), F.struct(F.xxhash64("doc", F.lit(turn)), "doc"))
+        led = still.join(still.groupBy("token").agg(leader.alias("lead")), "token").where("component <> lead.component")
+        shared = led.groupBy("doc", F.col("lead.top").alias("top")).agg(F.count("*").alias("times"))
+        pairs = stored(promising(shared, sizes).join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = stored(verified(sized(pairs), sets_in(pairs, docs)), "links")
+        tested = tested.unionByName(pairs)
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        labels = components(links)
+        fewer = stored(across(still.drop("component"), labels), "open")
+        discard(still)
+        still = fewer
 
-    # 2. Search across components.
-    labelled = lists.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    open_lists = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    still = stored(thinned(labelled.join(open_lists, "token").select("token", "doc", "at", "component", "c").join(sizes, "doc")), "open")
+    # 3. Search across components.
+    m, n = F.col("m"), F.col("n")
+    still = stored(thinned(still.join(sizes, "doc")), "open")
     left = still.select("token", F.col("doc").alias("a"), F.col("at").alias("i"), F.col("n").alias("m"), F.col("component").alias("ca"), F.col("spared").alias("sa"), F.col("map").alias("p"))
     right = still.select("token", F.col("doc").alias("b"), F.col("at").alias("j"), "n", F.col("component").alias("cb"), F.col("spared").alias("sb"), F.col("map").alias("q"))
     spare = F.floor(F.least(m, n) / SPARE)
@@ -305,15 +325,33 @@ def link(docs: DataFrame) -> DataFrame:
     counted = found.groupBy("a", "b", "m", "n").agg(F.count("*").alias("shared"), F.max("i").alias("i"), F.max("j").alias("j"), F.min(F.col("sa") + F.col("sb")).alias("spared"))
     most = F.col("shared") + F.col("spared") + F.least(m - 1 - F.col("i"), n - 1 - F.col("j"))
     crossing = counted.where((F.col("shared") >= 1 + spare - F.col("spared")) & (most >= required(m, n))).select("a", "b")
-    crossing = stored(crossing.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    either = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    crossing = stored(crossing.join(either, ["a", "b"], "left_anti"), "pairs")
     second = stored(verified(sized(crossing), sets_in(crossing, docs)), "links")
-    final = components(first.union(second))
+    final = components(links.unionByName(second))
 
     whole = heads.select("doc_id", "n", "s1", "s2").join(reps, ["n", "s1", "s2"], "left")
     out = whole.join(final.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
+def promising(shared: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(a, b): for each doc of shared (doc, top, times) the top with most shared lists, if the pair can be a link."""
+    pairs = shared.groupBy(F.col("doc").alias("b")).agg(F.max_by("top", F.struct("times", -F.col("top"))).alias("a"), F.max("times").alias("times"))
+    m, n = F.col("m"), F.col("n")
+    one = sizes.select(F.col("doc").alias("a"), F.col("n").alias("m"), F.col("map").alias("p"))
+    two = sizes.select(F.col("doc").alias("b"), "n", F.col("map").alias("q"))
+    enough = F.col("times") >= 1 + F.floor(F.least("m", "n") / SPARE)
+    return pairs.join(one, "a").join(two, "b").where(fits(m, n) & alike(m, n, "p", "q") & enough).select("a", "b")
+
+
+def across(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """(token, doc, at, component, c): rows of the lists that hold several components."""
+    labelled = lists.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    open_lists = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    return labelled.join(open_lists, "token").select("token", "doc", "at", "component", "c")
+
+
 def sets_in(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, part): the whole sets of the documents of pairs."""
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ids")

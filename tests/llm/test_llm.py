@@ -172,6 +172,15 @@ def test_jaccard_finds_chains(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_links(chain)
 
 
+def test_jaccard_of_a_family_with_an_unlike_leader(spark):
+    """The smallest id shares lists with all others, which are alike, and is like none of them."""
+    own = [words(12, 900 + i) for i in range(40)]
+    base = words(100, 899)
+    texts = {0: base + " " + " ".join(own) + " " + words(300, 898)} | {i + 1: base + " " + x for i, x in enumerate(own)} | {100: words(80, 897)}
+    got = jaccard.link(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_links(texts)
+
+
 def test_divide_skip():
     rng = np.random.default_rng(0)
     for t in (1, 3, 6):
