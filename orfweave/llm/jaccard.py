@@ -1,13 +1,13 @@
 """N-gram Jaccard join by T-occurrence search.
 
-A document's set holds its distinct shingles of five words as 64-bit hashes, mixed from a SipHash of each word; equal sets are one class, represented by its
+A document's set holds its distinct shingles of five words as 64-bit hashes, mixed from an XXH3 hash of each word; equal sets are one class, represented by its
 smallest id. Two sets of sizes m and n can only reach the similarity if they share T = ceil(0.75 max(m, n)) shingles, so
 under one order of all shingles the first n - T + 1 + s shingles of both share at least 1 + s (s: a twentieth of the
 set). These leading shingles make the inverted lists; lists of one set are dropped.
 
 1. Star: every set on a list is paired with the list's smallest id. Pairs are checked by DivideSkip search (below), and
    links join sets to components. Families of near copies collapse here with pairs in proportion to the lists' lengths.
-2. Lists that still hold several components get other stars, by other orders of ids, until these add no link.
+2. Lists that still hold several components get other stars, by other orders of ids, while these join many sets.
 3. Search: lists that then still hold several components are searched for pairs across components. Two given sets must share
    A = ceil(0.75 / 1.75 (m + n)) shingles, which is at least T, so only their first m - A + 1 + s and n - A + 1 + s
    shingles count. Each set may leave out part of s of its lists, the longest. A pair is a candidate if it occurs on
@@ -36,8 +36,8 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +48,8 @@ WIDTH, PERCENT = 5, 75
 SHARE, HITS, FREQUENT = 4, 4, 2_000_000
 #: A set's share of shingles by which its leading part grows.
 SPARE = 20
+#: Stars end when a round joins fewer than one in FEW of the sets that are on open lists.
+FEW = 20
 #: Sets of a group that are searched at once; larger groups are split.
 GROUP = 256
 #: Below this many rows, ids are sent to all tasks; beyond it, tables are joined by key.
@@ -61,10 +63,8 @@ _R = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """SipHash of each word, 64 bits."""
-    held = np.empty(len(words), object)
-    held[:] = words
-    return pd.util.hash_array(held, categorize=False)
+    """XXH3 of each word, 64 bits."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -237,14 +237,14 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     salts = rows.select(F.col("a").alias("qa"), F.col("salt").alias("qsalt")).distinct()
     queries = salts.join(sets.select(F.col("doc_id").alias("qa"), F.col("part").alias("query")), "qa").select("qa", "qsalt", "query")
 
-    def group(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        query = np.frombuffer(right["query"].iloc[0], dtype=np.uint64)
-        found = search_group(query, [np.frombuffer(x, dtype=np.uint64) for x in left["other"]])
-        return pd.DataFrame({"a": left["a"].to_numpy()[found], "b": left["b"].to_numpy()[found]})
+    def group(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = np.zeros(0, np.int64)
+        if len(left) and len(right):
+            query = np.frombuffer(right["query"][0].as_py(), dtype=np.uint64)
+            found = search_group(query, [np.frombuffer(x, dtype=np.uint64) for x in left["other"].to_pylist()])
+        return left.select(["a", "b"]).take(pa.array(found))
 
-    return rows.select("a", "salt", "b", "other").groupBy("a", "salt").cogroup(queries.groupBy("qa", "qsalt")).applyInPandas(group, schema)
+    return rows.select("a", "salt", "b", "other").groupBy("a", "salt").cogroup(queries.groupBy("qa", "qsalt")).applyInArrow(group, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -306,10 +306,15 @@ def link(docs: DataFrame) -> DataFrame:
         pairs = stored(promising(shared, sizes).join(tested, ["a", "b"], "left_anti"), "pairs")
         found = stored(verified(sized(pairs), sets_in(pairs, docs)), "links")
         tested = tested.unionByName(pairs)
-        if found.isEmpty():
+        joined = found.select("b").distinct().count()
+        if joined:
+            links = links.unionByName(found)
+            labels = components(links)
+        # Families that are alike join by the round; once few sets do, the search meets few pairs that are links.
+        if FEW * joined < still.select("doc").distinct().count():
+            if joined:
+                still = across(still.drop("component"), labels)
             break
-        links = links.unionByName(found)
-        labels = components(links)
         fewer = stored(across(still.drop("component"), labels), "open")
         discard(still)
         still = fewer
