@@ -250,23 +250,30 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of edges (a, b): the smallest node that links reach.
 
-    Each round gives a node the smallest label among its neighbours, then that label's own label (pointer jumping), until
-    nothing changes. Labels are written in each round, so lineage stays short.
+    Each round gives a node the smallest of itself and its neighbours as its parent, follows parents to their roots by
+    pointer jumping, and puts roots in the place of nodes in all edges. Edges within a root go, so a star is done in one
+    round and later rounds are small. Tables are written in each round, so lineage stays short, and old ones deleted.
     """
-    both = stored(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).where("x <> y").distinct(), "edges")
-    labels = stored(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("component")), "labels")
-    last = labels
-    while True:
-        near = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("component").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("x"), "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("next"))
-        jump = labels.select(F.col("node").alias("at"), F.col("component").alias("up"))
-        new = step.join(jump, F.col("next") == F.col("at"), "left").select("node", F.least("next", F.coalesce("up", "next")).alias("component"), (F.col("component") != F.least("next", F.coalesce("up", "next"))).cast("int").alias("changed"))
-        new = stored(new, "labels")
-        discard(last)
-        last, labels = new, new.select("node", "component")
-        if not new.agg(F.max("changed")).collect()[0][0]:
-            discard(both)
-            return labels
+    left = stored(edges.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).where("x <> y").distinct(), "edges")
+    final = stored(left.select(F.explode(F.array("x", "y")).alias("node")).distinct().withColumn("component", F.col("node")), "labels")
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        parents = stored(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("up")), "parents")
+        while True:
+            above = parents.select(F.col("node").alias("at"), F.col("up").alias("top"))
+            jumped = stored(parents.join(above, F.col("up") == F.col("at")).select("node", F.col("top").alias("up"), (F.col("up") != F.col("top")).alias("moved")), "parents")
+            discard(parents)
+            parents = jumped
+            if parents.where("moved").isEmpty():
+                break
+        root = parents.select("node", "up")
+        moved = stored(final.join(root.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
+        ends = left.join(root.select(F.col("node").alias("x"), F.col("up").alias("p")), "x").join(root.select(F.col("node").alias("y"), F.col("up").alias("q")), "y")
+        fewer = stored(ends.where("p <> q").select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct(), "edges")
+        discard(left, final, parents)
+        left, final = fewer, moved
+    discard(left)
+    return final
 
 
 def fits(m: Column, n: Column) -> Column:

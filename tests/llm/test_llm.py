@@ -172,6 +172,18 @@ def test_jaccard_finds_chains(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_links(chain)
 
 
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(300, i) for i in range(301, 330)] + [(i, 410) for i in range(400, 410)] + [(rng.randrange(500, 600), rng.randrange(500, 600)) for _ in range(60)] + [(7, 7)]
+    label = {}
+    for a, b in edges:
+        if a != b:
+            low, high = sorted((label.setdefault(a, a), label.setdefault(b, b)))
+            label = {i: low if x == high else x for i, x in label.items()}
+    got = jaccard.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r["node"]: r["component"] for r in got.collect()} == label
+
+
 def test_jaccard_of_a_family_with_an_unlike_leader(spark):
     """The smallest id shares lists with all others, which are alike, and is like none of them."""
     own = [words(12, 900 + i) for i in range(40)]
