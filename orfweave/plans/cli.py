@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codes import TABLES
-from ..sources.readers import contigs_from_text, read_sequences
+from ..sources.readers import contigs_from_stdin, read_sequences
 from ..sources.sinks import batch_tsv, nucleotide_fasta, protein_fasta, render, report, sentinel
 from .api import annotate, detect_table, detect_tables_batch
 
@@ -35,13 +35,17 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.master(f"local[{args.threads or '*'}]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", str(args.progress).lower()).getOrCreate()
-    contigs = (contigs_from_text(spark, sys.stdin.read(), only_first=False) if args.input == "-" else read_sequences(spark, args.input)).cache()
+    try:
+        contigs = (contigs_from_stdin(spark, sys.stdin.read()) if args.input == "-" else read_sequences(spark, args.input)).cache()
+    except ValueError as wrong:
+        print(wrong, file=sys.stderr)
+        return 1
     if contigs.isEmpty():
         print("No sequences found in input.", file=sys.stderr)
         return 1
     if args.detect_table_batch:
         print("seq_id\tlen\trecommended\tconfidence\ttop_score\trunner_up\trunner_up_score")
-        for r in batch_tsv(detect_tables_batch(contigs)).join(contigs.select("contig_id", "ord"), "contig_id").orderBy("ord").collect():
+        for r in batch_tsv(detect_tables_batch(contigs), strip_id=False).join(contigs.select("contig_id", "ord"), "contig_id").orderBy("ord").collect():
             print(r["line"])
         return 0
     table = args.table

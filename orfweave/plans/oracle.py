@@ -193,10 +193,12 @@ def written(fmt: str) -> str:
         "sco": f"len || chr(9) || '1' || chr(9) || '-' || chr(9) || '{score}' || chr(10)",
         "gff": f"{name} || chr(9) || 'orfweave' || chr(9) || 'CDS' || chr(9) || len || chr(9) || '1' || chr(9) || '{score}' || chr(9) || '-' || chr(9) || '0' || chr(9) || 'ID=CDS_' || len || '_1;score={score}' || chr(10)",
         "nucleotide": f"'>' || {name} || '_' || len || '_1 -' || chr(10) || {wrapped(rc('seq'))} || chr(10)",
-        "protein": f"'>' || {name} || '_' || len || '_1 -' || chr(10) || {wrapped(translation(rc('seq'), 11))} || chr(10)",
+        "protein": f"'>' || {name} || '_' || len || '_1 -' || chr(10) || {wrapped(translation('turned', 11))} || chr(10)",
     }[fmt]
+    # The reverse complement is made once a row, not once a codon.
+    source = f"(SELECT *, {rc('seq')} AS turned FROM k)" if fmt == "protein" else "k"
     head = "'##gff-version 3' || chr(10)" if fmt == "gff" else "''"
-    return f"WITH {_C} SELECT contig_id, md5({head} || CASE WHEN len > 0 THEN {text} ELSE '' END) AS text_md5 FROM k"
+    return f"WITH {_C} SELECT contig_id, md5({head} || CASE WHEN len > 0 THEN {text} ELSE '' END) AS text_md5 FROM {source}"
 
 
 ORACLE_SQL: dict[str, str] = {

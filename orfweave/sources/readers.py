@@ -54,13 +54,20 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     return parse_text(files, name="name")
 
 
+def contigs_from_stdin(spark: SparkSession, text: str) -> DataFrame:
+    """Contigs of all records of a stream: GenBank or FASTA text, told apart by its first characters; other text is an error."""
+    if text.strip() and not text.lstrip().startswith((">", "LOCUS")):
+        raise ValueError("Cannot tell the format of the input: neither FASTA nor GenBank.")
+    return parse_text(spark.createDataFrame([(text.lstrip(),)], "value string"))
+
+
 def contigs_from_text(spark: SparkSession, text: str, seq_id: str | None = None, only_first: bool = True) -> DataFrame:
-    """Contigs of inline text: record 0 of FASTA text, or a bare sequence called seq_id or `unnamed`."""
+    """Contigs of inline text: record 0 of FASTA or GenBank text, or a bare sequence called seq_id or `unnamed`."""
     if not text.strip():
         raise ValueError("Empty DNA sequence.")
     df = spark.createDataFrame([(text,)], "value string")
-    if text.lstrip().startswith(">"):
-        out = parse_text(df)
+    if text.lstrip().startswith((">", "LOCUS")):
+        out = parse_text(df.select(F.ltrim("value").alias("value")))
         return out.where("ord = 0") if only_first else out
     raw = df.select(F.lit(seq_id or "unnamed").alias("contig_id"), F.lit(0).alias("ord"), normalize_seq(F.regexp_replace("value", r"\s", "")).alias("seq"))
     return raw.withColumn("len", F.length("seq"))
