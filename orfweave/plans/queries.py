@@ -66,7 +66,7 @@ def orf_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edge_counts(edges: DataFrame) -> DataFrame:
-    """Per contig and kind: how many edges, the places they lead from and to, and the logarithm of their costs."""
+    """Per contig and kind: how many edges, and the sums of the places they lead from and to."""
     return edges.groupBy("contig_id", "kind").agg(F.count("*").alias("n"), F.sum("src_pos").alias("src_sum"), F.sum("dst_pos").alias("dst_sum"))
 
 
