@@ -242,3 +242,13 @@ ORACLE_SQL |= {f"open_regions_t{t}": f"WITH {_C}, {regions(t)} SELECT contig_id,
 ORACLE_SQL |= {f"signal_t{t}": f"WITH {_C}, {plain_signal(t, 'tga', s, 's')} SELECT contig_id, round(signal, 6) AS signal FROM s" for t, s in ((4, ("tgg",)), (25, ("gga", "ggc", "ggg", "ggt")))}
 ORACLE_SQL |= {f"signal_t{t}": f"WITH {_C}, {sliding_signal(t, s, 's')} SELECT contig_id, round(signal, 6) AS signal FROM s" for t, s in ((15, ("tag",)), (6, ("taa", "tag")))}
 ORACLE_SQL |= {f"write_{f}": written(f) for f in ("sco", "gff", "nucleotide", "protein")}
+_HOLD = f"""cd AS (SELECT contig_id, start, stop, frame, unnest(CASE WHEN frame > 0 THEN range(start, stop, 3) ELSE range(stop + 3, start + 1, 3) END) AS pos FROM o),
+    ix AS (SELECT contig_id, start, stop, frame, CASE WHEN frame > 0 THEN {_max_idx("gc1", "gc2", "gc3")} ELSE {_max_idx("gc3", "gc2", "gc1")} END AS hi,
+        CASE WHEN frame > 0 THEN {_min_idx("gc1", "gc2", "gc3")} ELSE {_min_idx("gc3", "gc2", "gc1")} END AS lo FROM cd JOIN gc USING (contig_id, pos)),
+    hs AS (SELECT ix.contig_id, start, stop, frame, sum(x.pmax * y.pmin) AS t FROM ix JOIN bias x ON x.contig_id = ix.contig_id AND x.idx = hi JOIN bias y ON y.contig_id = ix.contig_id AND y.idx = lo GROUP BY ALL),
+    wt AS (SELECT o.contig_id, o.start, o.stop, o.frame, trained.p / bg.p AS odds, ln(1 - pstop) * coalesce(t, 0) AS hold,
+        ln(CASE start_codon WHEN 'gtg' THEN 0.10 / 0.85 WHEN 'ttg' THEN 0.05 / 0.85 ELSE 1.0 END) AS first
+        FROM o LEFT JOIN hs ON hs.contig_id = o.contig_id AND hs.start = o.start AND hs.stop = o.stop AND hs.frame = o.frame
+        JOIN trained ON trained.contig_id = o.contig_id AND trained.score = rbs_score JOIN bg ON bg.contig_id = o.contig_id AND bg.score = rbs_score)"""
+ORACLE_SQL["orf_weight"] = f"""WITH {_C}, {_O}, {_TRAIN}, {_GC}, {_BIAS}, {_TRAINED}, {_BG}, {_HOLD}
+    SELECT contig_id, start, stop, frame, round(odds, 6) AS weight_rbs, round(hold, 6) AS ln_hold, round(first + ln(odds) - hold, 6) AS ln_weight FROM wt"""
