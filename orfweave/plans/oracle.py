@@ -252,3 +252,7 @@ _HOLD = f"""cd AS (SELECT contig_id, start, stop, frame, unnest(CASE WHEN frame
         JOIN trained ON trained.contig_id = o.contig_id AND trained.score = rbs_score JOIN bg ON bg.contig_id = o.contig_id AND bg.score = rbs_score)"""
 ORACLE_SQL["orf_weight"] = f"""WITH {_C}, {_O}, {_TRAIN}, {_GC}, {_BIAS}, {_TRAINED}, {_BG}, {_HOLD}
     SELECT contig_id, start, stop, frame, round(odds, 6) AS weight_rbs, round(hold, 6) AS ln_hold, round(first + ln(odds) - hold, 6) AS ln_weight FROM wt"""
+ORACLE_SQL["edges_orf"] = f"""WITH {_C}, {_O}, {_TRAIN}, {_GC}, {_BIAS}, {_TRAINED}, {_BG}, {_HOLD}
+    SELECT contig_id, 'orf' AS kind, CASE WHEN frame > 0 THEN start ELSE stop END AS src_pos, CASE WHEN frame > 0 THEN 'start' ELSE 'stop' END AS src_type, frame AS src_frame,
+        CASE WHEN frame > 0 THEN stop ELSE start END AS dst_pos, CASE WHEN frame > 0 THEN 'stop' ELSE 'start' END AS dst_type, frame AS dst_frame,
+        CASE WHEN w >= 1 THEN round(ln(floor(w)), 6) END AS ln_cost FROM (SELECT *, exp(first + ln(odds) - hold) * 1000 AS w FROM wt)"""

@@ -76,7 +76,9 @@ def edges_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges_orf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.edges_orf(_scored(spark, sf_dir)[1])
+    """Edges with the logarithm of the size of their costs (in thousandths, cut), null where that is 0."""
+    out = graph.edges_orf(_scored(spark, sf_dir)[1])
+    return out.withColumn("ln_cost", F.round(F.when(F.col("weight") != 0, F.log(-F.col("weight"))), 6)).drop("weight")
 
 
 def edges_desert(spark: SparkSession, sf_dir: str) -> DataFrame:
