@@ -1,7 +1,7 @@
 """Scans over the positions of a contig, as array kernels over Arrow batches.
 
 A scan needs each base with its neighbours and nothing of another contig, so it is a map: a task reads its contigs once and
-nothing is shuffled. (As rows per base the same scans took 6 to 20 times longer and a shuffle each.) Contigs arrive as
+nothing is shuffled. (As rows per base the same scans took several times longer and a shuffle each.) Contigs arrive as
 lower-case strings over a, c, g, t, n. Memory follows the longest contig: about 60 bytes for each of its bases.
 """
 
