@@ -61,8 +61,8 @@ def contigs(masked: bool = False) -> str:
 POS = "p AS (SELECT contig_id, seq, len, unnest(range(1, len - 1)) AS pos FROM k WHERE len >= 3), t AS (SELECT contig_id, len, CAST(pos AS INTEGER) AS pos, CAST((pos - 1) % 3 + 1 AS INTEGER) AS frame, substr(seq, pos, 3) AS codon FROM p)"
 
 
-def orfs(table: int = 11, closed: bool = False, mask: bool = False, min_len: int = 90) -> str:
-    starts, stops = quoted(codes.caller_starts(table)), quoted(codes.stop_codons(table))
+def orfs(table: int = 11, closed: bool = False, mask: bool = False, min_len: int = 90, own: bool = False) -> str:
+    starts, stops = quoted(codes.start_codons(table) if own else codes.caller_starts(table)), quoted(codes.stop_codons(table))
     r = rc("codon")
     open_ = "false" if closed else "true"
     masked = "WHERE NOT contains(span, 'n')" if mask else ""
@@ -164,20 +164,39 @@ _TRAINED = f"v1 AS (SELECT contig_id, rbs_score AS score, count(*) AS n FROM o G
 _OTHER = "oe AS (SELECT contig_id, pos, arg_max(other, rank) AS other FROM (SELECT contig_id, stop AS pos, CASE WHEN max(frame) > 0 THEN min(start) ELSE max(start) END AS other, 0 AS rank FROM o GROUP BY contig_id, stop UNION ALL SELECT contig_id, start, max(stop), 1 FROM o GROUP BY contig_id, start) GROUP BY contig_id, pos)"
 _NODES = "nd AS (SELECT DISTINCT contig_id, start AS pos, 'start' AS type, frame FROM o UNION SELECT contig_id, stop, 'stop', frame FROM o)"
 _DESERT = "ds AS (SELECT contig_id, last, b FROM (SELECT contig_id, a AS b, CAST(coalesce(max(z) OVER (PARTITION BY contig_id ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS last FROM (SELECT DISTINCT contig_id, least(start, stop) AS a, least(greatest(start, stop), len - 1) AS z FROM o)) WHERE b - last > 500)"
-_COUNTS = "count(*) AS n, sum(src_pos) AS src_sum, sum(dst_pos) AS dst_sum"
+_COUNTS = "count(*) AS n, sum(src_pos) AS src_sum, sum(dst_pos) AS dst_sum, round(sum(ln(CASE WHEN cost < 1e12 THEN trunc(cost * 1000) ELSE cost * 1000 END)), 4) AS ln_sum"
+_GP = """gp AS (SELECT contig_id, a * a * a + a * g * a + a * a * g AS gp FROM
+    (SELECT contig_id, length(translate(seq, 'cgn', '')) / (2 * len) AS a, length(translate(seq, 'atn', '')) / (2 * len) AS g FROM k WHERE len > 0))"""
 _C, _O = contigs(), orfs()
 
 
+def _gap(length: str, p: str, switch: int = 0) -> str:
+    return f"(CASE WHEN {length} > 300 THEN pow(1 - {p}, 100) + {length} ELSE pow(1 - {p}, -({length}) / 3) + {switch} END)"
+
+
 def _is(side: str, kind: str, sign: str) -> str:
     return f"({side}.type = '{kind}' AND {side}.frame {sign} 0)"
 
 
-_NEAR = f"""{_OTHER}, {_NODES}, nn AS (SELECT nd.*, other FROM nd LEFT JOIN oe USING (contig_id, pos)),
-    pr AS (SELECT l.contig_id, l.pos AS lp, r.pos AS rp, CASE WHEN ({_is("l", "stop", ">")} AND {_is("r", "start", ">")}) OR ({_is("l", "start", "<")} AND {_is("r", "stop", "<")}) THEN 'gap_same'
+_NEAR = f"""{_OTHER}, {_NODES}, {_GP}, kn AS (SELECT contig_id, stop AS pos, start AS other, max(pstop) AS own FROM o GROUP BY ALL),
+    nn AS (SELECT nd.*, other, coalesce(own, gp) AS own, gp FROM nd JOIN gp USING (contig_id) LEFT JOIN oe USING (contig_id, pos) LEFT JOIN kn USING (contig_id, pos, other)),
+    pr AS (SELECT l.contig_id, l.pos AS lp, r.pos AS rp, l.type AS lt, r.type AS rt, l.frame AS lf, r.frame AS rf, r.pos - l.pos - 3 AS gap, r.pos - l.pos + 3 AS lap, (l.own + r.own) / 2 AS mean, l.gp, CASE WHEN ({_is("l", "stop", ">")} AND {_is("r", "start", ">")}) OR ({_is("l", "start", "<")} AND {_is("r", "stop", "<")}) THEN 'gap_same'
         WHEN (({_is("l", "start", ">")} AND {_is("r", "stop", ">")}) OR ({_is("l", "stop", "<")} AND {_is("r", "start", "<")})) AND l.frame <> r.frame AND r.pos < l.other AND r.other < l.pos THEN 'overlap_same'
         WHEN ({_is("l", "stop", ">")} AND {_is("r", "stop", "<")}) OR ({_is("l", "start", "<")} AND {_is("r", "start", ">")} AND r.pos - l.pos > 2) THEN 'gap_diff'
         WHEN ({_is("l", "stop", "<")} AND {_is("r", "stop", ">")} AND r.other + 3 < l.pos AND r.pos < l.other) OR ({_is("l", "start", ">")} AND {_is("r", "start", "<")} AND r.other < l.pos AND r.pos < l.other) THEN 'overlap_diff' END AS kind
-        FROM nn l JOIN nn r ON l.contig_id = r.contig_id AND r.pos > l.pos AND r.pos - l.pos < 500)"""
+        FROM nn l JOIN nn r ON l.contig_id = r.contig_id AND r.pos > l.pos AND r.pos - l.pos < 500),
+    en AS (SELECT contig_id, kind, CASE WHEN kind LIKE 'gap%' THEN lp ELSE rp END AS src_pos, CASE WHEN kind LIKE 'gap%' THEN lt ELSE rt END AS src_type, CASE WHEN kind LIKE 'gap%' THEN lf ELSE rf END AS src_frame,
+        CASE WHEN kind LIKE 'gap%' THEN rp ELSE lp END AS dst_pos, CASE WHEN kind LIKE 'gap%' THEN rt ELSE lt END AS dst_type, CASE WHEN kind LIKE 'gap%' THEN rf ELSE lf END AS dst_frame,
+        CASE kind WHEN 'gap_same' THEN {_gap("gap", "gp")} WHEN 'gap_diff' THEN {_gap("gap", "gp", 20)} WHEN 'overlap_same' THEN pow(1 - mean, -lap) ELSE pow(1 - mean, -lap) + 20 END AS cost FROM pr WHERE kind IS NOT NULL)"""
+_OVER = f"""{_DESERT}, dp AS (SELECT ds.contig_id, l.pos AS src_pos, l.type AS src_type, l.frame AS src_frame, r.pos AS dst_pos, r.type AS dst_type, r.frame AS dst_frame, r.pos - l.pos - 3 AS gap, gp,
+        CASE WHEN ({_is("l", "stop", ">")} AND {_is("r", "start", ">")}) OR ({_is("l", "start", "<")} AND {_is("r", "stop", "<")}) THEN 'desert_same'
+        WHEN ({_is("l", "stop", ">")} AND {_is("r", "stop", "<")}) OR ({_is("l", "start", "<")} AND {_is("r", "start", ">")}) THEN 'desert_diff' END AS kind
+        FROM ds JOIN gp USING (contig_id) JOIN nd l ON l.contig_id = ds.contig_id AND l.pos > greatest(last - 500, 0) AND l.pos <= last + 1 JOIN nd r ON r.contig_id = ds.contig_id AND r.pos >= b - 1 AND r.pos < b + 500),
+    ed AS (SELECT contig_id, kind, src_pos, src_type, src_frame, dst_pos, dst_type, dst_frame, CASE kind WHEN 'desert_same' THEN {_gap("gap", "gp")} ELSE {_gap("gap", "gp", 20)} END AS cost FROM dp WHERE kind IS NOT NULL)"""
+_ENDS = f"""et AS (SELECT contig_id, 'source' AS kind, 0 AS src_pos, 'source' AS src_type, 0 AS src_frame, pos AS dst_pos, type AS dst_type, frame AS dst_frame, {_gap("pos", "gp")} AS cost
+        FROM nd JOIN gp USING (contig_id) WHERE pos <= 2000 AND ((type = 'start' AND frame > 0) OR (type = 'stop' AND frame < 0))
+        UNION ALL SELECT contig_id, 'target', pos, type, frame, len + 1, 'target', 0, {_gap("(len - pos)", "gp")}
+        FROM nd JOIN k USING (contig_id) JOIN gp USING (contig_id) WHERE len - pos BETWEEN 0 AND 2000 AND ((type = 'start' AND frame < 0) OR (type = 'stop' AND frame > 0)))"""
 _CODE_ROWS = ", ".join(f"({t}, '{c}', '{aa}', {str(aa == '*').lower()}, {str(c in codes.STARTS[t]).lower()}, {str(c in codes.caller_starts(t)).lower()}, CAST({codes.start_weights(t).get(c, 1.0)!r} AS DOUBLE))" for t in codes.TABLES for c, aa in codes.codons(t).items())
 
 
@@ -190,6 +209,7 @@ def written(fmt: str) -> str:
     name, score = "contig_id", "-1.23E3"
     wrapped = lambda x: f"regexp_replace(regexp_replace({x}, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10) || '$', '')"
     text = {
+        "gbk": f"'     CDS             complement(' || len || '..1)' || chr(10) || repeat(' ', 21) || '/note=\"score={score}\"' || chr(10)",
         "sco": f"len || chr(9) || '1' || chr(9) || '-' || chr(9) || '{score}' || chr(10)",
         "gff": f"{name} || chr(9) || 'orfweave' || chr(9) || 'CDS' || chr(9) || len || chr(9) || '1' || chr(9) || '{score}' || chr(9) || '-' || chr(9) || '0' || chr(9) || 'ID=CDS_' || len || '_1;score={score}' || chr(10)",
         "nucleotide": f"'>' || {name} || '_' || len || '_1 -' || chr(10) || {wrapped(rc('seq'))} || chr(10)",
@@ -197,8 +217,14 @@ def written(fmt: str) -> str:
     }[fmt]
     # The reverse complement is made once a row, not once a codon.
     source = f"(SELECT *, {rc('seq')} AS turned FROM k)" if fmt == "protein" else "k"
-    head = "'##gff-version 3' || chr(10)" if fmt == "gff" else "''"
-    return f"WITH {_C} SELECT contig_id, md5({head} || CASE WHEN len > 0 THEN {text} ELSE '' END) AS text_md5 FROM {source}"
+    head = {
+        "gff": "'##gff-version 3' || chr(10)",
+        "gbk": "'LOCUS       ' || contig_id || ' ' || lpad(CAST(len AS VARCHAR), 10, ' ') || ' bp    DNA             PHG' || chr(10) || 'DEFINITION  ' || contig_id || chr(10)"
+        " || 'FEATURES             Location/Qualifiers' || chr(10) || '     source          1..' || len || chr(10)",
+    }.get(fmt, "''")
+    lines = "list_transform(range(0, len, 60), lambda i: lpad(CAST(i + 1 AS VARCHAR), 9, ' ') || ' ' || rtrim(regexp_replace(substr(seq, i + 1, 60), '(.{10})', '\\1 ', 'g')))"
+    tail = f" || 'ORIGIN' || chr(10) || chr(10) || coalesce(array_to_string({lines}, chr(10)), '') || chr(10) || '//' || chr(10)" if fmt == "gbk" else ""
+    return f"WITH {_C} SELECT contig_id, md5({head} || CASE WHEN len > 0 THEN {text} ELSE '' END{tail}) AS text_md5 FROM {source}"
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -221,11 +247,9 @@ ORACLE_SQL: dict[str, str] = {
     "other_end": f"WITH {_C}, {_O}, {_OTHER} SELECT * FROM oe",
     "nodes": f"WITH {_C}, {_O}, {_NODES} SELECT * FROM nd",
     "deserts": f"WITH {_C}, {_O}, {_DESERT} SELECT contig_id, last, b FROM ds",
-    "edges_near": f"WITH {_C}, {_O}, {_NEAR}, ed AS (SELECT contig_id, kind, CASE WHEN kind LIKE 'gap%' THEN lp ELSE rp END AS src_pos, CASE WHEN kind LIKE 'gap%' THEN rp ELSE lp END AS dst_pos FROM pr WHERE kind IS NOT NULL) SELECT contig_id, kind, {_COUNTS} FROM ed GROUP BY contig_id, kind",
-    "edges_desert": f"""WITH {_C}, {_O}, {_NODES}, {_DESERT}, ed AS (SELECT ds.contig_id, l.pos AS src_pos, r.pos AS dst_pos, CASE WHEN ({_is("l", "stop", ">")} AND {_is("r", "start", ">")}) OR ({_is("l", "start", "<")} AND {_is("r", "stop", "<")}) THEN 'desert_same' WHEN ({_is("l", "stop", ">")} AND {_is("r", "stop", "<")}) OR ({_is("l", "start", "<")} AND {_is("r", "start", ">")}) THEN 'desert_diff' END AS kind
-        FROM ds JOIN nd l ON l.contig_id = ds.contig_id AND l.pos > greatest(last - 500, 0) AND l.pos <= last + 1 JOIN nd r ON r.contig_id = ds.contig_id AND r.pos >= b - 1 AND r.pos < b + 500) SELECT contig_id, kind, {_COUNTS} FROM ed WHERE kind IS NOT NULL GROUP BY contig_id, kind""",
-    "edges_terminal": f"""WITH {_C}, {_O}, {_NODES}, ed AS (SELECT contig_id, 'source' AS kind, 0 AS src_pos, pos AS dst_pos FROM nd WHERE pos <= 2000 AND ((type = 'start' AND frame > 0) OR (type = 'stop' AND frame < 0))
-        UNION ALL SELECT contig_id, 'target', pos, len + 1 FROM nd JOIN k USING (contig_id) WHERE len - pos BETWEEN 0 AND 2000 AND ((type = 'start' AND frame < 0) OR (type = 'stop' AND frame > 0))) SELECT contig_id, kind, {_COUNTS} FROM ed GROUP BY contig_id, kind""",
+    "edges_near": f"WITH {_C}, {_O}, {_NEAR} SELECT contig_id, kind, {_COUNTS} FROM en GROUP BY contig_id, kind",
+    "edges_desert": f"WITH {_C}, {_O}, {_NODES}, {_GP}, {_OVER} SELECT contig_id, kind, {_COUNTS} FROM ed GROUP BY contig_id, kind",
+    "edges_terminal": f"WITH {_C}, {_O}, {_NODES}, {_GP}, {_ENDS} SELECT contig_id, kind, {_COUNTS} FROM et GROUP BY contig_id, kind",
     "mean_max_region": f"WITH {_C}, {stats(11, 'g')} SELECT contig_id, round(mean_len, 6) AS mean_len, max_len FROM gs",
     "background_codon_freq": f"WITH {_C}, {POS} SELECT contig_id, count(*) AS total, count(*) FILTER (codon = 'tga') AS bg_tga, count(*) FILTER (codon = 'tag') AS bg_tag FROM t WHERE frame = 1 GROUP BY contig_id",
     "hopping_windows": f"WITH {_C}, s AS (SELECT *, least(greatest(len, 3000), 9000) AS size FROM k WHERE len >= 3000), h AS (SELECT *, unnest(range(0, len - size + 1, CAST(floor(size / 5) AS BIGINT))) AS w FROM s) SELECT contig_id, CAST(w AS INTEGER) AS w, size, md5(substr(seq, w + 1, size)) AS piece_md5 FROM h",
@@ -238,10 +262,11 @@ ORACLE_SQL: dict[str, str] = {
 }
 ORACLE_SQL |= {f"translate_t{t}": f"WITH {_C} SELECT contig_id, md5(coalesce({translation('seq', t)}, '')) AS aa_md5 FROM k" for t in codes.TABLES}
 ORACLE_SQL |= {f"orfs_table{t}": orf_rows(table=t) for t in (4, 6, 15, 25)}
+ORACLE_SQL |= {f"find_orfs_t{t}": orf_rows(table=t, own=True) for t in (1, 11)}
 ORACLE_SQL |= {f"open_regions_t{t}": f"WITH {_C}, {regions(t)} SELECT contig_id, strand, frame, region_start, region_end FROM g" for t in (4, 11, 15)}
 ORACLE_SQL |= {f"signal_t{t}": f"WITH {_C}, {plain_signal(t, 'tga', s, 's')} SELECT contig_id, round(signal, 6) AS signal FROM s" for t, s in ((4, ("tgg",)), (25, ("gga", "ggc", "ggg", "ggt")))}
 ORACLE_SQL |= {f"signal_t{t}": f"WITH {_C}, {sliding_signal(t, s, 's')} SELECT contig_id, round(signal, 6) AS signal FROM s" for t, s in ((15, ("tag",)), (6, ("taa", "tag")))}
-ORACLE_SQL |= {f"write_{f}": written(f) for f in ("sco", "gff", "nucleotide", "protein")}
+ORACLE_SQL |= {f"write_{f}": written(f) for f in ("sco", "gff", "gbk", "nucleotide", "protein")}
 _HOLD = f"""cd AS (SELECT contig_id, start, stop, frame, unnest(CASE WHEN frame > 0 THEN range(start, stop, 3) ELSE range(stop + 3, start + 1, 3) END) AS pos FROM o),
     ix AS (SELECT contig_id, start, stop, frame, CASE WHEN frame > 0 THEN {_max_idx("gc1", "gc2", "gc3")} ELSE {_max_idx("gc3", "gc2", "gc1")} END AS hi,
         CASE WHEN frame > 0 THEN {_min_idx("gc1", "gc2", "gc3")} ELSE {_min_idx("gc3", "gc2", "gc1")} END AS lo FROM cd JOIN gc USING (contig_id, pos)),

@@ -66,8 +66,9 @@ def orf_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edge_counts(edges: DataFrame) -> DataFrame:
-    """Per contig and kind: how many edges, and the sums of the places they lead from and to."""
-    return edges.groupBy("contig_id", "kind").agg(F.count("*").alias("n"), F.sum("src_pos").alias("src_sum"), F.sum("dst_pos").alias("dst_sum"))
+    """Per contig and kind: how many edges, and the sums of the places they lead from and to and of their costs' logarithms."""
+    sums = [F.sum("src_pos").alias("src_sum"), F.sum("dst_pos").alias("dst_sum"), F.round(F.sum(F.log("weight")), 4).alias("ln_sum")]
+    return edges.groupBy("contig_id", "kind").agg(F.count("*").alias("n"), *sums)
 
 
 def edges_near(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,6 +202,7 @@ QUERIES: dict[str, Query] = {
 }
 QUERIES |= {f"translate_t{t}": _over(lambda c, t=t: c.select("contig_id", F.md5(S.translate_seq(F.col("seq"), t)).alias("aa_md5"))) for t in codes.TABLES}
 QUERIES |= {f"orfs_table{t}": _orf_rows(table=t) for t in (4, 6, 15, 25)}
+QUERIES |= {f"find_orfs_t{t}": _orf_rows(table=t, starts="table") for t in (1, 11)}
 QUERIES |= {f"open_regions_t{t}": _over(lambda c, t=t: orfs.open_regions(c, t)) for t in (4, 11, 15)}
 QUERIES |= {f"signal_t{t}": _signal(t) for t in (4, 25, 15, 6)}
 QUERIES |= {f"write_{f}": _made(f) for f in ("gbk", "gff", "sco", "protein", "nucleotide")}
