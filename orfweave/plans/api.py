@@ -16,6 +16,7 @@ from ..operators.solver import genes, paths, with_sequences
 from ..operators.store import stored
 from ..sources.readers import contigs_from_text
 from ..sources.sinks import nucleotide_fasta, protein_fasta, render, sentinel
+from .records import Gene, Orf, TableScore
 
 
 @dataclass
@@ -53,6 +54,18 @@ def detect_tables_batch(contigs: DataFrame, min_orf_len: int = 90) -> DataFrame:
     return batch_detect(contigs, min_orf_len)
 
 
+def orfs_of_sequence(spark: SparkSession, sequence: str, table: int = 11, closed_ends: bool = False, mask_n: bool = False, min_orf_len: int = 90) -> list[Orf]:
+    """ORFs of one sequence with the table's own starts, in their order of emission."""
+    check_table(table)
+    found = find_orfs(contigs_from_text(spark, sequence), table, closed_ends, mask_n, min_orf_len)
+    return Orf.all_of(found.orderBy("emit_ord").withColumnRenamed("seq", "sequence"))
+
+
+def scores_of_sequence(spark: SparkSession, sequence: str, min_orf_len: int = 90) -> list[TableScore]:
+    """Scores of the candidate tables for one sequence, the best first; none for a short sequence."""
+    return TableScore.all_of(detect_table(contigs_from_text(spark, sequence), min_orf_len).orderBy("rank"))
+
+
 def annotate_sequence(spark: SparkSession, sequence: str, seq_id: str | None = None, format: str = "gbk", table: int = 11, closed_ends: bool = False, mask_n: bool = False, detect: bool = False, min_orf_len: int = 90) -> dict:
     """One sequence: texts, genes and the table used."""
     if format not in ("gbk", "gff", "sco"):
@@ -67,5 +80,5 @@ def annotate_sequence(spark: SparkSession, sequence: str, seq_id: str | None = N
     text = lambda df: "".join(r["text"] for r in df.collect())
     return {
         "primary": text(render(format, found.genes, contigs, found.orf_counts)), "protein": text(sentinel(protein_fasta(found.genes, contigs, table), found.orf_counts)),
-        "nucleotide": text(sentinel(nucleotide_fasta(found.genes, contigs), found.orf_counts)), "genes": [r.asDict() for r in found.genes.orderBy("step").collect()], "table_used": table,
+        "nucleotide": text(sentinel(nucleotide_fasta(found.genes, contigs), found.orf_counts)), "genes": Gene.all_of(found.genes.orderBy("step")), "table_used": table,
     }

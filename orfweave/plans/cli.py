@@ -52,7 +52,8 @@ def main(argv: list[str] | None = None) -> int:
     if args.detect_table:
         first = contigs.orderBy("ord").limit(1)
         ranked = detect_table(first).orderBy("rank").collect()
-        print(report(ranked, first.collect()[0]["contig_id"]), file=sys.stderr)
+        shown = first.select("contig_id", "len").collect()[0]
+        print(report(ranked, shown["contig_id"], shown["len"]), file=sys.stderr)
         if ranked:
             table = ranked[0]["table"]
             if not args.yes and sys.stdin.isatty():

@@ -81,7 +81,7 @@ def orfs(table: int = 11, closed: bool = False, mask: bool = False, min_len: int
 
 
 def orf_rows(masked: bool = False, **options) -> str:
-    return f"WITH {contigs(masked)}, {orfs(mask=masked, **options)} SELECT contig_id, start, stop, frame, start_codon, rbs_score, round(pstop, 9) AS pstop, md5(oseq) AS seq_md5 FROM o"
+    return f"WITH {contigs(masked)}, {orfs(mask=masked, **options)} SELECT contig_id, start, stop, frame, start_codon, rbs_score, round(CASE WHEN pstop > 0 THEN ln(pstop) END, 7) AS ln_pstop, md5(oseq) AS seq_md5 FROM o"
 
 
 def regions(table: int, both: bool = True, name: str = "g", min_len: int = 90) -> str:
@@ -281,3 +281,36 @@ ORACLE_SQL["edges_orf"] = f"""WITH {_C}, {_O}, {_TRAIN}, {_GC}, {_BIAS}, {_TRAIN
     SELECT contig_id, 'orf' AS kind, CASE WHEN frame > 0 THEN start ELSE stop END AS src_pos, CASE WHEN frame > 0 THEN 'start' ELSE 'stop' END AS src_type, frame AS src_frame,
         CASE WHEN frame > 0 THEN stop ELSE start END AS dst_pos, CASE WHEN frame > 0 THEN 'stop' ELSE 'start' END AS dst_type, frame AS dst_frame,
         CASE WHEN w >= 1 THEN round(ln(floor(w)), 6) END AS ln_cost FROM (SELECT *, exp(first + ln(odds) - hold) * 1000 AS w FROM wt)"""
+
+# Shortest paths: rounds over all edges at once, in which only a lower cost replaces another; of equals the first edge by
+# family and place wins. A node is one number, of its position, type and frame.
+_KINDS = ("orf", "desert_same", "desert_diff", "gap_same", "overlap_same", "gap_diff", "overlap_diff", "source", "target")
+_TYPES = ("start", "stop", "source", "target")
+
+
+def _coded(side: str) -> str:
+    return f"(CAST({side}_pos AS BIGINT) * 4 + list_position([{quoted(_TYPES)}], {side}_type) - 1) * 7 + {side}_frame + 3"
+
+
+_PATH = f"""{_C}, {_O}, {_TRAIN}, {_GC}, {_BIAS}, {_TRAINED}, {_BG}, {_HOLD}, {_NEAR}, {_OVER}, {_ENDS},
+    eo AS (SELECT contig_id, 'orf' AS kind, CASE WHEN frame > 0 THEN start ELSE stop END AS src_pos, CASE WHEN frame > 0 THEN 'start' ELSE 'stop' END AS src_type, frame AS src_frame,
+        CASE WHEN frame > 0 THEN stop ELSE start END AS dst_pos, CASE WHEN frame > 0 THEN 'stop' ELSE 'start' END AS dst_type, frame AS dst_frame, -exp(first + ln(odds) - hold) AS cost FROM wt),
+    ea AS (FROM en UNION ALL BY NAME FROM ed UNION ALL BY NAME FROM et UNION ALL BY NAME FROM eo),
+    e AS MATERIALIZED (SELECT contig_id, {_coded("src")} AS src, {_coded("dst")} AS dst, {{src_pos: src_pos, src_frame: src_frame, kind: src_type}} AS place,
+        list_position([{quoted(_KINDS)}], kind) AS rank, CAST(trunc(cost * 1000) AS BIGNUM) AS w FROM ea),
+    bf(contig_id, node, cost, prev) USING KEY (contig_id, node) AS (SELECT DISTINCT contig_id, src, CAST(0 AS BIGNUM), CAST(NULL AS BIGINT) FROM e WHERE src // 7 % 4 = 2
+        UNION SELECT contig_id, dst, min(c), arg_min(src, {{c: c, rank: rank, place: place}}) FROM
+            (SELECT e.contig_id, e.dst, e.src, e.rank, e.place, bf.cost + e.w AS c FROM bf JOIN e ON e.contig_id = bf.contig_id AND e.src = bf.node
+            LEFT JOIN recurring.bf old ON old.contig_id = e.contig_id AND old.node = e.dst WHERE old.cost IS NULL OR bf.cost + e.w < old.cost) GROUP BY contig_id, dst),
+    back(contig_id, node, prev, up) AS (SELECT contig_id, node, prev, 0 FROM bf WHERE node // 7 % 4 = 3
+        UNION ALL SELECT bf.contig_id, bf.node, bf.prev, up + 1 FROM back JOIN bf ON bf.contig_id = back.contig_id AND bf.node = back.prev),
+    sp AS (SELECT contig_id, CAST(max(up) OVER (PARTITION BY contig_id) - up - 1 AS INTEGER) AS step, prev, node FROM back),
+    pa AS (SELECT contig_id, step, CAST(prev // 28 AS INTEGER) AS src_pos, [{quoted(_TYPES)}][prev // 7 % 4 + 1] AS src_type, CAST(prev % 7 - 3 AS INTEGER) AS src_frame,
+        CAST(node // 28 AS INTEGER) AS dst_pos, [{quoted(_TYPES)}][node // 7 % 4 + 1] AS dst_type, CAST(node % 7 - 3 AS INTEGER) AS dst_frame FROM sp WHERE prev IS NOT NULL)"""
+ORACLE_SQL["shortest_path"] = f"WITH RECURSIVE {_PATH} SELECT * FROM pa"
+ORACLE_SQL["genes"] = f"""WITH RECURSIVE {_PATH},
+    gn AS (SELECT contig_id, step, frame, CASE WHEN frame > 0 THEN src_pos ELSE dst_pos END AS start, CASE WHEN frame > 0 THEN dst_pos ELSE src_pos END AS stop FROM (SELECT *, src_frame AS frame FROM pa)
+        WHERE src_frame = dst_frame AND ((src_frame > 0 AND src_type = 'start' AND dst_type = 'stop') OR (src_frame < 0 AND src_type = 'stop' AND dst_type = 'start')))
+    SELECT contig_id, step, CAST(CASE WHEN frame > 0 THEN start ELSE start + 2 END AS INTEGER) AS start, CAST(CASE WHEN frame > 0 THEN stop + 2 ELSE stop END AS INTEGER) AS stop,
+        CASE WHEN frame > 0 THEN '+' ELSE '-' END AS strand, round(first + ln(odds) - hold, 6) AS ln_score, start_codon, md5(oseq) AS seq_md5
+    FROM gn JOIN wt USING (contig_id, start, stop, frame) JOIN o USING (contig_id, start, stop, frame)"""

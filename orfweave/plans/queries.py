@@ -37,11 +37,12 @@ def normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _orf_rows(**options) -> Query:
+    """ORFs with their stop probability as a logarithm, which never lies halfway between two roundings; null for 0."""
     masked = options.pop("masked", False)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = orfs.orfs(C.contigs_from_documents(spark, sf_dir, masked), **options)
-        return found.select("contig_id", "start", "stop", "frame", "start_codon", "rbs_score", F.round("pstop", 9).alias("pstop"), F.md5("seq").alias("seq_md5"))
+        return found.select("contig_id", "start", "stop", "frame", "start_codon", "rbs_score", F.round(F.log("pstop"), 7).alias("ln_pstop"), F.md5("seq").alias("seq_md5"))
 
     return run
 
@@ -113,6 +114,12 @@ def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.annotate(_contigs(spark, sf_dir)).genes
 
 
+def gene_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genes with the logarithm of their scores' size and a digest of their bases."""
+    out = genes(spark, sf_dir).withColumns({"ln_score": F.round(F.log(-F.col("score")), 6), "seq_md5": F.md5("seq")})
+    return out.drop("score", "seq")
+
+
 def _written(fmt: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         contigs, found = _annotated(spark, sf_dir)
@@ -161,7 +168,7 @@ def _signal(table: int) -> Query:
 
 
 QUERIES: dict[str, Query] = {
-    "genes": genes,
+    "genes": gene_rows,
     "normalize_seq": normalize,
     "rev_comp": _over(lambda c: c.select("contig_id", F.md5(S.rev_comp(F.col("seq"))).alias("rc_md5"))),
     "rev_comp_detect": lambda spark, d: C.contigs_from_documents(spark, d, True).select("contig_id", F.md5(S.rev_comp_detect(F.col("seq"))).alias("rc_md5")),

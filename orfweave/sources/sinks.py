@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codes import table_name
 from ..functions.seq import scientific, translate_seq
 
 NO_ORFS = "#id:\t{} NO ORFS FOUND\n"
@@ -92,16 +93,33 @@ def batch_tsv(batch: DataFrame, strip_id: bool = True) -> DataFrame:
     return batch.select("contig_id", F.concat_ws("\t", name, F.col("len").cast("string"), F.col("recommended").cast("string"), "confidence", score("top_score"), F.col("runner_up").cast("string"), score("runner_up_score")).alias("line"))
 
 
-def report(scores: list, name: str) -> str:
+def report(scores: list, name: str, length: int) -> str:
     """A ranked table of one contig's scores for people; scores: rows of table_scores in order of rank."""
-    rule = "-" * 78
-    short = name[:36] + ".." if len(name) > 38 else name
-    lines = [rule, f"Genetic code detection: {short}", rule, f"{'rank':>4} {'table':>5} {'mol_ratio':>10} {'signal':>8} {'composite':>10}"]
-    for r in scores:
-        lines.append(f"{r['rank']:>4} {r['table']:>5} {r['mol_ratio']:>10.4f} {r['reassignment_signal']:>8.4f} {r['composite']:>10.4f}")
+    # Fixed texts and widths: the report's layout.
+    rule = "─" * 78
+    columns = "{:>4}  {:>5}  {:<40}  {:>10}  {:>15}  {:>9}"
+    lines = [rule, f"Codon table detection: seq={name} len={length} nt (first record)", rule]
+    lines.append(columns.format("Rank", "Table", "Name", "ORF ratio", "Reass. signal", "Composite"))
+    for place, r in enumerate(scores, 1):
+        numbers = f"{r['mol_ratio']:.2f}", f"{r['reassignment_signal']:.3f}", f"{r['composite']:.2f}"
+        lines.append(columns.format(place, r["table"], shortened(table_name(r["table"])), *numbers))
         for d in r["codon_details"] or ():
-            lines.append(f"       {d['codon']}: background {100 * d['background_freq']:.1f}%, in ORFs {100 * d['orf_freq']:.1f}%, ratio {d['ratio']:.3f}")
+            lines.append(f"{'':14}└─ {d['codon']}: bg={100 * d['background_freq']:.1f}%  orf={100 * d['orf_freq']:.1f}%  ratio={d['ratio']:.2f}")
     best = scores[0]["table"] if scores else 11
-    top, second = ([r["composite"] for r in scores] + [0.0, 0.0])[:2]
-    level = "low" if not scores else ("high" if top > 0 else "low") if second <= 0 else "high" if top / second > 2 else "medium" if top / second > 1.2 else "low"
-    return "\n".join([*lines, rule, f"Recommended table: {best} (confidence: {level})", rule, ""])
+    lines.append(f"\nRecommended table: {best}  ({table_name(best)})  [confidence: {confidence([r['composite'] for r in scores])}]")
+    return "\n".join([*lines, rule])
+
+
+def shortened(name: str, most: int = 38) -> str:
+    """A name of at most `most` characters."""
+    return name if len(name) <= most else name[: most - 2] + ".."
+
+
+def confidence(composites: list[float]) -> str:
+    """How far the best score is from the next."""
+    if len(composites) < 2:
+        return "low"
+    top, second = composites[:2]
+    if second <= 0:
+        return "high" if top > 0 else "low"
+    return "high" if top / second > 2 else "medium" if top / second > 1.2 else "low"

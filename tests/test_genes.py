@@ -1,5 +1,6 @@
 """Gene calling: goldens (read where they lie, skipped if absent), known values, edges of contigs."""
 
+import io
 from pathlib import Path
 
 import numpy as np
@@ -11,7 +12,8 @@ from orfweave.operators import kernels
 from orfweave.operators.detect import batch_detect, table_scores
 from orfweave.operators.orfs import orfs
 from orfweave.operators.solver import shortest_path
-from orfweave.plans import api
+from orfweave.plans import api, cli
+from orfweave.plans.records import Gene, TableScore
 from orfweave.sources import sinks
 from orfweave.sources.readers import contigs_from_stdin, contigs_from_text, read_sequences
 
@@ -120,3 +122,56 @@ def test_sinks_and_inline_text(spark):
     assert "     CDS             complement(8..1)\n" in sinks.genbank(genes, c).collect()[0]["text"]
     none = sinks.render("gff", genes.limit(0), c, genes.limit(0).groupBy("contig_id").agg(F.count("*").alias("n_orfs")))
     assert none.collect()[0]["text"] == "#id:\t>x NO ORFS FOUND\n"
+
+
+ONE = "atg" + "gcaaaagaa" * 60 + "taa"
+
+
+def test_objects_of_a_sequence(spark):
+    assert repr(Gene(1, 9, "+", -482.8, "atg")) == "Gene(start=1, stop=9, strand='+', score=-4.83e2, start_codon='atg')"
+    assert str(TableScore(4, 1.0, 1.236, 2.0, 3.004)) == "TableScore(table=4, composite=3.00, mol_ratio=1.24, signal=2.000)"
+    found = api.orfs_of_sequence(spark, ONE)
+    assert any(repr(x) == "Orf(start=1, stop=544, frame=1, start_codon='atg', rbs_score=0)" and x.sequence == ONE for x in found)
+    # The table's own starts hold att, those of gene calling don't.
+    other = "att" + ONE[3:]
+    assert any(x.start_codon == "att" and x.start == 1 for x in api.orfs_of_sequence(spark, other, closed_ends=True))
+    assert [s.table for s in api.scores_of_sequence(spark, ONE)][0] == 1 and api.scores_of_sequence(spark, "acgt") == []
+    out = api.annotate_sequence(spark, ONE, "x", "sco")
+    assert out["table_used"] == 11 and all(isinstance(g, Gene) for g in out["genes"])
+    for wrong in ({"format": "txt"}, {"table": 2}):
+        with pytest.raises(ValueError):
+            api.annotate_sequence(spark, ONE, **wrong)
+
+
+def test_report():
+    row = {"table": 4, "mol_ratio": 1.5, "reassignment_signal": 2.375, "composite": 3.0061, "codon_details": [{"codon": "tga", "background_freq": 0.012, "orf_freq": 0.02, "ratio": 1.667}]}
+    lines = sinks.report([row, row | {"table": 11, "composite": 1.0, "codon_details": None}], ">x", 400).split("\n")
+    assert lines[0] == "─" * 78 == lines[-1] and lines[1] == "Codon table detection: seq=>x len=400 nt (first record)"
+    assert lines[4].startswith("   1      4  ") and lines[4].endswith("      1.50            2.375       3.01")
+    assert lines[5] == "              └─ tga: bg=1.2%  orf=2.0%  ratio=1.67"
+    assert lines[-3] == "" and lines[-2] == f"Recommended table: 4  ({codes.table_name(4)})  [confidence: high]"
+    assert sinks.confidence([]) == sinks.confidence([1.0, 1.0]) == "low" and sinks.confidence([1.5, 1.0]) == "medium"
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    fasta = tmp_path / "in.fa"
+    fasta.write_text(f">b note\n{ONE}\n>a\nACGT\n")
+    paths = {name: str(tmp_path / name) for name in ("genes", "protein", "bases")}
+    call = ["-i", str(fasta), "-f", "sco", "-a", paths["protein"], "-d", paths["bases"]]
+    assert cli.main([*call, "-o", paths["genes"], "--detect-table", "--yes"]) == 0
+    assert "Recommended table: 1  (" in capsys.readouterr().err
+    # Records keep their order; one without ORFs gets a line of its own.
+    genes, bases = ((tmp_path / name).read_text() for name in ("genes", "bases"))
+    assert genes.startswith("1\t546\t+\t-") and genes.endswith("#id:\t>a NO ORFS FOUND\n")
+    assert bases.startswith(">b_1_546 +\n") and ONE[:60] in bases
+    assert (tmp_path / "protein").read_text().startswith(">b_1_546 +\nMAKE")
+    assert cli.main(["-i", str(fasta), "--detect-table-batch"]) == 0
+    shown = capsys.readouterr().out.splitlines()
+    assert shown[0].startswith("seq_id\tlen") and [x.split("\t")[0] for x in shown[1:]] == [">b", ">a"]
+    empty = tmp_path / "empty.fa"
+    empty.write_text("")
+    assert cli.main(["-i", str(empty)]) == 1 and "No sequences found" in capsys.readouterr().err
+    with pytest.raises(SystemExit):
+        cli.main(["-i", str(fasta), "-g", "2"])
+    monkeypatch.setattr("sys.stdin", io.StringIO("ACGT"))
+    assert cli.main([]) == 1
