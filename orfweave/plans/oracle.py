@@ -168,6 +168,10 @@ _COUNTS = "count(*) AS n, sum(src_pos) AS src_sum, sum(dst_pos) AS dst_sum, roun
 _GP = """gp AS (SELECT contig_id, a * a * a + a * g * a + a * a * g AS gp FROM
     (SELECT contig_id, length(translate(seq, 'cgn', '')) / (2 * len) AS a, length(translate(seq, 'atn', '')) / (2 * len) AS g FROM k WHERE len > 0))"""
 _C, _O = contigs(), orfs()
+#: Text with an `a` for each byte of a character beyond ASCII.
+_BYTES = "text"
+for _first, _last, _n in (("80", "7FF", 2), ("800", "FFFF", 3), ("10000", "10FFFF", 4)):
+    _BYTES = f"regexp_replace({_BYTES}, '[\\x{{{_first}}}-\\x{{{_last}}}]', '{'a' * _n}', 'g')"
 
 
 def _gap(length: str, p: str, switch: int = 0) -> str:
@@ -205,30 +209,42 @@ def translation(seq: str, table: int) -> str:
     return f"list_aggregate(list_transform(range(0, CAST(ceil(length({seq}) / 3) AS BIGINT)), lambda i: coalesce(map_extract(MAP {{{pairs}}}, substr({seq}, 3 * i + 1, 3))[1], 'X')), 'string_agg', '')"
 
 
-def written(fmt: str) -> str:
-    name, score = "contig_id", "-1.23E3"
-    wrapped = lambda x: f"regexp_replace(regexp_replace({x}, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10) || '$', '')"
-    text = {
-        "gbk": f"'     CDS             complement(' || len || '..1)' || chr(10) || repeat(' ', 21) || '/note=\"score={score}\"' || chr(10)",
-        "sco": f"len || chr(9) || '1' || chr(9) || '-' || chr(9) || '{score}' || chr(10)",
-        "gff": f"{name} || chr(9) || 'orfweave' || chr(9) || 'CDS' || chr(9) || len || chr(9) || '1' || chr(9) || '{score}' || chr(9) || '-' || chr(9) || '0' || chr(9) || 'ID=CDS_' || len || '_1;score={score}' || chr(10)",
-        "nucleotide": f"'>' || {name} || '_' || len || '_1 -' || chr(10) || {wrapped(rc('seq'))} || chr(10)",
-        "protein": f"'>' || {name} || '_' || len || '_1 -' || chr(10) || {wrapped(translation('turned', 11))} || chr(10)",
+def _folded(text: str) -> str:
+    return f"regexp_replace(regexp_replace({text}, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10) || '$', '')"
+
+
+def texts(fmt: str, start: str, stop: str, strand: str, score: str, bases: str) -> tuple[str, str, str]:
+    """What a format has before a contig's genes, for each gene, and after them."""
+    place = f"{start} || '..' || {stop}"
+    place = f"CASE WHEN {strand} = '-' THEN 'complement(' || {place} || ')' ELSE {place} END"
+    fasta = lambda seq: f"'>' || contig_id || '_' || {start} || '_' || {stop} || ' ' || {strand} || chr(10) || {_folded(seq)} || chr(10)"
+    line = {
+        "gbk": f"'     CDS             ' || {place} || chr(10) || repeat(' ', 21) || '/note=\"score=' || {score} || '\"' || chr(10)",
+        "sco": f"{start} || chr(9) || {stop} || chr(9) || {strand} || chr(9) || {score} || chr(10)",
+        "gff": f"contig_id || chr(9) || 'orfweave' || chr(9) || 'CDS' || chr(9) || {start} || chr(9) || {stop} || chr(9) || {score} || chr(9) || {strand} || chr(9) || '0' || chr(9)"
+        f" || 'ID=CDS_' || {start} || '_' || {stop} || ';score=' || {score} || chr(10)",
+        "nucleotide": fasta(bases),
+        "protein": fasta(translation(bases, 11)),
     }[fmt]
-    # The reverse complement is made once a row, not once a codon.
-    source = f"(SELECT *, {rc('seq')} AS turned FROM k)" if fmt == "protein" else "k"
     head = {
         "gff": "'##gff-version 3' || chr(10)",
         "gbk": "'LOCUS       ' || contig_id || ' ' || lpad(CAST(len AS VARCHAR), 10, ' ') || ' bp    DNA             PHG' || chr(10) || 'DEFINITION  ' || contig_id || chr(10)"
         " || 'FEATURES             Location/Qualifiers' || chr(10) || '     source          1..' || len || chr(10)",
     }.get(fmt, "''")
     lines = "list_transform(range(0, len, 60), lambda i: lpad(CAST(i + 1 AS VARCHAR), 9, ' ') || ' ' || rtrim(regexp_replace(substr(seq, i + 1, 60), '(.{10})', '\\1 ', 'g')))"
-    tail = f" || 'ORIGIN' || chr(10) || chr(10) || coalesce(array_to_string({lines}, chr(10)), '') || chr(10) || '//' || chr(10)" if fmt == "gbk" else ""
-    return f"WITH {_C} SELECT contig_id, md5({head} || CASE WHEN len > 0 THEN {text} ELSE '' END{tail}) AS text_md5 FROM {source}"
+    tail = f"'ORIGIN' || chr(10) || chr(10) || coalesce(array_to_string({lines}, chr(10)), '') || chr(10) || '//' || chr(10)" if fmt == "gbk" else "''"
+    return head, line, tail
+
+
+def written(fmt: str) -> str:
+    head, line, tail = texts(fmt, "len", "'1'", "'-'", "'-1.23E3'", "turned")
+    # The reverse complement is made once a row, not once a codon.
+    source = f"(SELECT *, {rc('seq')} AS turned FROM k)" if fmt in ("protein", "nucleotide") else "k"
+    return f"WITH {_C} SELECT contig_id, md5({head} || CASE WHEN len > 0 THEN {line} ELSE '' END || {tail}) AS text_md5 FROM {source}"
 
 
 ORACLE_SQL: dict[str, str] = {
-    "normalize_seq": "SELECT doc_id, md5(regexp_replace(translate(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), 'ACGTNUuSsBbVv', 'acgtnttgggggg'), '[^acgtn]', 'a', 'g')) AS seq_md5 FROM documents",
+    "normalize_seq": f"SELECT doc_id, md5(regexp_replace(translate({_BYTES}, 'ACGTNUuSsBbVv', 'acgtnttgggggg'), '[^acgtn]', 'a', 'g')) AS seq_md5 FROM documents",
     "rev_comp": f"WITH {_C} SELECT contig_id, md5({rc('seq')}) AS rc_md5 FROM k",
     "rev_comp_detect": f"WITH {contigs(True)} SELECT contig_id, md5({rc('seq', 'n')}) AS rc_md5 FROM k",
     "genetic_code": f'SELECT * FROM (VALUES {_CODE_ROWS}) v("table", codon, aa, is_stop, is_start, is_caller_start, start_weight)',
@@ -308,9 +324,22 @@ _PATH = f"""{_C}, {_O}, {_TRAIN}, {_GC}, {_BIAS}, {_TRAINED}, {_BG}, {_HOLD}, {_
     pa AS (SELECT contig_id, step, CAST(prev // 28 AS INTEGER) AS src_pos, [{quoted(_TYPES)}][prev // 7 % 4 + 1] AS src_type, CAST(prev % 7 - 3 AS INTEGER) AS src_frame,
         CAST(node // 28 AS INTEGER) AS dst_pos, [{quoted(_TYPES)}][node // 7 % 4 + 1] AS dst_type, CAST(node % 7 - 3 AS INTEGER) AS dst_frame FROM sp WHERE prev IS NOT NULL)"""
 ORACLE_SQL["shortest_path"] = f"WITH RECURSIVE {_PATH} SELECT * FROM pa"
-ORACLE_SQL["genes"] = f"""WITH RECURSIVE {_PATH},
+_GENES = f"""{_PATH},
     gn AS (SELECT contig_id, step, frame, CASE WHEN frame > 0 THEN src_pos ELSE dst_pos END AS start, CASE WHEN frame > 0 THEN dst_pos ELSE src_pos END AS stop FROM (SELECT *, src_frame AS frame FROM pa)
-        WHERE src_frame = dst_frame AND ((src_frame > 0 AND src_type = 'start' AND dst_type = 'stop') OR (src_frame < 0 AND src_type = 'stop' AND dst_type = 'start')))
-    SELECT contig_id, step, CAST(CASE WHEN frame > 0 THEN start ELSE start + 2 END AS INTEGER) AS start, CAST(CASE WHEN frame > 0 THEN stop + 2 ELSE stop END AS INTEGER) AS stop,
-        CASE WHEN frame > 0 THEN '+' ELSE '-' END AS strand, round(first + ln(odds) - hold, 6) AS ln_score, start_codon, md5(oseq) AS seq_md5
-    FROM gn JOIN wt USING (contig_id, start, stop, frame) JOIN o USING (contig_id, start, stop, frame)"""
+        WHERE src_frame = dst_frame AND ((src_frame > 0 AND src_type = 'start' AND dst_type = 'stop') OR (src_frame < 0 AND src_type = 'stop' AND dst_type = 'start'))),
+    ge AS (SELECT contig_id, step, CAST(CASE WHEN frame > 0 THEN start ELSE start + 2 END AS INTEGER) AS start, CAST(CASE WHEN frame > 0 THEN stop + 2 ELSE stop END AS INTEGER) AS stop,
+        CASE WHEN frame > 0 THEN '+' ELSE '-' END AS strand, first + ln(odds) - hold AS ln_score, start_codon, oseq
+        FROM gn JOIN wt USING (contig_id, start, stop, frame) JOIN o USING (contig_id, start, stop, frame))"""
+ORACLE_SQL["genes"] = f"WITH RECURSIVE {_GENES} SELECT contig_id, step, start, stop, strand, round(ln_score, 6) AS ln_score, start_codon, md5(oseq) AS seq_md5 FROM ge"
+
+
+def annotated(fmt: str) -> str:
+    """Texts of the genes; a contig without ORFs has a line of its own."""
+    score = "regexp_replace(regexp_replace(printf('%.2E', -exp(ln_score)), 'E[+]0*([0-9])', 'E\\1'), 'E-0*([0-9])', 'E-\\1')"
+    head, line, tail = texts(fmt, "start", "stop", "strand", score, "oseq")
+    return f"""WITH RECURSIVE {_GENES}, ln AS (SELECT contig_id, string_agg(line, '' ORDER BY step) AS body FROM (SELECT contig_id, step, {line} AS line FROM ge) GROUP BY contig_id)
+    SELECT contig_id, md5(CASE WHEN contig_id NOT IN (SELECT contig_id FROM o) THEN '#id:' || chr(9) || contig_id || ' NO ORFS FOUND' || chr(10) ELSE {head} || coalesce(body, '') || {tail} END) AS text_md5
+    FROM k LEFT JOIN ln USING (contig_id)"""
+
+
+ORACLE_SQL |= {f"annotate_{f}": annotated(f) for f in ("sco", "gff", "gbk", "nucleotide", "protein")}

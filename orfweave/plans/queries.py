@@ -33,7 +33,7 @@ def _found(spark: SparkSession, sf_dir: str, name: str = "orfs", **options) -> t
 
 def normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.md5(S.normalize_seq(F.regexp_replace("text", r"[^\x00-\x7F]", ""))).alias("seq_md5"))
+    return docs.select("doc_id", F.md5(S.normalize_seq(F.col("text"))).alias("seq_md5"))
 
 
 def _orf_rows(**options) -> Query:
@@ -123,11 +123,12 @@ def gene_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _written(fmt: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         contigs, found = _annotated(spark, sf_dir)
-        if fmt == "protein":
-            return sinks.sentinel(sinks.protein_fasta(found.genes, contigs), found.orf_counts)
-        if fmt == "nucleotide":
-            return sinks.sentinel(sinks.nucleotide_fasta(found.genes, contigs), found.orf_counts)
-        return sinks.render(fmt, found.genes, contigs, found.orf_counts)
+        if fmt in ("protein", "nucleotide"):
+            fasta = sinks.protein_fasta if fmt == "protein" else sinks.nucleotide_fasta
+            out = sinks.sentinel(fasta(found.genes, contigs), found.orf_counts)
+        else:
+            out = sinks.render(fmt, found.genes, contigs, found.orf_counts)
+        return out.select("contig_id", F.md5("text").alias("text_md5"))
 
     return run
 
