@@ -3,10 +3,12 @@
 import io
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from orfweave.functions import codes, seq
 from orfweave.operators import kernels
 from orfweave.operators.detect import batch_detect, table_scores
@@ -127,6 +129,25 @@ def test_sinks_and_inline_text(spark):
 ONE = "atg" + "gcaaaagaa" * 60 + "taa"
 
 
+@pytest.fixture(scope="module")
+def beside_empty(spark, tmp_path_factory):
+    """Documents of which some have no bases: a null text, an empty one, digits; one and two bases."""
+    path = str(tmp_path_factory.mktemp("empty"))
+    texts = ["the tea on a neat oat shot in the hat " * 40, "one note to see if it is here or there " * 60, "", None, "2024!!", "a", "ab"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["genome_pstop"])
+def test_contigs_without_bases(spark, beside_empty, name):
+    """They have no stop probability, which is no error, and the others' results are those of the SQL."""
+    found = entry.queries()[name](spark, beside_empty)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{beside_empty}/documents.parquet/*.parquet'")
+    wanted = con.sql(f"SELECT {', '.join(found.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    assert wanted and sorted(map(tuple, found.collect())) == sorted(wanted)
+
+
 def test_objects_of_a_sequence(spark):
     assert repr(Gene(1, 9, "+", -482.8, "atg")) == "Gene(start=1, stop=9, strand='+', score=-4.83e2, start_codon='atg')"
     assert str(TableScore(4, 1.0, 1.236, 2.0, 3.004)) == "TableScore(table=4, composite=3.00, mol_ratio=1.24, signal=2.000)"
