@@ -133,12 +133,13 @@ ONE = "atg" + "gcaaaagaa" * 60 + "taa"
 def beside_empty(spark, tmp_path_factory):
     """Documents of which some have no bases: a null text, an empty one, digits; one and two bases."""
     path = str(tmp_path_factory.mktemp("empty"))
-    texts = ["the tea on a neat oat shot in the hat " * 40, "one note to see if it is here or there " * 60, "", None, "2024!!", "a", "ab"]
+    rng = np.random.default_rng(5)
+    texts = [*("".join(rng.choice(list("etaoinshrdlc "), 4000)) for _ in range(2)), "", None, "2024!!", "a", "ab"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
     return path
 
 
-@pytest.mark.parametrize("name", ["genome_pstop"])
+@pytest.mark.parametrize("name", ["genome_pstop", "annotate_gbk"])
 def test_contigs_without_bases(spark, beside_empty, name):
     """They have no stop probability, which is no error, and the others' results are those of the SQL."""
     found = entry.queries()[name](spark, beside_empty)
