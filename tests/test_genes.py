@@ -139,7 +139,7 @@ def beside_empty(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["genome_pstop", "annotate_gbk", "annotate_protein", "edges_near", "annotate_gff", "annotate_sco", "edges_terminal", "annotate_nucleotide", "genes"])
+@pytest.mark.parametrize("name", ["genome_pstop", "annotate_gbk", "annotate_protein", "edges_near", "annotate_gff", "annotate_sco", "edges_terminal", "annotate_nucleotide", "genes", "shortest_path"])
 def test_contigs_without_bases(spark, beside_empty, name):
     """They have no stop probability, which is no error, and the others' results are those of the SQL."""
     found = entry.queries()[name](spark, beside_empty)
