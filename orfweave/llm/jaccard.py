@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, mix64, stored, table
+from .common import discard, mix64, stored, table, tidy
 
 WIDTH, PERCENT = 5, 75
 #: One document in SHARE is counted for the order; shingles of HITS such documents are frequent, FREQUENT of them at most.
@@ -157,7 +157,7 @@ def sets_of(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray] | None, who
                 columns = [part["doc_id"].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(out, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(np.array(c, np.int64)) for c in zip(*maps, strict=True)], names=["doc_id", "n", "s1", "s2", "part", *MAP])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(made, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(tidy(made), schema)
 
 
 def exploded(sets: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def exploded(sets: DataFrame) -> DataFrame:
                 sizes = [len(t) for t in tokens]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part["doc_id"].to_numpy(), sizes)), pa.array(np.concatenate([np.zeros(0, np.int32), *(np.arange(n, dtype=np.int32) for n in sizes)])), pa.array(np.concatenate([np.zeros(0, np.int64), *tokens]))], ["doc", "at", "token"])
 
-    return sets.select("doc_id", "part").mapInArrow(made, schema)
+    return sets.select("doc_id", "part").mapInArrow(tidy(made), schema)
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_keys, salted_join, stored, table
+from .common import hot_keys, salted_join, stored, table, tidy
 
 RUN, LONG = 3, 50
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -74,9 +74,9 @@ def marks(docs: DataFrame) -> DataFrame:
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (b.slice(start, 512) for b in batches for start in range(0, b.num_rows, 512)):
             out: list[list] = [[] for _ in types]
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
                 at, low, high, sizes = [_NONE] * 2, [0] * 2, [0] * 2, []
                 for i, line in enumerate((text or "").split("\n")):
                     if n := len(_WORD.findall(line)):
@@ -92,7 +92,7 @@ def marks(docs: DataFrame) -> DataFrame:
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], kinds_of)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, MARKS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(made), MARKS)
 
 
 def runs(found: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def without_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches with the column text rewritten by the column __removed."""
-    for batch in batches:
+    for batch in (b.slice(start, 512) for b in batches for start in range(0, b.num_rows, 512)):
         texts = batch["text"].to_pylist()
         for i, gone in enumerate(batch["__removed"].to_pylist()):
             if gone:
@@ -151,7 +151,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     gone = repeats(docs.select("doc_id", "text")).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__removed"))
     # One plan at every size: what is removed grows with the corpus, so it is never sent to all tasks.
     joined = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
-    return joined.mapInArrow(without_lines, joined.schema)
+    return joined.mapInArrow(tidy(without_lines), joined.schema)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

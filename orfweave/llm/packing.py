@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_codes, mix64, stored, table
+from .common import byte_codes, mix64, stored, table, tidy
 
 SIZE = 2048
 END = 1
@@ -187,7 +187,7 @@ def tokenize(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
                     ids.append(np.append(found, found.dtype.type(END)))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(place_of(points)), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "place", "n_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, TOKENS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(made), TOKENS)
 
 
 def lay_out(tokens: DataFrame, size: int = SIZE, with_ids: bool = False) -> DataFrame:
@@ -212,7 +212,7 @@ def lay_out(tokens: DataFrame, size: int = SIZE, with_ids: bool = False) -> Data
 
     total = tokens.agg(F.sum("n_tokens")).collect()[0][0] or 0
     parts = max(1, -(-total // PARTITION_TOKENS))
-    return tokens.repartitionByRange(parts, "place", "doc_id").sortWithinPartitions("place", "doc_id").select("doc_id", "n_tokens", "ids").mapInArrow(laid, schema)
+    return tokens.repartitionByRange(parts, "place", "doc_id").sortWithinPartitions("place", "doc_id").select("doc_id", "n_tokens", "ids").mapInArrow(tidy(laid), schema)
 
 
 def pack(docs: DataFrame, paths: tuple[str, str] | None = None, size: int = SIZE, with_ids: bool = False) -> DataFrame:

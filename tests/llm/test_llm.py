@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orfweave.llm import chat, jaccard, line_dedup, neighbours, packing, pieces, quality, secrets, suffixes, warc
+from orfweave.llm import chat, common, jaccard, line_dedup, neighbours, packing, pieces, quality, secrets, suffixes, warc
 
 SCHEMA = "doc_id long, text string, kept string, mark long"
 
@@ -556,3 +556,14 @@ def test_recall_of_neighbours(spark, n, spread):
         d[q] = np.inf
         hits += len(set(np.lexsort((np.arange(n), d))[:10].tolist()) & got[q])
     assert hits >= 0.9 * n
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """After a task's last batch, also where its reader stops early."""
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    assert list(common.tidy(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3] and calls == [1]
+    early = common.tidy(lambda batches: (b + 1 for b in batches))(iter([1, 2]))
+    assert next(early) == 2
+    early.close()
+    assert calls == [1, 1]
