@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_codes, hot_keys, mix64, salted_join, stored, table
+from .common import byte_codes, hot_keys, mix64, salted_join, stored, table, tidy
 
 LENGTH, GRAM = 200, 100
 BLOCK, MANY, STEP = 1 << 20, 2000, 8
@@ -122,7 +122,7 @@ def anchors(docs: DataFrame) -> DataFrame:
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *c])) for c in columns], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(made), ", ".join(f"{n} long" for n in names))
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -221,7 +221,7 @@ def sorted_contexts(texts: DataFrame) -> DataFrame:
         if held:
             yield solve(held)
 
-    return texts.select(*(f.split(" ")[0] for f in GROUPED.split(", "))).mapInArrow(made, RUNS)
+    return texts.select(*(f.split(" ")[0] for f in GROUPED.split(", "))).mapInArrow(tidy(made), RUNS)
 
 
 def split_contexts(texts: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def split_contexts(texts: DataFrame) -> DataFrame:
                 at = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(part[k].take(at) for k in KEY), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["grp", *KEY, "base", "text"])
 
-    return texts.select(*KEY, "text").mapInArrow(made, GROUPED)
+    return texts.select(*KEY, "text").mapInArrow(tidy(made), GROUPED)
 
 
 def grouped_runs(texts: DataFrame, parts: int) -> DataFrame:
@@ -288,7 +288,7 @@ def context_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], [*KEY, "text"])
 
-    return docs.join(by_doc, F.col("doc_id") == F.col("doc")).select("text", "cuts").mapInArrow(made, _KEYS + ", text binary")
+    return docs.join(by_doc, F.col("doc_id") == F.col("doc")).select("text", "cuts").mapInArrow(tidy(made), _KEYS + ", text binary")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -346,7 +346,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.join(repeats(docs), F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans").mapInArrow(made, DEDUPED)
+    return docs.join(repeats(docs), F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "spans").mapInArrow(tidy(made), DEDUPED)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
