@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from orfweave.functions import codes, seq
-from orfweave.operators import kernels
+from orfweave.operators import graph, kernels
 from orfweave.operators.detect import batch_detect, table_scores
 from orfweave.operators.orfs import orfs
 from orfweave.operators.solver import shortest_path
@@ -149,6 +149,19 @@ def test_contigs_without_bases(spark, beside_empty, name):
     assert wanted and sorted(map(tuple, found.collect())) == sorted(wanted)
 
 
+def test_weights_beyond_a_double(spark, tmp_path):
+    """An ORF of thousands of codons that were likely to be stops has an infinite weight; its edge costs 0, as all that is
+    not finite, and no query fails by it."""
+    spark.createDataFrame([(1, "ooe" * 9000)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = api.annotate(contigs(spark, "tta" * 9000))
+    infinite = found.scored.where(F.col("weight") == float("-inf"))
+    assert infinite.count() and graph.edges_orf(infinite).where("weight <> 0").count() == 0
+    for name in ("shortest_path", "edges_orf", "annotate_sco"):
+        assert entry.queries()[name](spark, str(tmp_path)).count()
+    shown = contigs(spark, "").select(seq.scientific(F.lit(float("-inf"))).alias("a"), seq.scientific(F.lit(-1e300)).alias("b")).collect()[0]
+    assert tuple(shown) == ("-inf", "-1.00E300")
+
+
 def test_objects_of_a_sequence(spark):
     assert repr(Gene(1, 9, "+", -482.8, "atg")) == "Gene(start=1, stop=9, strand='+', score=-4.83e2, start_codon='atg')"
     assert str(TableScore(4, 1.0, 1.236, 2.0, 3.004)) == "TableScore(table=4, composite=3.00, mol_ratio=1.24, signal=2.000)"
