@@ -162,6 +162,34 @@ def test_weights_beyond_a_double(spark, tmp_path):
     assert tuple(shown) == ("-inf", "-1.00E300")
 
 
+def test_edges_found_in_a_map(spark):
+    """Near and terminal edges found contig by contig, in parts and without a shuffle, are those of the joins."""
+    rng = np.random.default_rng(7)
+    odd = ["", "at", "atg", "n" * 400, "atg" * 300, "atgcat" * 250, "ttaatg" * 200, "acgtn" * 300, ONE]
+    made = contigs(spark, *odd, *("".join(rng.choice(list("acgtn"), n, p=p)) for n, p in ((5000, [0.25] * 4 + [0]), (3000, [0.4, 0.1, 0.2, 0.2, 0.1]), (9000, [0.15, 0.35, 0.35, 0.15, 0]))))
+    found = orfs(made, with_seq=False)
+    for a, b in ((graph.near_edges_of(made), graph.edges_near(graph.near_pairs(found, made))), (graph.terminal_edges_of(made), graph.edges_terminal(found, made))):
+        rows = sorted(map(tuple, a.collect()))
+        assert rows and rows == sorted(map(tuple, b.select(a.columns).collect()))
+        assert "Exchange" not in a._jdf.queryExecution().executedPlan().toString()
+    pos, side = np.sort(rng.integers(1, 4000, 600)), rng.integers(0, 2, 600) == 1
+    frame, other = rng.choice([-3, -2, -1, 1, 2, 3], 600), rng.integers(1, 4000, 600)
+    whole, parts = (list(kernels.near_pairs(pos, side, frame, other, 500, most)) for most in (1 << 30, 1))
+    assert len(whole) == 1 and len(parts) > 100 and all((x == np.concatenate(y)).all() for x, y in zip(whole[0], zip(*parts, strict=True), strict=True))
+
+
+@pytest.mark.parametrize("name", ["edges_near", "edges_terminal"])
+def test_edges_of_contigs_without_an_id(spark, tmp_path, name):
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("etaoinshrdlc "), 1500)) for _ in range(3)]
+    spark.createDataFrame([(1, texts[0]), (2, texts[1]), (None, texts[2])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = entry.queries()[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    wanted = con.sql(f"SELECT {', '.join(found.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    assert wanted and sorted(map(tuple, found.collect())) == sorted(wanted)
+
+
 def test_objects_of_a_sequence(spark):
     assert repr(Gene(1, 9, "+", -482.8, "atg")) == "Gene(start=1, stop=9, strand='+', score=-4.83e2, start_codon='atg')"
     assert str(TableScore(4, 1.0, 1.236, 2.0, 3.004)) == "TableScore(table=4, composite=3.00, mol_ratio=1.24, signal=2.000)"
