@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from orfweave.functions import codes, seq
-from orfweave.operators import graph, kernels
+from orfweave.operators import calling, graph, kernels, scoring, solver
 from orfweave.operators.detect import batch_detect, table_scores
 from orfweave.operators.orfs import orfs
 from orfweave.operators.solver import shortest_path
@@ -190,6 +190,50 @@ def test_edges_of_contigs_without_an_id(spark, tmp_path, name):
     assert wanted and sorted(map(tuple, found.collect())) == sorted(wanted)
 
 
+@pytest.fixture(scope="module")
+def dealt_out(spark, tmp_path_factory):
+    """Documents in as many partitions as there are cores, with empty and very short ones and one without an id."""
+    path = str(tmp_path_factory.mktemp("dealt"))
+    rng = np.random.default_rng(11)
+    texts = [*("".join(rng.choice(list("etaoinshrdlc "), n)) for n in (3000, 2000, 2500, 100, 1500)), "ooe" * 100, "atgcat" * 100, "", None, "ab", "eoa" * 50]
+    rows = [*enumerate(texts), (None, texts[1])]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(12).write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["annotate_gbk"])
+def test_genes_found_in_a_map(spark, dealt_out, name):
+    """Genes are found contig by contig: the plan holds no shuffle and no table between its stages; results are the SQL's."""
+    found = entry.queries()[name](spark, dealt_out)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "documents.parquet" in plan
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{dealt_out}/documents.parquet/*.parquet' WHERE doc_id IS NOT NULL")
+    wanted = con.sql(f"SELECT {', '.join(found.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    rows = [tuple(r) for r in found.where("contig_id is not null").collect()]
+    assert wanted and sorted(rows) == sorted(wanted)
+
+
+@pytest.mark.parametrize("options", [{}, {"mask_n": True, "table": 4}, {"closed_ends": True, "min_len": 60}])
+def test_calling_equals_the_relations(spark, options):
+    """Weights, paths and genes of whole contigs are those of the DataFrame plans of single steps."""
+    rng = np.random.default_rng(12)
+    odd = ["", "at", "atg", "n" * 400, "atg" * 300, "tta" * 2500, "ttaatg" * 200, "acgtn" * 300, "a" * 700 + ONE + "a" * 1200 + ONE, ONE]
+    made = contigs(spark, *odd, *("".join(rng.choice(list("acgtn"), n, p=p)) for n, p in ((5000, [0.25] * 4 + [0]), (3000, [0.4, 0.1, 0.2, 0.2, 0.1]), (9000, [0.15, 0.35, 0.35, 0.15, 0]))))
+    how = calling.Calling(**options)
+    found = orfs(made, how.table, how.closed_ends, how.mask_n, how.min_len, with_seq=False)
+    weighed = scoring.scored_orfs(made, found, how.table).cache()
+    names = ["contig_id", "start", "stop", "frame", "start_codon", "rbs_score", "pstop", "weight_rbs", "ln_hold", "ln_weight"]
+    a, b = (sorted(map(tuple, df.select(names).collect())) for df in (calling.scored_of(made, how), weighed))
+    assert a and [r[:6] for r in a] == [r[:6] for r in b] and np.allclose([r[6:] for r in a], [r[6:] for r in b], rtol=1e-12)
+    path = solver.paths(graph.edges(weighed, made)).cache()
+    new = calling.paths_of(made, how)
+    assert sorted(map(tuple, new.collect())) == sorted(map(tuple, path.select(new.columns).collect()))
+    genes = solver.with_sequences(solver.genes(path, weighed), made)
+    a, b = (sorted(map(tuple, df.select("contig_id", "step", "start", "stop", "strand", "start_codon", "seq", "score").collect())) for df in (calling.genes_of(made, how), genes))
+    assert a and [r[:7] for r in a] == [r[:7] for r in b] and np.allclose([r[7] for r in a], [r[7] for r in b], rtol=1e-9)
+
+
 def test_objects_of_a_sequence(spark):
     assert repr(Gene(1, 9, "+", -482.8, "atg")) == "Gene(start=1, stop=9, strand='+', score=-4.83e2, start_codon='atg')"
     assert str(TableScore(4, 1.0, 1.236, 2.0, 3.004)) == "TableScore(table=4, composite=3.00, mol_ratio=1.24, signal=2.000)"
