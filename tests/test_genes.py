@@ -201,7 +201,7 @@ def dealt_out(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["annotate_gbk", "annotate_nucleotide", "annotate_sco", "shortest_path", "annotate_gff", "annotate_protein"])
+@pytest.mark.parametrize("name", ["annotate_gbk", "annotate_nucleotide", "annotate_sco", "shortest_path", "annotate_gff", "annotate_protein", "genes"])
 def test_genes_found_in_a_map(spark, dealt_out, name):
     """Genes are found contig by contig: the plan holds no shuffle and no table between its stages; results are the SQL's."""
     found = entry.queries()[name](spark, dealt_out)
